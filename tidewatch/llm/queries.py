@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import packing, simhash, substring_dedup, topk, warc
+from . import line_dedup, packing, pii, simhash, substring_dedup, topk, warc
 from .common import table
 
 
@@ -12,6 +12,10 @@ def op2_best_fit_packing(spark, sf_dir):
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op3_line_dedup(spark, sf_dir):
+    return line_dedup.line_classes(table(spark, sf_dir, "documents"))
+
+
 def op4_substring_dedup(spark, sf_dir):
     return substring_dedup.remove_repeated_windows(table(spark, sf_dir, "documents"), texts=False).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
@@ -21,6 +25,10 @@ def op6_exact_top_k(spark, sf_dir):
     return topk.top_k(vectors, vectors.where(F.col("vec_id") % topk.EVERY == 0))
 
 
+def op7_pii(spark, sf_dir):
+    return pii.digest(pii.find_spans(table(spark, sf_dir, "documents")))
+
+
 def op8_simhash_near_dedup(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -29,7 +37,7 @@ def op10_warc_round_trip(spark, sf_dir):
     return warc.round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {f.__name__: f for f in (op2_best_fit_packing, op4_substring_dedup, op6_exact_top_k, op8_simhash_near_dedup, op10_warc_round_trip)}
+QUERIES = {f.__name__: f for f in (op2_best_fit_packing, op3_line_dedup, op4_substring_dedup, op6_exact_top_k, op7_pii, op8_simhash_near_dedup, op10_warc_round_trip)}
 
 _WORDS = "list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
 
