@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import line_dedup, packing, pii, simhash, substring_dedup, topk, warc
+from . import decontamination, extraction, line_dedup, packing, pii, quality, simhash, substring_dedup, topk, warc
 from .common import table
 
 
+def op1_benchmark_decontamination(spark, sf_dir):
+    return decontamination.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op2_best_fit_packing(spark, sf_dir):
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
@@ -20,6 +24,10 @@ def op4_substring_dedup(spark, sf_dir):
     return substring_dedup.remove_repeated_windows(table(spark, sf_dir, "documents"), texts=False).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op5_html_extraction(spark, sf_dir):
+    return extraction.main_text(table(spark, sf_dir, "pages"))
+
+
 def op6_exact_top_k(spark, sf_dir):
     vectors = table(spark, sf_dir, "embeddings")
     return topk.top_k(vectors, vectors.where(F.col("vec_id") % topk.EVERY == 0))
@@ -33,11 +41,22 @@ def op8_simhash_near_dedup(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_quality_classifier(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return quality.scores(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op10_warc_round_trip(spark, sf_dir):
     return warc.round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {f.__name__: f for f in (op2_best_fit_packing, op3_line_dedup, op4_substring_dedup, op6_exact_top_k, op7_pii, op8_simhash_near_dedup, op10_warc_round_trip)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_benchmark_decontamination, op2_best_fit_packing, op3_line_dedup, op4_substring_dedup, op5_html_extraction,
+        op6_exact_top_k, op7_pii, op8_simhash_near_dedup, op9_quality_classifier, op10_warc_round_trip,
+    )
+}
 
 _WORDS = "list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
 
