@@ -12,9 +12,10 @@ A line is a copy if the same line, or one within the threshold, comes earlier: i
 the same document, above it. The first stays. Lines are trimmed of spaces, tabs and carriage returns; lines under
 ``min_chars`` code points carry too little to tell a copy from chance and are neither compared nor removed.
 
-Hot lines: copies are grouped with partial aggregation before anything else, so a line that a third of all documents
-hold is one row in the join. Only candidates' texts are shuffled again; the filter that picks them is a set of at most
-2 ** 20 hash residues.
+Hot lines: lines are first counted with partial aggregation, by hash and without their texts; a line with more than
+``OFTEN`` occurrences is made distinct, again combined before the shuffle, so one that a third of all documents hold is
+one row in the join. Only candidates' texts are shuffled; the filters that pick hot lines and candidates are sets of
+at most 2 ** 20 hash residues, and what they pick too much is sorted out exactly.
 
 Defined cases: a null text has no lines. Documents with a null id are kept as they are and make no line a copy. Rows
 with the same id count as one document. Other columns are kept by ``drop_repeated_lines``. Empty in, empty out.
@@ -22,11 +23,15 @@ with the same id count as one document. Other columns are kept by ``drop_repeate
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
+
+from .common import written
 
 EDITS, MIN_CHARS = 2, 20
 _RESIDUES = 1 << 20
 _STEP = 1 << 31
+#: A line with more occurrences is made distinct before its parts are shuffled; others are as they are.
+OFTEN = 64
 
 
 def lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
@@ -36,28 +41,33 @@ def lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     return cut.select("doc_id", "line_no", "line", F.xxhash64("line").alias("id"), F.xxhash64("line", F.lit(1)).alias("id2"))
 
 
-def _segments(m: Column, edits: int) -> list[tuple[Column, Column]]:
-    """(start from 0, length) of the segments of a line of ``m`` code points; the last ones are the longer ones."""
-    k = edits + 1
-    base, long_from = F.floor(m / k).cast("int"), F.lit(k) - m % k
-    return [(base * i + F.greatest(F.lit(i) - long_from, F.lit(0)), base + F.when(F.lit(i) >= long_from, 1).otherwise(0)) for i in range(k)]
-
+def _probes(edits: int) -> Column:
+    """The parts of a line that stand for it: array<struct<less, i, shift>>, its own segments (0, i, 0) among them.
 
-def _keys(edits: int) -> Column:
-    """array<struct<key, indexed>> of column ``line`` with length ``n``: its own segments, then its probes."""
+    (less, i, shift): segment i of a line shorter by ``less``, moved by ``shift``; the shifts that the edits left and
+    right of the segment allow.
+    """
     out = []
     for less in range(edits + 1):
-        m = F.col("n") - less
-        for i, (p, size) in enumerate(_segments(m, edits)):
-            low, high = max(-i, less - (edits - i)), min(i, less + edits - i)
-            for shift in range(low, high + 1):
-                own = less == 0 and shift == 0
-                key = F.xxhash64(m, F.lit(i), F.substr(F.col("line"), p + shift + 1, size))
-                fits = (p + shift >= 0) & (p + shift + size <= F.col("n"))
-                out.append(F.struct(key.alias("key") if own else F.when(fits, key).alias("key"), F.lit(own).alias("indexed")))
+        for i in range(edits + 1):
+            for shift in range(max(-i, less - (edits - i)), min(i, less + edits - i) + 1):
+                out.append(F.struct(F.lit(less).alias("less"), F.lit(i).alias("i"), F.lit(shift).alias("shift")))
     return F.array(*out)
 
 
+def segment_keys(texts: DataFrame, edits: int) -> DataFrame:
+    """(key, id, indexed) for each part of each row of ``texts(id, line)``; the last segments of a line are the longer ones."""
+    k = edits + 1
+    rows = texts.select("id", "line", F.length("line").alias("n"), F.explode(_probes(edits)).alias("p"))
+    rows = rows.withColumn("m", F.col("n") - F.col("p.less"))
+    rows = rows.withColumns({"base": F.expr(f"CAST(m DIV {k} AS INT)"), "even": F.lit(k) - F.col("m") % k})
+    start = F.col("base") * F.col("p.i") + F.greatest(F.col("p.i") - F.col("even"), F.lit(0)) + F.col("p.shift")
+    size = F.col("base") + F.when(F.col("p.i") >= F.col("even"), 1).otherwise(0)
+    rows = rows.withColumns({"start": start, "size": size}).where("start >= 0 AND start + size <= n")
+    key = F.xxhash64("m", "p.i", F.substr("line", F.col("start") + 1, F.col("size")))
+    return rows.select(key.alias("key"), "id", ((F.col("p.less") == 0) & (F.col("p.shift") == 0)).alias("indexed"))
+
+
 def _bits(chars: Column) -> Column:
     """Parity of the number of characters in each of 64 classes."""
     return F.aggregate(chars, F.lit(0).cast("long"), lambda s, c: s.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.ascii(c).bitwiseAND(63))))
@@ -100,45 +110,50 @@ def edit_distance(a: Column, b: Column, edits: int) -> Column:
     return F.aggregate(F.sequence(F.lit(0), n - 1), start, step)["score"]
 
 
-def distinct_lines(found: DataFrame) -> DataFrame:
-    """(line, id, id2, first): ``first`` is the place of the first occurrence, doc_id * 2 ** 31 + line_no."""
+def _residue(c: str) -> Column:
+    return F.pmod(F.col(c), F.lit(_RESIDUES))
+
+
+def first_places(found: DataFrame) -> DataFrame:
+    """(id, id2, first, n) of each distinct line: its first place, doc_id * 2 ** 31 + line_no, and its occurrences."""
     place = F.col("doc_id").cast("decimal(20,0)") * F.lit(_STEP).cast("decimal(10,0)") + F.col("line_no")
-    return found.withColumn("place", place.cast("decimal(32,0)")).groupBy("id", "id2", "line").agg(F.min("place").alias("first"))
-
-
-def links(distinct: DataFrame, edits: int = EDITS) -> DataFrame:
-    """(a, a2, a_first, b, b2, b_first): all pairs of distinct lines within ``edits`` edits, each once."""
-    distinct = distinct.withColumn("n", F.length("line"))
-    keyed = distinct.select("id", F.explode(_keys(edits)).alias("k"))
-    keyed = keyed.select(F.col("k.key").alias("key"), "id", F.col("k.indexed").alias("indexed")).where("key IS NOT NULL").repartition("key")
-    shared = keyed.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.max("indexed").alias("any")).where("lo < hi AND any").select("key")
-    near = keyed.join(shared.hint("shuffle_hash"), "key")
-    residue = lambda c: F.pmod(F.col(c), F.lit(_RESIDUES))
-    wanted = near.select(residue("id").alias("r")).distinct()  # 2 ** 20 rows at most
-    texts = distinct.withColumn("r", residue("id")).join(F.broadcast(wanted), "r", "left_semi")
-    texts = texts.select("id", "id2", "first", "line", "n", _bits(F.split("line", "")).alias("bits"))
+    return found.withColumn("place", place.cast("decimal(32,0)")).groupBy("id", "id2").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("n"))
+
+
+def links(found: DataFrame, firsts: DataFrame, edits: int = EDITS) -> DataFrame:
+    """(a, a2, b, b2): all pairs of distinct lines within ``edits`` edits, each once."""
+    hot = F.broadcast(firsts.where(F.col("n") > OFTEN).select(_residue("id").alias("r")).distinct())  # 2 ** 20 rows at most
+    texts = found.select("id", "line", _residue("id").alias("r"))
+    rare = texts.join(hot, "r", "left_anti").select("id", "line")
+    often = texts.join(hot, "r", "left_semi").select("id", "line").distinct()  # combined before the shuffle
+    keyed = segment_keys(rare, edits).unionByName(segment_keys(often, edits))
+    whole = Window.partitionBy("key")
+    keyed = keyed.withColumns({"lo": F.min("id").over(whole), "hi": F.max("id").over(whole), "any": F.max("indexed").over(whole)})
+    near = written(keyed.where("lo < hi AND any").select("key", "id", "indexed").distinct(), "near-lines")
+    wanted = F.broadcast(near.select(_residue("id").alias("r")).distinct())  # 2 ** 20 rows at most
+    texts = found.withColumn("r", _residue("id")).join(wanted, "r", "left_semi").select("id", "id2", "line").distinct()
+    texts = written(texts.select("id", "id2", "line", F.length("line").alias("n"), _bits(F.split("line", "")).alias("bits")), "near-texts")
     rows = near.join(texts, "id")
-    a = rows.where("indexed").select("key", *(F.col(c).alias(f"a_{c}") for c in ("id", "id2", "first", "line", "n", "bits")))
-    b = rows.select("key", *(F.col(c).alias(f"b_{c}") for c in ("id", "id2", "first", "line", "n", "bits")))
+    a = rows.where("indexed").select("key", *(F.col(c).alias(f"a_{c}") for c in ("id", "id2", "line", "n", "bits")))
+    b = rows.select("key", *(F.col(c).alias(f"b_{c}") for c in ("id", "id2", "line", "n", "bits")))
     longer = (F.col("b_n") > F.col("a_n")) | ((F.col("b_n") == F.col("a_n")) & (F.struct("b_id", "b_id2") > F.struct("a_id", "a_id2")))
     close = (F.col("b_n") - F.col("a_n") <= edits) & (F.bit_count(F.col("a_bits").bitwiseXOR(F.col("b_bits"))) <= 2 * edits)
     met = a.join(b, "key").where(longer & close).dropDuplicates(["a_id", "a_id2", "b_id", "b_id2"])
     chars = met.withColumns({"x": F.split("a_line", ""), "y": F.split("b_line", "")})
     done = chars.where(edit_distance(F.col("x"), F.col("y"), edits) <= edits)
-    return done.select(F.col("a_id").alias("a"), F.col("a_id2").alias("a2"), "a_first", F.col("b_id").alias("b"), F.col("b_id2").alias("b2"), "b_first")
+    return done.select(F.col("a_id").alias("a"), F.col("a_id2").alias("a2"), F.col("b_id").alias("b"), F.col("b_id2").alias("b2"))
 
 
 def line_classes(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
     """One row per compared line: doc_id, line_no, n_links (other texts within the threshold), first_doc_id and
     first_line_no (the first place of this or a linked text), removed."""
     found = lines(docs, min_chars)
-    distinct = distinct_lines(found)
-    pairs = links(distinct, edits)
-    both = pairs.select(F.col("a").alias("id"), F.col("a2").alias("id2"), F.col("b_first").alias("other")).unionByName(
-        pairs.select(F.col("b").alias("id"), F.col("b2").alias("id2"), F.col("a_first").alias("other"))
-    )
-    linked = both.groupBy("id", "id2").agg(F.count(F.lit(1)).alias("n_links"), F.min("other").alias("other"))
-    known = distinct.select("id", "id2", "first").join(linked, ["id", "id2"], "left")
+    firsts = written(first_places(found), "first-places")
+    pairs = written(links(found, firsts, edits), "line-pairs")
+    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("b2").alias("a2"), F.col("a").alias("b"), F.col("a2").alias("b2")))
+    other = firsts.select(F.col("id").alias("b"), F.col("id2").alias("b2"), F.col("first").alias("other"))
+    linked = both.join(other, ["b", "b2"]).groupBy(F.col("a").alias("id"), F.col("a2").alias("id2")).agg(F.count(F.lit(1)).alias("n_links"), F.min("other").alias("other"))
+    known = firsts.join(linked, ["id", "id2"], "left")
     known = known.select("id", "id2", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.least("first", "other").alias("first"))
     doc = F.floor(F.col("first") / F.lit(_STEP).cast("decimal(10,0)")).cast("long")
     out = found.select("doc_id", "line_no", "id", "id2").join(known, ["id", "id2"])
