@@ -73,41 +73,75 @@ def _bits(chars: Column) -> Column:
     return F.aggregate(chars, F.lit(0).cast("long"), lambda s, c: s.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.ascii(c).bitwiseAND(63))))
 
 
+def _shared(a: Column, b: Column, most: Column, at_end: bool) -> Column:
+    """Length of the longest common prefix (or suffix) of two strings, ``most`` or 2 ** 21 at most, by halving steps."""
+
+    def part(x: Column, got: Column, step: Column) -> Column:
+        return F.substr(x, F.length(x) - got - step + 1, step) if at_end else F.substr(x, got + 1, step)
+
+    def grow(got: Column, step: Column) -> Column:
+        return F.when((got + step <= most) & (part(a, got, step) == part(b, got, step)), got + step).otherwise(got)
+
+    return F.aggregate(F.array(*(F.lit(1 << k) for k in range(20, -1, -1))), F.lit(0), grow)
+
+
+def trimmed(pairs: DataFrame, edits: int) -> DataFrame:
+    """Adds x and y: the characters of a_line and b_line without what both begin and end with, but for ``edits`` characters before it.
+
+    This leaves the edit distance as it is.
+    """
+    a, b, shorter = F.col("a_line"), F.col("b_line"), F.least("a_n", "b_n")
+    out = pairs.withColumn("head", _shared(a, b, shorter, False))
+    out = out.withColumn("tail", _shared(a, b, shorter - F.col("head"), True))
+    begin = F.greatest(F.col("head") - edits, F.lit(0))
+    cut = lambda x, n: F.split(F.substr(x, begin + 1, F.col(n) - begin - F.col("tail")), "")
+    return out.withColumns({"x": cut(a, "a_n"), "y": cut(b, "b_n")})
+
+
 def edit_distance(a: Column, b: Column, edits: int) -> Column:
     """Edit distance of two arrays of characters if it is at most ``edits``, else a larger number.
 
-    Both must have at least ``edits`` characters and lengths that differ by ``edits`` at most. Bit k of the band in column
-    i stands for row i - edits + k. The score follows the band's lowest diagonal to the last row, then that row.
+    Lengths must differ by ``edits`` at most. Bit k of the band in column i stands for row i - edits + k of ``a``. The score
+    follows the band's lowest diagonal to the last row, then that row. Arrays shorter than ``edits`` get as many equal
+    characters in front.
     """
     width = 2 * edits + 1
     full = (1 << width) - 1
+    front = F.array_repeat(F.lit("="), edits)
+    a, b = F.concat(front, a), F.concat(front, b)
     n, m = F.size(b), F.size(a)
+    padded = F.concat(F.array_repeat(F.lit("").cast("string"), edits), a)
     long = lambda x: F.lit(x).cast("long")
-    start = F.struct(long(((1 << (edits + 1)) - 1) << edits).alias("vp"), long(0).alias("vn"), F.lit(edits).alias("score"))
-
-    def step(acc: Column, i: Column) -> Column:
-        c = F.get(b, i)
-        eq = sum((F.when(F.get(a, F.when(i - edits + k >= 0, i - edits + k).otherwise(-1)) == c, long(1 << k)).otherwise(long(0)) for k in range(1, width)),
-                 F.when(F.get(a, F.when(i - edits >= 0, i - edits).otherwise(-1)) == c, long(1)).otherwise(long(0)))
+    start = F.struct(
+        long(((1 << (edits + 1)) - 1) << edits).alias("vp"), long(0).alias("vn"), F.lit(edits).alias("score"), F.lit(0).alias("i"), padded.alias("a"), m.alias("m")
+    )
+
+    def step(acc: Column, c: Column) -> Column:
+        same = [F.when(F.get(acc["a"], acc["i"] + k) == c, long(1 << k)).otherwise(long(0)) for k in range(width)]
+        eq = same[0]
+        for x in same[1:]:
+            eq = eq.bitwiseOR(x)
         inner = F.struct(eq.alias("eq"), acc["vp"].alias("vp"), acc["vn"].alias("vn"), acc["score"].alias("score"))
-        return F.aggregate(F.array(inner), start, lambda _, x: column(x, i))
+        return F.element_at(F.transform(F.array(inner), lambda x: column(x, acc)), 1)
 
-    def column(x: Column, i: Column) -> Column:
+    def column(x: Column, acc: Column) -> Column:
+        i = acc["i"]
         eq, vp, vn = x["eq"], x["vp"], x["vn"]
         carried = (eq.bitwiseAND(vp) + vp).bitwiseXOR(vp)
         d0 = carried.bitwiseOR(eq).bitwiseOR(vn).bitwiseAND(full)
         hp = vn.bitwiseOR(F.bitwise_not(d0.bitwiseOR(vp)).bitwiseAND(full))
         hn = d0.bitwiseAND(vp)
         low = F.call_function("shiftright", d0, F.lit(1))
-        row = F.lit(2 * edits - 1) - (i - (m - edits))  # the bit of the last row, once the band has reached it
+        row = F.lit(2 * edits - 1) - (i - (acc["m"] - edits))  # the bit of the last row, once the band has reached it
         bit = lambda v: F.call_function("shiftright", v, F.greatest(row, F.lit(0))).bitwiseAND(1).cast("int")
         down = F.when(d0.bitwiseAND(1 << (2 * edits)) == 0, 1).otherwise(0)
-        moved = F.when(i < m - edits, down).otherwise(bit(hp) - bit(hn))
+        moved = F.when(i < acc["m"] - edits, down).otherwise(bit(hp) - bit(hn))
+        vp = hn.bitwiseOR(F.bitwise_not(low.bitwiseOR(hp))).bitwiseAND(full)
         return F.struct(
-            hn.bitwiseOR(F.bitwise_not(low.bitwiseOR(hp))).bitwiseAND(full).alias("vp"), low.bitwiseAND(hp).alias("vn"), (x["score"] + moved).alias("score")
+            vp.alias("vp"), low.bitwiseAND(hp).alias("vn"), (x["score"] + moved).alias("score"), (i + 1).alias("i"), acc["a"].alias("a"), acc["m"].alias("m")
         )
 
-    return F.aggregate(F.sequence(F.lit(0), n - 1), start, step)["score"]
+    return F.aggregate(b, start, step)["score"]
 
 
 def _residue(c: str) -> Column:
@@ -139,8 +173,7 @@ def links(found: DataFrame, firsts: DataFrame, edits: int = EDITS) -> DataFrame:
     longer = (F.col("b_n") > F.col("a_n")) | ((F.col("b_n") == F.col("a_n")) & (F.struct("b_id", "b_id2") > F.struct("a_id", "a_id2")))
     close = (F.col("b_n") - F.col("a_n") <= edits) & (F.bit_count(F.col("a_bits").bitwiseXOR(F.col("b_bits"))) <= 2 * edits)
     met = a.join(b, "key").where(longer & close).dropDuplicates(["a_id", "a_id2", "b_id", "b_id2"])
-    chars = met.withColumns({"x": F.split("a_line", ""), "y": F.split("b_line", "")})
-    done = chars.where(edit_distance(F.col("x"), F.col("y"), edits) <= edits)
+    done = trimmed(met, edits).where(edit_distance(F.col("x"), F.col("y"), edits) <= edits)
     return done.select(F.col("a_id").alias("a"), F.col("a_id2").alias("a2"), F.col("b_id").alias("b"), F.col("b_id2").alias("b2"))
 
 
