@@ -69,8 +69,19 @@ def segment_keys(texts: DataFrame, edits: int) -> DataFrame:
 
 
 def _bits(chars: Column) -> Column:
-    """Parity of the number of characters in each of 64 classes."""
-    return F.aggregate(chars, F.lit(0).cast("long"), lambda s, c: s.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.ascii(c).bitwiseAND(63))))
+    """struct<one, two>: parity of the numbers of characters, and of pairs of neighbours, in each of 64 classes.
+
+    An edit flips two bits of ``one`` and four of ``two`` at most.
+    """
+    zero = F.lit(0).cast("long")
+    flip = lambda bits, k: bits.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), k.bitwiseAND(63)))
+    start = F.struct(F.lit(0).alias("last"), zero.alias("one"), zero.alias("two"))
+
+    def step(acc: Column, c: Column) -> Column:
+        code = F.ascii(c)
+        return F.struct(code.alias("last"), flip(acc["one"], code).alias("one"), flip(acc["two"], acc["last"] * 37 + code * 11).alias("two"))
+
+    return F.aggregate(chars, start, step)
 
 
 def _shared(a: Column, b: Column, most: Column, at_end: bool) -> Column:
@@ -165,13 +176,15 @@ def links(found: DataFrame, firsts: DataFrame, edits: int = EDITS) -> DataFrame:
     keyed = keyed.withColumns({"lo": F.min("id").over(whole), "hi": F.max("id").over(whole), "any": F.max("indexed").over(whole)})
     near = written(keyed.where("lo < hi AND any").select("key", "id", "indexed").distinct(), "near-lines")
     wanted = F.broadcast(near.select(_residue("id").alias("r")).distinct())  # 2 ** 20 rows at most
-    texts = found.withColumn("r", _residue("id")).join(wanted, "r", "left_semi").select("id", "id2", "line").distinct()
+    texts = found.withColumn("r", _residue("id")).join(wanted, "r", "left_semi").select("id", "id2", "line")
+    texts = texts.join(near.select("id").distinct(), "id", "left_semi").distinct()
     texts = written(texts.select("id", "id2", "line", F.length("line").alias("n"), _bits(F.split("line", "")).alias("bits")), "near-texts")
     rows = near.join(texts, "id")
     a = rows.where("indexed").select("key", *(F.col(c).alias(f"a_{c}") for c in ("id", "id2", "line", "n", "bits")))
     b = rows.select("key", *(F.col(c).alias(f"b_{c}") for c in ("id", "id2", "line", "n", "bits")))
     longer = (F.col("b_n") > F.col("a_n")) | ((F.col("b_n") == F.col("a_n")) & (F.struct("b_id", "b_id2") > F.struct("a_id", "a_id2")))
-    close = (F.col("b_n") - F.col("a_n") <= edits) & (F.bit_count(F.col("a_bits").bitwiseXOR(F.col("b_bits"))) <= 2 * edits)
+    flipped = lambda c: F.bit_count(F.col(f"a_bits.{c}").bitwiseXOR(F.col(f"b_bits.{c}")))
+    close = (F.col("b_n") - F.col("a_n") <= edits) & (flipped("one") <= 2 * edits) & (flipped("two") <= 4 * edits)
     met = a.join(b, "key").where(longer & close).dropDuplicates(["a_id", "a_id2", "b_id", "b_id2"])
     done = trimmed(met, edits).where(edit_distance(F.col("x"), F.col("y"), edits) <= edits)
     return done.select(F.col("a_id").alias("a"), F.col("a_id2").alias("a2"), F.col("b_id").alias("b"), F.col("b_id2").alias("b2"))
