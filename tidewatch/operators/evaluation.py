@@ -41,7 +41,7 @@ def threshold_sweep(df: DataFrame, thresholds: tuple[float, ...] = (0.1, 0.2, 0.
 
 
 def cumulative_scores(df: DataFrame, score: str, label: str, parts: int = 64) -> DataFrame:
-    """Per distinct score s: rows n, labelled p, and the rows cn and labelled cp with that score or more; N and P are totals.
+    """Per distinct score s: rows n, labelled p, and the rows cn and labelled cp with that score or more; all_n and all_p are totals.
 
     Rows are first summed per distinct score. Prefix sums go over bands of scores, so no task holds them all: a band has
     its own running sums and adds the totals of the bands above, of which there are ``parts``.
@@ -53,7 +53,7 @@ def cumulative_scores(df: DataFrame, score: str, label: str, parts: int = 64) ->
     bands = by.groupBy("band").agg(F.sum("n").alias("bn"), F.sum("p").alias("bp"))
     above = Window.orderBy(F.desc("band")).rowsBetween(Window.unboundedPreceding, -1)  # over ``parts`` rows
     whole = Window.partitionBy(F.lit(1))
-    bands = bands.select("band", F.coalesce(F.sum("bn").over(above), F.lit(0)).alias("n0"), F.coalesce(F.sum("bp").over(above), F.lit(0)).alias("p0"), F.sum("bn").over(whole).alias("N"), F.sum("bp").over(whole).alias("P"))
+    bands = bands.select("band", F.coalesce(F.sum("bn").over(above), F.lit(0)).alias("n0"), F.coalesce(F.sum("bp").over(above), F.lit(0)).alias("p0"), F.sum("bn").over(whole).alias("all_n"), F.sum("bp").over(whole).alias("all_p"))
     run = Window.partitionBy("band").orderBy(F.desc("s"))
     return by.join(F.broadcast(bands), "band").withColumns({"cn": F.col("n0") + F.sum("n").over(run), "cp": F.col("p0") + F.sum("p").over(run)})
 
@@ -62,17 +62,17 @@ def ranking_metrics(df: DataFrame, score: str = "ml_probability", label: str = "
     """Exact ROC-AUC and average precision (step sum)."""
     rows, negatives = cumulative_scores(df, score, label), F.col("n") - F.col("p")
     return rows.agg(
-        F.round(F.sum(F.col("p") / F.col("P") * (F.col("cp") / F.col("cn"))), 6).alias("average_precision"),
-        F.round(F.sum(negatives * (F.col("cp") - F.col("p") / 2)) / (F.first("P") * (F.first("N") - F.first("P"))), 6).alias("roc_auc"),
+        F.round(F.sum(F.col("p") / F.col("all_p") * (F.col("cp") / F.col("cn"))), 6).alias("average_precision"),
+        F.round(F.sum(negatives * (F.col("cp") - F.col("p") / 2)) / (F.first("all_p") * (F.first("all_n") - F.first("all_p"))), 6).alias("roc_auc"),
     )
 
 
 def operating_points(df: DataFrame, rates: tuple[float, ...] = (0.01, 0.02, 0.05, 0.1), score: str = "ml_probability", label: str = "Is_laundering") -> DataFrame:
     """For each alert rate r the score of the ceil(r n)-th highest row, and what alerts at that score or more give."""
     rows = cumulative_scores(df, score, label).withColumn("target_rate", F.explode(F.array(*(F.lit(r) for r in rates))))
-    rows = rows.where(F.col("cn") >= F.ceil(F.col("target_rate") * F.col("N")))
-    least = rows.groupBy("target_rate").agg(F.min(F.struct("cn", "s", "cp", "P")).alias("x"))
-    return least.select("target_rate", F.col("x.s").alias("threshold"), F.col("x.cn").alias("alerts"), F.round(ratio(F.col("x.cp"), F.col("x.cn")), 6).alias("precision"), F.round(ratio(F.col("x.cp"), F.col("x.P")), 6).alias("recall"))
+    rows = rows.where(F.col("cn") >= F.ceil(F.col("target_rate") * F.col("all_n")))
+    least = rows.groupBy("target_rate").agg(F.min(F.struct("cn", "s", "cp", "all_p")).alias("x"))
+    return least.select("target_rate", F.col("x.s").alias("threshold"), F.col("x.cn").alias("alerts"), F.round(ratio(F.col("x.cp"), F.col("x.cn")), 6).alias("precision"), F.round(ratio(F.col("x.cp"), F.col("x.all_p")), 6).alias("recall"))
 
 
 def score_bands(df: DataFrame, score: str = "ml_probability") -> DataFrame:
