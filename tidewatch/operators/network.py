@@ -24,7 +24,7 @@ def followed(first: DataFrame, then: DataFrame, left: str, right: str, seconds:
 
 
 def pass_through(e: DataFrame, seconds: int = 86_400, low: float = 0.8, high: float = 1.05) -> DataFrame:
-    p = followed(e, e, "dst", "src", seconds).where((F.col("n_amount") / F.col("amount")).between(low, high))
+    p = followed(e, e, "dst", "src", seconds).where(F.try_divide("n_amount", "amount").between(low, high))
     return p.select(F.col("dst").alias("account"), F.col("tx_id").alias("in_tx"), F.col("n_tx_id").alias("out_tx"))
 
 
