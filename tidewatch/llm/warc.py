@@ -3,10 +3,10 @@
 Writing: each page becomes a request, a response (or revisit) and a metadata record, linked by WARC-Concurrent-To to the
 response. Of pages with equal payloads the one with the largest ``page_id`` holds the payload; the others are revisit
 records that refer to it (``min_bytes``: smaller payloads are always stored). The text writer puts CRLF CRLF after
-each record, which is the record separator, so every part file is an uncompressed WARC 1.1 archive, committed by
+each record, which is the record separator, so every part file is a gzipped WARC 1.1 archive, committed by
 Spark's own commit protocol and readable by any WARC tool.
 
-Reading: archives are cut at their Content-Length fields, one file at a time (``FILE_BYTES`` bounds a file). Transactions
+Reading: archives are cut at their Content-Length fields, one file at a time (``FILE_RECORDS`` bounds a file); payloads are shuffled compressed. Transactions
 are assembled by joining request and metadata records to their response or revisit through the concurrent-to identifier,
 and revisits to the response they refer to, giving one nested row per capture.
 
@@ -19,15 +19,17 @@ the id and a number among the rows with that id. Other columns are ignored. No p
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
-import json
+import zlib
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from .common import new_path
 
-FILE_BYTES = 16_000_000
+#: Records in an archive file, which is read as a whole.
+FILE_RECORDS = 3_000
 _DATE = "2024-01-01T00:00:00Z"
 
 
@@ -35,11 +37,17 @@ def _digest_batches(batches):
     for t in batches:
         raw = [(x or "").encode() for x in t.column("html").to_pylist()]
         yield pa.RecordBatch.from_arrays(
-            [t.column("page_id"), t.column("url"), t.column("html"), pa.array([len(x) for x in raw], pa.int64()), pa.array([base64.b32encode(hashlib.sha1(x).digest()).decode() for x in raw], pa.string())],
-            ["page_id", "url", "html", "payload_bytes", "payload_digest"],
+            [t.column("page_id"), t.column("url"), pa.array([zlib.compress(x) for x in raw], pa.binary()), pa.array([len(x) for x in raw], pa.int64()), pa.array([base64.b32encode(hashlib.sha1(x).digest()).decode() for x in raw], pa.string())],
+            ["page_id", "url", "packed", "payload_bytes", "payload_digest"],
         )
 
 
+def _unpack_batches(batches):
+    for t in batches:
+        k = t.schema.get_field_index("packed")
+        yield t.set_column(k, "html", pa.array([zlib.decompress(x).decode() for x in t.column(k).to_pylist()], pa.string()))
+
+
 def _uuid(kind: str, key):
     """A name-based record id from the capture's key."""
     h = F.md5(F.concat(F.lit(f"{kind}:"), key))
@@ -50,7 +58,7 @@ def _uuid(kind: str, key):
 def captures(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     """Pages with payload digest, record ids and, for revisits, the page and record they refer to."""
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    rows = rows.mapInArrow(_digest_batches, "page_id long, url string, html string, payload_bytes long, payload_digest string")
+    rows = rows.mapInArrow(_digest_batches, "page_id long, url string, packed binary, payload_bytes long, payload_digest string")
     # the number among the rows with one id: a page table has one row an id, so these groups are single rows
     same = Window.partitionBy("page_id", F.when(F.col("page_id").isNull(), F.xxhash64("url", "payload_digest"))).orderBy("payload_digest", "url")
     rows = rows.withColumn("copy", F.row_number().over(same))
@@ -60,7 +68,7 @@ def captures(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     out = rows.join(first, "payload_digest", "left")
     again = (F.col("payload_bytes") >= min_bytes) & (F.col("top.key") != F.col("key"))
     return out.select(
-        "page_id", "url", "html", "payload_bytes", "payload_digest", "key",
+        "page_id", "url", "packed", "payload_bytes", "payload_digest", "key",
         F.when(again, "revisit").otherwise("response").alias("record_type"),
         F.when(again, F.col("top.key")).alias("refers_key"),
     )
@@ -68,6 +76,8 @@ def captures(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
 
 def records(found: DataFrame) -> DataFrame:
     """One string column: the WARC records of each capture, without the CRLF CRLF that ends a record."""
+    kinds = "page_id long, url string, html string, payload_bytes long, payload_digest string, key string, record_type string, refers_key string"
+    found = found.mapInArrow(_unpack_batches, kinds)
     crlf = "\r\n"
     uri = F.regexp_replace(F.regexp_replace(F.regexp_replace("url", "%", "%25"), "[\r\n]", "%0A"), "[\\x00-\\x20]", "%20")
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit(crlf))
@@ -92,11 +102,9 @@ def records(found: DataFrame) -> DataFrame:
     return found.select(F.explode(F.array(request, response, metadata)).alias("value"))
 
 
-def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, file_bytes: int = FILE_BYTES) -> None:
-    found = captures(pages, min_bytes)
-    total = pages.agg(F.sum(F.octet_length("html") + 1500)).first()[0] or 0
-    files = max(pages.sparkSession.sparkContext.defaultParallelism, -(-total // file_bytes))
-    records(found.repartition(int(files), "key")).write.option("lineSep", "\r\n\r\n").text(path)
+def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, file_records: int = FILE_RECORDS) -> None:
+    out = records(captures(pages, min_bytes)).write.option("lineSep", "\r\n\r\n").option("compression", "gzip")
+    out.option("maxRecordsPerFile", file_records).text(path)
 
 
 def _parse(data: bytes):
@@ -127,7 +135,7 @@ def _record_batches(payloads: bool):
         for t in batches:
             for content in t.column("content"):
                 rows: list[tuple] = []
-                for f, body in _parse(content.as_py()):
+                for f, body in _parse(gzip.decompress(content.as_py())):
                     kind, payload = f["WARC-Type"], None
                     if kind in ("response", "revisit", "request"):
                         payload = body[body.index(b"\r\n\r\n") + 4 :]
