@@ -37,7 +37,7 @@ def _digest_batches(batches):
     for t in batches:
         raw = [(x or "").encode() for x in t.column("html").to_pylist()]
         yield pa.RecordBatch.from_arrays(
-            [t.column("page_id"), t.column("url"), pa.array([zlib.compress(x) for x in raw], pa.binary()), pa.array([len(x) for x in raw], pa.int64()), pa.array([base64.b32encode(hashlib.sha1(x).digest()).decode() for x in raw], pa.string())],
+            [t.column("page_id"), t.column("url"), pa.array([zlib.compress(x, 1) for x in raw], pa.binary()), pa.array([len(x) for x in raw], pa.int64()), pa.array([base64.b32encode(hashlib.sha1(x).digest()).decode() for x in raw], pa.string())],
             ["page_id", "url", "packed", "payload_bytes", "payload_digest"],
         )
 
