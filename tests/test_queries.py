@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from tidewatch.plans.registry import ORACLES, QUERIES
+from tidewatch.plans import ORACLES, QUERIES
 
 DATA = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
@@ -15,7 +15,7 @@ def rows(df):
     df = df[sorted(df.columns)]
     out = []
     for r in df.itertuples(index=False):
-        out.append(tuple("-" if v is None or v != v else f"{float(v):.6f}" if isinstance(v, (int, float)) and not isinstance(v, bool) or hasattr(v, "dtype") and v.dtype.kind in "if" else str(v) for v in r))
+        out.append(tuple("-" if v is None or v != v else f"{float(v):.6f}" if isinstance(v, (int, float)) and not isinstance(v, bool) or hasattr(v, "dtype") and v.dtype.kind in "if" else str(v).removesuffix(" 00:00:00") for v in r))  # dates come as timestamps from DuckDB
     return sorted(out)
 
 

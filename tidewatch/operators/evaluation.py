@@ -83,3 +83,40 @@ def overlap(df: DataFrame, rule: str, ml: str, label: str = "Is_laundering") ->
     a, b = F.col(rule) == 1, F.col(ml) == 1
     group = F.when(a & b, "both").when(a, "rule_only").when(b, "ml_only").otherwise("neither")
     return df.groupBy(group.alias("group")).agg(F.count(F.lit(1)).alias("transactions"), F.sum(label).alias("aml_positives"))
+
+
+def classification_report(df: DataFrame, predicted: str, label: str = "Is_laundering") -> DataFrame:
+    """Per class: support, precision, recall, F1; and the accuracy. One pass to the four counts."""
+    pairs = df.groupBy(F.col(label).alias("y"), F.col(predicted).alias("p")).agg(F.count(F.lit(1)).alias("n"))
+    each = pairs.withColumn("class", F.explode(F.array(F.lit(0), F.lit(1)))).groupBy("class").agg(
+        *(F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0)).alias(k) for k, c in (("support", F.col("y") == F.col("class")), ("_got", F.col("p") == F.col("class")), ("_tp", (F.col("p") == F.col("class")) & (F.col("y") == F.col("class"))))),
+    )
+    whole = Window.partitionBy(F.lit(1))  # two rows
+    tp = F.col("_tp")
+    return each.select(
+        "class", "support", F.round(ratio(tp, F.col("_got")), 6).alias("precision"), F.round(ratio(tp, F.col("support")), 6).alias("recall"), F.round(ratio(2 * tp, F.col("_got") + F.col("support")), 6).alias("f1"),
+        F.round(F.sum("_tp").over(whole) / F.sum("support").over(whole), 6).alias("accuracy"),
+    )
+
+
+def indicators(df: DataFrame, flag: str, baseline: str, label: str = "Is_laundering") -> DataFrame:
+    """One row: counts, rates, and how many alerts fewer than the baseline raises."""
+    one = df.agg(F.count(F.lit(1)).alias("transactions"), F.sum(flag).alias("alerts"), F.sum(label).alias("positives"), F.sum(F.col(flag) * F.col(label)).alias("hits"), F.sum(baseline).alias("_base"))
+    return one.select(
+        "transactions", "alerts", "positives", "hits", F.round(ratio(F.col("alerts"), F.col("transactions")), 6).alias("alert_rate"), F.round(ratio(F.col("hits"), F.col("alerts")), 6).alias("precision"),
+        F.round(ratio(F.col("hits"), F.col("positives")), 6).alias("recall"), F.round(1 - ratio(F.col("alerts"), F.col("_base")), 6).alias("workload_reduction"),
+    )
+
+
+def account_recall(df: DataFrame, flag: str, account: str = "Sender_account", label: str = "Is_laundering") -> DataFrame:
+    """Rows and distinct accounts that a flag hits. Accounts are summed up first, so no distinct set is held."""
+    hit, y = F.col(flag) == 1, F.col(label) == 1
+    a = df.groupBy(account).agg(F.sum(flag).alias("t"), F.sum(F.col(flag) * F.col(label)).alias("h"), F.max(hit.cast("int")).alias("at"), F.max(y.cast("int")).alias("ay"), F.max((hit & y).cast("int")).alias("ah"))
+    one = a.agg(F.sum("t").alias("triggered"), F.sum("h").alias("hits"), F.sum("at").alias("triggered_accounts"), F.sum("ay").alias("target_accounts"), F.sum("ah").alias("hit_accounts"))
+    return one.withColumn("account_recall", F.round(ratio(F.col("hit_accounts"), F.col("target_accounts")), 6))
+
+
+def combined(df: DataFrame, a: str, b: str, label: str = "Is_laundering") -> DataFrame:
+    """Alerts of two detectors, of both and of either, and labelled rows among the latter."""
+    either = F.greatest(a, b)
+    return df.agg(F.sum(a).alias("a"), F.sum(b).alias("b"), F.sum(F.col(a) * F.col(b)).alias("both"), F.sum(either).alias("either"), F.sum(either * F.col(label)).alias("hits"))

@@ -90,12 +90,41 @@ def grid(spark: SparkSession, **axes: tuple) -> DataFrame:
     return spark.createDataFrame([tuple(r.values()) for r in rows], list(axes))
 
 
-def evaluate_grid(windows: DataFrame, params: DataFrame, condition: Column) -> DataFrame:
-    """Evaluates every parameter row on pre-aggregated windows (dev_transactions, dev_aml, dev_target) in one pass. ``params`` is a grid of a few hundred rows."""
+def at_least(c: Column | str, thresholds: tuple) -> Column:
+    """The highest threshold that ``c`` reaches; null below all. ``c >= t`` is the same as ``at_least(c) >= t`` for each of them."""
+    c = F.col(c) if isinstance(c, str) else c
+    return F.greatest(*(F.when(c >= t, F.lit(t)) for t in thresholds), F.lit(None))
+
+
+def below(c: Column | str, thresholds: tuple) -> Column:
+    """The lowest threshold that ``c`` is under; null above all. ``c < t`` is the same as ``below(c) <= t`` for each of them."""
+    c = F.col(c) if isinstance(c, str) else c
+    return F.least(*(F.when(c < t, F.lit(t)) for t in thresholds), F.lit(None))
+
+
+def cells(windows: DataFrame, **axes: Column) -> DataFrame:
+    """Sums of dev_transactions, dev_aml and dev_target for each combination of the axes' values.
+
+    With axes snapped to the thresholds of a grid there are at most as many rows as the grid has, and a grid is evaluated
+    on them instead of on every window.
+    """
+    return windows.groupBy(*(c.alias(k) for k, c in axes.items())).agg(*(F.sum(c).alias(c) for c in ("dev_transactions", "dev_aml", "dev_target")), F.count(F.lit(1)).alias("windows"))
+
+
+def evaluate_grid(windows: DataFrame, params: DataFrame, condition: Column, per: str | None = None) -> DataFrame:
+    """Evaluates every parameter row (a few hundred) on ``cells``, or on pre-aggregated windows, in one pass.
+
+    ``per`` names a column of both that splits the rows, such as the length of the windows; ``params`` has it as ``per``,
+    ``windows`` as ``cell_per``. Rates are of the rows with the same value.
+    """
     keys = params.columns
-    hit = windows.crossJoin(F.broadcast(params)).where(condition).groupBy(*keys).agg(F.sum("dev_transactions").alias("triggered"), F.sum("dev_aml").alias("aml_hits"), F.sum("dev_target").alias("target_hits"), F.count(F.lit(1)).alias("windows"))
-    total = windows.agg(F.sum("dev_transactions").alias("all_tx"), F.sum("dev_target").alias("all_target"))
-    out = params.join(hit, keys, "left").crossJoin(F.broadcast(total))
+    if per:
+        condition = (F.col(per) == F.col(f"cell_{per}")) & condition
+    weight = F.col("windows") if "windows" in windows.columns else F.lit(1).cast("long")
+    hit = windows.withColumn("_w", weight).crossJoin(F.broadcast(params)).where(condition).groupBy(*keys).agg(F.sum("dev_transactions").alias("triggered"), F.sum("dev_aml").alias("aml_hits"), F.sum("dev_target").alias("target_hits"), F.sum("_w").alias("windows"))
+    total = windows.groupBy(*([F.col(f"cell_{per}").alias(per)] if per else [])).agg(F.sum("dev_transactions").alias("all_tx"), F.sum("dev_target").alias("all_target"))
+    out = params.join(hit, keys, "left")
+    out = out.join(F.broadcast(total), per, "left") if per else out.crossJoin(F.broadcast(total))
     zero = lambda c: F.coalesce(c, F.lit(0))
     return out.select(*keys, *(zero(c).alias(c) for c in ("triggered", "aml_hits", "target_hits", "windows")), F.round(ratio(zero("triggered"), F.col("all_tx")), 6).alias("trigger_rate"), F.round(ratio(zero("aml_hits"), zero("triggered")), 6).alias("precision"), F.round(ratio(zero("target_hits"), F.col("all_target")), 6).alias("target_recall"))
 
@@ -105,3 +134,56 @@ def shortlist(results: DataFrame, most_rate: float = 0.01, n: int = 12) -> DataF
     ok = results.withColumn("_ok", F.col("trigger_rate") <= most_rate).withColumn("_any", F.max("_ok").over(Window.partitionBy(F.lit(1))))  # grid rows
     keys = [c for c in results.columns if c not in ("target_recall", "precision")]
     return ok.where("_ok OR NOT _any").drop("_ok", "_any").orderBy(F.desc("target_recall"), F.desc("precision"), *keys).limit(n)
+
+
+def class_distribution(tx: DataFrame, *by: str) -> DataFrame:
+    """(by, n, percent) over all rows."""
+    out = tx.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
+    total = out.agg(F.sum("n").alias("_all"))
+    return out.crossJoin(F.broadcast(total)).withColumn("percent", F.round(100 * F.col("n") / F.col("_all"), 6)).drop("_all")
+
+
+def category_profile(tx: DataFrame, columns: list[str], by: str = "Laundering_type") -> DataFrame:
+    """(by, dimension, value, n, share): each value's share within its typology and dimension, in one pass."""
+    each = F.explode(F.array(*(F.struct(F.lit(c).alias("dimension"), F.col(c).cast("string").alias("value")) for c in columns))).alias("x")
+    out = tx.where(F.col(by).isNotNull()).select(by, each).select(by, "x.*").groupBy(by, "dimension", "value").agg(F.count(F.lit(1)).alias("n"))
+    return out.withColumn("share", F.round(F.col("n") / F.sum("n").over(Window.partitionBy(by, "dimension")), 6))
+
+
+def structuring_population(tx: DataFrame, kinds: tuple[str, ...] = ("Smurfing", "Structuring"), ceiling: float = 10_000.0) -> DataFrame:
+    """Transactions of the given typologies, and normal ones under the ceiling as one pattern of their own."""
+    kind = F.col("Laundering_type").isin(*kinds)
+    rows = tx.where(kind | ((F.col("Is_laundering") == 0) & (F.col("Amount") < ceiling)))
+    return rows.withColumn("Pattern", F.when(kind, F.col("Laundering_type")).otherwise("Normal_Sub_10k"))
+
+
+def amount_summary(tx: DataFrame, by: str, quantiles: tuple[float, ...] = (0.25, 0.5, 0.75, 0.95)) -> DataFrame:
+    """Rows, mean and quantiles of the amount, rates and distinct accounts per group."""
+    q = F.percentile("Amount", F.array(*map(F.lit, quantiles)))
+    out = tx.where(F.col(by).isNotNull()).groupBy(by).agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.avg("Amount"), 6).alias("mean"), q.alias("_q"), F.round(F.avg("Cross_border"), 6).alias("cross_rate"), F.round(F.avg("Currency_mismatch"), 6).alias("fx_rate"),
+        F.countDistinct("Sender_account").alias("senders"), F.countDistinct("Receiver_account").alias("receivers"),
+    )
+    return out.select("*", *(F.round(F.col("_q")[i], 6).alias(f"p{int(v * 100)}") for i, v in enumerate(quantiles))).drop("_q")
+
+
+def sender_summary(tx: DataFrame, by: str = "Pattern") -> DataFrame:
+    """One row per group and sender: rows, total, receivers, hours between first and last."""
+    hours = F.round((F.unix_micros(F.max("ts")) - F.unix_micros(F.min("ts"))) / 3.6e9, 6)
+    return tx.groupBy(by, "Sender_account").agg(F.count(F.lit(1)).alias("n"), F.sum("Amount").alias("total"), F.countDistinct("Receiver_account").alias("receivers"), hours.alias("hours"))
+
+
+def described(df: DataFrame, columns: list[str], quantiles: tuple[float, ...] = (0.5, 0.75, 0.9, 0.95, 0.99)) -> DataFrame:
+    """(column, n, mean, std, min, quantiles, max) of numeric columns in one pass."""
+    parts = lambda c: F.struct(
+        F.lit(c).alias("column"), F.count(c).alias("n"), F.round(F.avg(c), 6).alias("mean"), F.round(F.stddev(c), 4).alias("std"), F.min(c).cast("double").alias("min"),
+        *(F.round(F.percentile(c, q), 6).alias(f"p{int(q * 100)}") for q in quantiles), F.max(c).cast("double").alias("max"),
+    )
+    one = df.agg(*(parts(c).alias(f"_{i}") for i, c in enumerate(columns)))
+    return one.select(F.explode(F.array(*(f"_{i}" for i in range(len(columns))))).alias("x")).select("x.*")
+
+
+def stratified_split(tx: DataFrame, test: float = 0.2, seed: int = 42, label: str = "Is_laundering") -> DataFrame:
+    """Adds ``fold``: 'test' for about ``test`` of each class by a seeded hash of id and label; no shuffle, the same on every run."""
+    place = F.pmod(F.xxhash64(F.lit(seed), F.col(label), "tx_id"), F.lit(1_000_000))
+    return tx.withColumn("fold", F.when(place < int(test * 1_000_000), "test").otherwise("train"))

@@ -368,7 +368,8 @@ def g5_smurfing_grid(spark, sf_dir):
         F.count(F.lit(1)).alias("n"), F.percentile("Amount", 0.5).alias("md"), F.sum("Amount").alias("t"), F.sum(dev).alias("dev_transactions"), F.sum(dev * F.col("Is_laundering")).alias("dev_aml"), F.sum(dev * (F.col("Laundering_type") == "Smurfing").cast("int")).alias("dev_target"),
     ).where("dev_transactions > 0")
     g = P.grid(spark, min_n=(3, 5, 8, 10), max_median=(4000.0, 6000.0, 9000.0), min_total=(10_000.0, 20_000.0, 30_000.0)).withColumn("min_n", F.col("min_n").cast("int"))
-    return P.evaluate_grid(o, g, (F.col("n") >= F.col("min_n")) & (F.col("md") < F.col("max_median")) & (F.col("t") >= F.col("min_total")))
+    o = P.cells(o, cell_n=P.at_least("n", (3, 5, 8, 10)), cell_median=P.below("md", (4000.0, 6000.0, 9000.0)), cell_total=P.at_least("t", (10_000.0, 20_000.0, 30_000.0)))
+    return P.evaluate_grid(o, g, (F.col("cell_n") >= F.col("min_n")) & (F.col("cell_median") <= F.col("max_median")) & (F.col("cell_total") >= F.col("min_total")))
 
 
 _EDGE = ", e AS (SELECT Sender_account AS src, Receiver_account AS dst, ts, tx_id, Amount AS amount FROM f WHERE NOT cash AND Sender_account<>Receiver_account)"
