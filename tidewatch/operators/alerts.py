@@ -51,13 +51,21 @@ def ml_cases(linked: DataFrame, evidence: DataFrame) -> DataFrame:
         F.sum("alert_amount").alias("total_alert_amount"), F.max("ml_probability_max").alias("ml_probability_max"), F.avg("ml_probability_mean").alias("ml_probability_mean"),
     )
     out = out.join(tx, "case_id", "left").withColumn("transaction_count", F.coalesce("transaction_count", F.lit(0)))
-    return ranked(out, [F.desc("ml_probability_max"), F.desc("alert_count"), F.desc("last_alert_at"), F.asc("case_id")])
+    return ranked(out, [F.desc("ml_probability_max"), F.desc("alert_count"), F.desc("last_alert_at"), F.asc("case_id")], -F.floor(F.col("ml_probability_max") * 1000))
 
 
-def ranked(df: DataFrame, order: list[Column], name: str = "queue_rank") -> DataFrame:
-    """Position in a total order. Rows are range-sorted; each partition's rank starts where those before it end."""
-    df = df.sparkSession.createDataFrame(df.orderBy(*order).rdd.zipWithIndex().map(lambda x: (*x[0], x[1] + 1)), df.schema.add(name, "long"))
-    return df
+def ranked(df: DataFrame, order: list[Column], band: Column, name: str = "queue_rank") -> DataFrame:
+    """Position in a total order without one task for all rows.
+
+    ``band`` rises along the order (a day, a rounded score) and has few values: ranks are counted within each band, after
+    the sizes of the bands before it.
+    """
+    x = df.withColumn("_band", F.coalesce(band.cast("long"), F.lit(2**62)))
+    sizes = x.groupBy("_band").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_band").rowsBetween(Window.unboundedPreceding, -1)  # one row a band
+    sizes = sizes.select("_band", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    place = F.col("_before") + F.row_number().over(Window.partitionBy("_band").orderBy(*order))
+    return x.join(F.broadcast(sizes), "_band").withColumn(name, place).select(*df.columns, name)
 
 
 def rule_alerts(hits: DataFrame, gaps: dict[str, int], default: int = 7) -> DataFrame:
@@ -82,7 +90,57 @@ def rule_queue(linked: DataFrame, weights: dict[str, int], sanctioned: str = "SC
     )
     risk = F.least(F.lit(100), F.col("_w") + 10 * (F.col("scenario_count") - 1) + 5 * F.least(F.lit(4), F.col("alert_count") - 1))
     out = out.withColumn("risk_score", risk.cast("int")).drop("_w")
-    return out.withColumn("queue_priority", F.when(F.col("risk_score") >= 80, "HIGH").when(F.col("risk_score") >= 60, "MEDIUM").otherwise("LOW"))
+    out = out.withColumn("queue_priority", F.when(F.col("risk_score") >= 80, "HIGH").when(F.col("risk_score") >= 60, "MEDIUM").otherwise("LOW"))
+    return ranked(out, [F.desc("risk_score"), F.desc("last_alert_at"), F.asc("case_id")], -F.col("risk_score"))
+
+
+def rule_case_links(alerts: DataFrame, days: int = 30) -> DataFrame:
+    """Rule alerts with their case: sessions of alert starts per account, over all scenarios."""
+    s = sessions(alerts, ["primary_account_id"], "alert_created_at", days, "alert_id")
+    return s.withColumn("case_id", hash_id("CAS-RV3-", F.col("primary_account_id"), F.col("session"))).drop("session")
+
+
+def transaction_alerts(df: DataFrame, scenario: str, flag: str, focal: str = "Sender_account", hours: int | None = None) -> DataFrame:
+    """One alert per flagged row, numbered by time; ``hours`` gives the start of the window that the flag looked back on."""
+    hit = df.where(F.col(flag) == 1)
+    hit = ranked(hit, [F.asc("ts"), F.asc("tx_id")], F.unix_date(F.to_date("ts")), "_no")
+    start = F.col("ts") - F.make_dt_interval(hours=F.lit(hours)) if hours else F.lit(None).cast("timestamp")
+    return hit.select(
+        F.format_string(f"{scenario}-%07d", "_no").alias("alert_id"), F.lit(scenario).alias("scenario_id"), F.col(focal).alias("focal_account"), "tx_id", F.col("ts").alias("alert_timestamp"),
+        start.alias("lookback_start"), F.col("Amount").alias("amount"), "Is_laundering",
+    )
+
+
+def scenario_rollup(alerts: DataFrame) -> DataFrame:
+    return alerts.groupBy("scenario_id").agg(F.count(F.lit(1)).alias("alerts"), F.sum("transaction_count").alias("triggering_transactions"), F.countDistinct("primary_account_id").alias("accounts"))
+
+
+def routes(mart: DataFrame) -> DataFrame:
+    """Cross-border routes of each case: rows and amount."""
+    route = F.concat_ws(" → ", "Sender_bank_location", "Receiver_bank_location")
+    return mart.where("Cross_border = 1").groupBy("case_id", route.alias("route")).agg(F.count(F.lit(1)).alias("n"), F.sum("Amount").alias("amount"))
+
+
+def timeline(linked: DataFrame) -> DataFrame:
+    """Alerts per case, day and scenario."""
+    return linked.groupBy("case_id", F.to_date("alert_created_at").alias("day"), "scenario_id").agg(F.count(F.lit(1)).alias("alerts"))
+
+
+def queue_view(queue: DataFrame, priorities: tuple[str, ...] = ("HIGH", "MEDIUM", "LOW"), policy: bool | None = None, several: bool | None = None, n: int = 50) -> DataFrame:
+    """The first ``n`` cases of the queue after its filters."""
+    out = queue.where(F.col("queue_priority").isin(*priorities))
+    if policy is not None:
+        out = out.where(F.col("policy_flag") == int(policy))
+    if several is not None:
+        out = out.where((F.col("scenario_count") > 1) == several)
+    return out.orderBy("queue_rank").limit(n)
+
+
+def priority_counts(queue: DataFrame) -> DataFrame:
+    """Cases per priority, each of the three listed."""
+    each = F.explode(F.array(*(F.lit(p) for p in ("HIGH", "MEDIUM", "LOW")))).alias("queue_priority")
+    names = queue.sparkSession.range(1).select(each)
+    return names.join(queue.groupBy("queue_priority").count(), "queue_priority", "left").select("queue_priority", F.coalesce("count", F.lit(0)).alias("n"))
 
 
 def case_context(cases: DataFrame, tx: DataFrame, hours: int = 72) -> DataFrame:

@@ -6,7 +6,9 @@ next bucket, so a hub account's transfers meet only those near in time.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
+
+from ..functions.scalars import holds
 
 
 def transfers(tx: DataFrame) -> DataFrame:
@@ -51,3 +53,44 @@ def deposit_then_send(tx: DataFrame, seconds: int = 72 * 3600, share: float = 0.
     cash = tx.where("is_cash_deposit = 1").select(F.col("Receiver_account").alias("dst"), F.unix_seconds("ts").alias("at"), "tx_id", F.col("Amount").alias("amount"))
     p = followed(cash, transfers(tx), "dst", "src", seconds).where(F.col("n_amount") >= F.lit(share) * F.col("amount"))
     return p.select(F.col("dst").alias("account"), F.col("tx_id").alias("deposit_tx"), F.col("n_tx_id").alias("send_tx"))
+
+
+def layered_fan_in(e: DataFrame, seconds: int = 86_400, mids: int = 2, leaves: int = 2) -> DataFrame:
+    """Accounts with at least ``mids`` senders that each were paid before by at least ``leaves`` distinct others."""
+    p = followed(e, e, "dst", "src", seconds).where("n_dst <> src")
+    each = p.groupBy(F.col("n_dst").alias("root"), F.col("dst").alias("mid")).agg(F.countDistinct("src").alias("leaves")).where(F.col("leaves") >= leaves)
+    return each.groupBy("root").agg(F.count(F.lit(1)).alias("mids"), F.sum("leaves").alias("leaf_links")).where(F.col("mids") >= mids)
+
+
+def triangles(e: DataFrame, seconds: int = 86_400) -> DataFrame:
+    """Cycles of three transfers over three accounts in rising time, all within ``seconds`` of the first."""
+    p = followed(e, e, "dst", "src", seconds).where("n_dst <> src")
+    two = p.select("src", F.col("dst").alias("mid1"), F.col("n_dst").alias("dst"), "tx_id", F.col("n_tx_id").alias("tx2"), F.col("at").alias("first_at"), F.col("n_at").alias("at"))
+    c = followed(two, e, "dst", "src", seconds).where(F.col("n_dst").eqNullSafe(F.col("src")) & (F.col("n_at") <= F.col("first_at") + seconds))
+    return c.select("src", "mid1", F.col("dst").alias("mid2"), F.col("tx_id").alias("tx1"), "tx2", F.col("n_tx_id").alias("tx3"))
+
+
+def gather_scatter(e: DataFrame, seconds: int = 86_400, senders: int = 3, receivers: int = 3) -> DataFrame:
+    """Moments at which an account was paid by at least ``senders`` in the time before and pays at least ``receivers`` after."""
+    each = e.select(F.explode(F.array(F.struct(F.col("dst").alias("account"), F.col("src").alias("payer"), F.lit(None).cast("long").alias("payee")), F.struct(F.col("src").alias("account"), F.lit(None).cast("long").alias("payer"), F.col("dst").alias("payee")))).alias("x"), "at")
+    at = Window.partitionBy("account").orderBy("at")
+    seen = each.select("x.*", "at").select("account", "at", F.size(F.collect_set("payer").over(at.rangeBetween(-seconds, -1))).alias("senders"), F.size(F.collect_set("payee").over(at.rangeBetween(1, seconds))).alias("receivers"))
+    return seen.where((F.col("senders") >= senders) & (F.col("receivers") >= receivers)).distinct()
+
+
+def behaviour_change(tx: DataFrame, recent: int = 7, base: int = 30, times: float = 3.0) -> DataFrame:
+    """Per transaction: the sender's last ``recent`` days (with this second) against the ``base`` days before, per day.
+
+    Flagged if amount or count a day is at least ``times`` the baseline's, or the receiver's place is new in both spans.
+    Without a baseline there is no change of amount or count.
+    """
+    day = 86_400
+    w = Window.partitionBy("Sender_account").orderBy(F.unix_seconds("ts"))
+    near, far, ever = w.rangeBetween(-recent * day + 1, 0), w.rangeBetween(-(recent + base) * day + 1, -recent * day), w.rangeBetween(-(recent + base) * day + 1, -1)
+    x = tx.withColumns({
+        "near_n": F.count(F.lit(1)).over(near), "far_n": F.count(F.lit(1)).over(far), "near_amount": F.sum("Amount").over(near), "far_amount": F.coalesce(F.sum("Amount").over(far), F.lit(0.0)),
+        "_known": F.collect_set("Receiver_bank_location").over(ever),
+    })
+    more = lambda a, b: holds((F.col(b) > 0) & (F.col(a) * F.lit(float(base)) >= F.lit(times * recent) * F.col(b)))
+    fresh = holds((F.size("_known") > 0) & ~F.array_contains("_known", F.col("Receiver_bank_location")))
+    return x.withColumns({"amount_change": more("near_amount", "far_amount"), "count_change": more("near_n", "far_n"), "new_place": fresh}).drop("_known")

@@ -129,11 +129,10 @@ def evaluate_grid(windows: DataFrame, params: DataFrame, condition: Column, per:
     return out.select(*keys, *(zero(c).alias(c) for c in ("triggered", "aml_hits", "target_hits", "windows")), F.round(ratio(zero("triggered"), F.col("all_tx")), 6).alias("trigger_rate"), F.round(ratio(zero("aml_hits"), zero("triggered")), 6).alias("precision"), F.round(ratio(zero("target_hits"), F.col("all_target")), 6).alias("target_recall"))
 
 
-def shortlist(results: DataFrame, most_rate: float = 0.01, n: int = 12) -> DataFrame:
-    """The best ``n`` under the rate ceiling, or of all if none is under it."""
+def shortlist(results: DataFrame, most_rate: float = 0.01, n: int = 12, ties: tuple[str, ...] = ()) -> DataFrame:
+    """The best ``n`` under the rate ceiling, or of all if none is under it; ``ties`` are the columns that order equal ones."""
     ok = results.withColumn("_ok", F.col("trigger_rate") <= most_rate).withColumn("_any", F.max("_ok").over(Window.partitionBy(F.lit(1))))  # grid rows
-    keys = [c for c in results.columns if c not in ("target_recall", "precision")]
-    return ok.where("_ok OR NOT _any").drop("_ok", "_any").orderBy(F.desc("target_recall"), F.desc("precision"), *keys).limit(n)
+    return ok.where("_ok OR NOT _any").drop("_ok", "_any").orderBy(F.desc("target_recall"), F.desc("precision"), *ties).limit(n)
 
 
 def class_distribution(tx: DataFrame, *by: str) -> DataFrame:

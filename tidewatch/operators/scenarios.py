@@ -100,3 +100,16 @@ def smurfing_v3() -> Column:
 def fan_out_v3(most: int = 12, rate: float = 0.20) -> Column:
     """Over 21 sliding days."""
     return holds((F.col("unique_receivers") >= 3) & F.col("n").between(3, most) & risky(rate, rate))
+
+
+def cash_smurfing(n: int, median: float, total: float, rate: float = 0.15) -> Column:
+    """On cash deposits joined with their sender's bucket."""
+    return holds((F.col("n") >= n) & (F.col("median_amount") < median) & (F.col("total") >= total) & (F.col("cross_rate") <= rate) & (F.col("fx_rate") <= rate))
+
+
+def cash_withdrawal(n: int, median: float, total: float) -> Column:
+    return holds((F.col("n") >= n) & (F.col("median_amount") <= median) & (F.col("total") >= total))
+
+
+def fan_out_what_if(least: int, most: int, rate: float) -> Column:
+    return holds((F.col("unique_others") >= least) & F.col("n").between(least, most) & risky(rate, rate))
