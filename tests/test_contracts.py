@@ -67,3 +67,37 @@ def test_streaming_sessions_equal_batch(spark, tmp_path):
     q.awaitTermination(120)
     got = sorted(r.transaction_count for r in spark.table("alerts_out").collect())
     assert got in ([1, 2], [1, 1, 2])  # the last session stays open until a later row closes it
+
+
+def test_stratified_split_keeps_the_shares(spark):
+    df = spark.range(20_000).select(F.col("id").alias("tx_id"), (F.col("id") % 50 == 0).cast("int").alias("Is_laundering"))
+    got = {(r[0], r[1]): r[2] for r in P.stratified_split(df).groupBy("Is_laundering", "fold").count().collect()}
+    assert abs(got[0, "test"] / 19_600 - 0.2) < 0.02 and abs(got[1, "test"] / 400 - 0.2) < 0.08
+
+
+def test_audits_find_what_is_wrong(spark):
+    from tidewatch.operators import audit
+
+    rows = [(1, 1, 0.9, 1), (1, 0, 0.1, 0), (2, 3, 1.5, 1), (3, 0, 0.2, 1), (None, None, None, None)]
+    df = spark.createDataFrame(rows, "tx_id long, Is_laundering int, ml_probability double, ML_ALERT int")
+    got = {r[0]: r[1] for r in audit.evidence(df, 0.5).collect()}
+    assert got == {"null_transaction_id": 1, "null_label": 1, "null_probability": 1, "label_not_binary": 1, "probability_out_of_range": 1, "flag_against_threshold": 1, "repeated_transaction_id": 1}
+
+
+def test_ranks_cross_bands_and_empty_queues(spark):
+    df = spark.createDataFrame([(0.91, "a"), (0.12, "b"), (0.91, "c"), (None, "d")], "p double, k string")
+    got = A.ranked(df, [F.desc_nulls_last("p"), F.asc("k")], -F.floor(F.col("p") * 10)).orderBy("queue_rank").collect()
+    assert [(r.k, r.queue_rank) for r in got] == [("a", 1), ("c", 2), ("b", 3), ("d", 4)]
+    assert A.ranked(df.limit(0), [F.desc("p")], F.col("p")).count() == 0
+
+
+def test_history_goes_on_over_micro_batches(spark, tmp_path):
+    from tidewatch.streaming.jobs import drained, running_history
+
+    rows = [(i, 1, 2.0, dt.datetime(2023, 1, 1, i)) for i in range(6)]
+    df = spark.createDataFrame(rows, "tx_id long, Sender_account long, Amount double, ts timestamp")
+    df.where("tx_id < 3").coalesce(1).write.parquet(str(tmp_path / "in"))
+    df.where("tx_id >= 3").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    got = sorted((r.Sender_prior_count, r.Sender_prior_amount) for r in drained(running_history(stream), "h").collect())
+    assert got == [(i, 2.0 * i) for i in range(6)]

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
@@ -47,6 +50,12 @@ def write_manifest(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that driver and executors share; a temporary one only where ``spark.checkpoint.dir`` is unset."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tidewatch-")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def transaction_id(row_id: Column) -> Column:
     return F.format_string("TXN-HO-%010d", row_id)
 
@@ -58,8 +67,20 @@ def _place(account: str, names: tuple[str, str, str, str]) -> Column:
 
 def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Transactions derived from ``events``: one a row, with accounts, currencies, places, labels and a score."""
-    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "ts", "user_id", "event_type", "value", "props")
-    users = e.agg((F.max("user_id") + 1).alias("users"))  # one row
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return from_events(e, e)
+
+
+def transaction_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same as a stream of the table's files; the number of accounts is read once, at start."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    # a pattern, as the source takes no single file by its name
+    return from_events(spark.readStream.schema(e.schema).parquet(f"{sf_dir}/events.parque[t]"), e)
+
+
+def from_events(events: DataFrame, known: DataFrame) -> DataFrame:
+    e = events.select("event_id", "ts", "user_id", "event_type", "value", "props")
+    users = known.agg((F.max("user_id") + 1).alias("users"))  # one row
     step = F.regexp_extract("props", "[0-9]+", 0).cast("long") % 12
     e = e.crossJoin(F.broadcast(users)).withColumns({"s": F.col("user_id"), "r": (F.col("user_id") * 7 + step) % F.col("users")})
     money, place = ("UK pounds", "US dollar", "Dirham", "Turkish lira"), ("UK", "USA", "UAE", "Turkey")

@@ -1,8 +1,17 @@
-"""Streaming forms: deduplicated ingest, account windows and session alerts, with watermarks for late rows."""
+"""Streaming forms: deduplicated ingest, account windows, session alerts and running account history.
+
+Watermarks bound the state of all but the history, which keeps one row of state an account.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from ..sources.tables import shared_path
 
 
 def ingest(stream: DataFrame, late: str = "1 day") -> DataFrame:
@@ -21,3 +30,35 @@ def session_alerts(stream: DataFrame, threshold: float, gap: str = "7 days") ->
     w = F.session_window("ts", gap)
     out = stream.where(F.col("ml_probability") >= threshold).groupBy(w.alias("w"), "Sender_account").agg(F.count(F.lit(1)).alias("transaction_count"), F.sum("Amount").alias("alert_amount"), F.max("ml_probability").alias("ml_probability_max"))
     return out.select(F.sha1(F.concat_ws("|", F.col("Sender_account").cast("string"), F.col("w.start").cast("string"))).alias("alert_id"), "Sender_account", F.col("w.start").alias("alert_created_at"), "transaction_count", "alert_amount", "ml_probability_max")
+
+
+HISTORY = "tx_id long, Sender_prior_count long, Sender_prior_amount double, Sender_gap double"
+
+
+def _history_step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    count, total, last = state.get if state.exists else (0, 0.0, None)
+    rows = pd.concat(list(frames)).sort_values(["at", "tx_id"], kind="stable")
+    sums = rows["Amount"].cumsum()
+    gap = rows["at"].diff()
+    gap.iloc[0] = -1.0 if last is None else rows["at"].iloc[0] - last
+    yield pd.DataFrame({"tx_id": rows["tx_id"], "Sender_prior_count": range(count, count + len(rows)), "Sender_prior_amount": total + sums - rows["Amount"], "Sender_gap": gap.astype(float)})
+    state.update((count + len(rows), float(total + sums.iloc[-1]), int(rows["at"].iloc[-1])))
+
+
+def running_history(stream: DataFrame) -> DataFrame:
+    """Number, sum and distance of each sender's earlier transactions, as they arrive.
+
+    A micro-batch is ordered by time, then id; its size (``maxFilesPerTrigger``) bounds what one account brings at once.
+    Rows that arrive late count as arriving then.
+    """
+    rows = stream.select("tx_id", "Sender_account", F.unix_seconds("ts").alias("at"), "Amount")
+    return rows.groupBy("Sender_account").applyInPandasWithState(_history_step, HISTORY, "n long, total double, last long", "append", GroupStateTimeout.NoTimeout)
+
+
+def drained(stream: DataFrame, name: str) -> DataFrame:
+    """Runs a stream over all that its source has, and reads back what it appended."""
+    spark = stream.sparkSession
+    out, marks = shared_path(spark, name), shared_path(spark, f"{name}-marks")
+    q = stream.writeStream.format("parquet").outputMode("append").trigger(availableNow=True).option("checkpointLocation", marks).start(out)
+    q.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(out)
