@@ -3,6 +3,7 @@
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 from tidewatch.plans import ORACLES, QUERIES
@@ -15,7 +16,7 @@ def rows(df):
     df = df[sorted(df.columns)]
     out = []
     for r in df.itertuples(index=False):
-        out.append(tuple("-" if v is None or v != v else f"{float(v):.6f}" if isinstance(v, (int, float)) and not isinstance(v, bool) or hasattr(v, "dtype") and v.dtype.kind in "if" else str(v).removesuffix(" 00:00:00") for v in r))  # dates come as timestamps from DuckDB
+        out.append(tuple("-" if pd.isna(v) else f"{float(v):.6f}" if isinstance(v, (int, float)) and not isinstance(v, bool) or hasattr(v, "dtype") and v.dtype.kind in "if" else str(v).removesuffix(" 00:00:00") for v in r))  # dates come as timestamps from DuckDB
     return sorted(out)
 
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import scalars as S
 from ..operators import alerts as A, audit, evaluation as E, features as W, profiles as P, scenarios as D
 from ..sources.tables import transactions
 from .registry import _CUM, _F, _FAN, _FLAGS, _H, _SPLIT, _V1, _features, _ml, _query, _v1
@@ -53,10 +52,10 @@ def a10_structuring_sender_summary(spark, sf_dir):
     return P.summarised(P.sender_summary(P.structuring_population(_features(spark, sf_dir))), "Pattern", ["n", "total", "receivers", "hours"])
 
 
-@_query(_F + " SELECT date_trunc('day',ts)::TIMESTAMP AS bucket, Sender_account, count(*) AS n, sum(Amount) AS total, round(quantile_cont(Amount,0.5),6) AS median_amount, round(quantile_cont(Amount,0.95),6) AS p95_amount, count(DISTINCT Receiver_account) AS unique_others, round((epoch_us(max(ts))-epoch_us(min(ts)))/86400e6,6) AS duration_days FROM f GROUP BY 1,2")
+@_query(_F + " SELECT date_trunc('day',ts)::TIMESTAMP AS bucket, Sender_account, count(*) AS n, sum(Amount) AS total, round(quantile_cont(Amount,0.5),6) AS median_amount, round(quantile_cont(Amount,0.95),6) AS p95_amount, count(DISTINCT Receiver_account) AS unique_others, (epoch_us(max(ts))-epoch_us(min(ts)))/86400e6 AS duration_days FROM f GROUP BY 1,2")
 def a12_sender_days(spark, sf_dir):
     b = W.bucket_features(_features(spark, sf_dir), "Sender_account", "Receiver_account", F.date_trunc("day", "ts"))
-    return b.select("bucket", "Sender_account", "n", "total", *(F.round(c, 6).alias(c) for c in ("median_amount", "p95_amount")), "unique_others", F.round(S.seconds_between(F.col("first_ts"), F.col("last_ts")) / 86_400, 6).alias("duration_days"))
+    return b.select("bucket", "Sender_account", "n", "total", *(F.round(c, 6).alias(c) for c in ("median_amount", "p95_amount")), "unique_others", ((F.unix_micros("last_ts") - F.unix_micros("first_ts")) / F.lit(86_400e6)).alias("duration_days"))
 
 
 @_query(_F + """, e AS (SELECT 'RULE' AS engine, CAST(Amount>=20000 AS INT) AS p, Is_laundering AS y FROM f UNION ALL SELECT 'ML', CAST(ml AS INT), Is_laundering FROM f),
