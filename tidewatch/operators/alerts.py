@@ -184,3 +184,8 @@ def violations(alerts: DataFrame, links: DataFrame, cases: DataFrame, linked: Da
     ):
         out = out.unionByName(count(name, df))
     return out
+
+
+def case_alerts(linked: DataFrame, cases: DataFrame) -> DataFrame:
+    """The alerts of the given cases."""
+    return linked.join(cases.select("case_id").distinct(), "case_id", "left_semi")

@@ -199,3 +199,56 @@ def a37_timeline(spark, sf_dir):
 @_query(_F + _SESS + _CASE + _MART + " SELECT case_id, Sender_bank_location || ' → ' || Receiver_bank_location AS route, count(*) AS n, sum(Amount) AS amount FROM m WHERE Cross_border=1 GROUP BY 1,2")
 def a36_routes(spark, sf_dir):
     return A.routes(_mart(spark, sf_dir))
+
+
+@_query(_RULES + " SELECT rl.case_id, alert_id, scenario_id, CAST(n AS BIGINT) AS transaction_count FROM rl JOIN rq USING (case_id) WHERE queue_rank<=10")
+def c8_case_alerts(spark, sf_dir):
+    """Drill-down into the first ten cases of the queue."""
+    linked = _rule_links(spark, sf_dir)
+    first = A.rule_queue(linked, {n: D.V1[n][0] for n in _NAMES}).where("queue_rank <= 10")
+    return A.case_alerts(linked, first).select("case_id", "alert_id", "scenario_id", "transaction_count")
+
+
+_SMURF = """, res AS (SELECT g.*, CAST(coalesce(sum(dt),0) AS BIGINT) AS triggered, CAST(coalesce(sum(da),0) AS BIGINT) AS aml_hits, CAST(coalesce(sum(dg),0) AS BIGINT) AS target_hits, count(o.n) AS windows,
+ round(coalesce(sum(dt),0)/max(t.at),6) AS trigger_rate, round(coalesce(sum(da)/nullif(sum(dt),0),0),6) AS precision, round(coalesce(sum(dg),0)/max(t.ag),6) AS target_recall
+ FROM g JOIN (SELECT d, sum(dt) AS at, sum(dg) AS ag FROM o GROUP BY 1) t ON t.d=g.days LEFT JOIN o ON o.d=days AND o.n>=min_n AND o.md<max_median AND o.t>=min_total AND o.u<=3 AND o.r<={0} GROUP BY ALL) SELECT * FROM res"""
+_AXES = ", g AS (SELECT * FROM (SELECT unnest({0}) AS days), (SELECT unnest({1}) AS min_n), (SELECT CAST(unnest({2}) AS DOUBLE) AS max_median), (SELECT CAST(unnest({3}) AS DOUBLE) AS min_total))"
+
+
+def _smurfing_grid(windows, spark, rate, days, counts, medians, totals):
+    """``windows``: d, n, md, t, u, r and the dev sums. Those that break the fixed rules count in the totals only."""
+    ok = (F.col("u") <= 3) & (F.col("r") <= rate)
+    c = P.cells(windows, cell_days=F.col("d"), cell_n=F.when(ok, P.at_least("n", counts)), cell_median=P.below("md", medians), cell_total=P.at_least("t", totals))
+    g = P.grid(spark, days=days, min_n=counts, max_median=medians, min_total=totals)
+    g = g.select(*(F.col(k).cast("int").alias(k) for k in ("days", "min_n")), "max_median", "min_total")
+    return P.evaluate_grid(c, g, (F.col("cell_n") >= F.col("min_n")) & (F.col("cell_median") <= F.col("max_median")) & (F.col("cell_total") >= F.col("min_total")), per="days")
+
+
+_G1 = ((60,), (5, 8, 10, 12), (3_000.0, 4_000.0, 5_000.0), (15_000.0, 25_000.0, 40_000.0))
+_G3 = ((60, 90, 120), (3, 5, 8, 10), (3_000.0, 4_000.0, 5_000.0, 6_000.0), (10_000.0, 20_000.0, 30_000.0))
+
+
+@_query(_F + ", o AS (SELECT 60 AS d, time_bucket(INTERVAL '60 days', ts, TIMESTAMP '1970-01-01') AS bk, Sender_account, count(*) AS n, quantile_cont(Amount,0.5) AS md, sum(Amount) AS t, count(DISTINCT Receiver_account) AS u, greatest(avg(Cross_border),avg(Currency_mismatch)) AS r, count(*) AS dt, sum(Is_laundering) AS da, sum(CAST(Laundering_type='Smurfing' AS INT)) AS dg FROM f GROUP BY 1,2,3)" + _AXES.format(*map(list, _G1)) + _SMURF.format("0.10"))
+def g1_smurfing_period_grid(spark, sf_dir):
+    b = _features(spark, sf_dir).groupBy(F.lit(60).alias("d"), W.epoch_bucket(F.col("ts"), 60).alias("bucket"), "Sender_account").agg(
+        F.count(F.lit(1)).alias("n"), F.percentile("Amount", 0.5).alias("md"), F.sum("Amount").alias("t"), F.countDistinct("Receiver_account").alias("u"), F.greatest(F.avg("Cross_border"), F.avg("Currency_mismatch")).alias("r"),
+        F.count(F.lit(1)).alias("dev_transactions"), F.sum("Is_laundering").alias("dev_aml"), F.sum((F.col("Laundering_type") == "Smurfing").cast("int")).alias("dev_target"),
+    )
+    return _smurfing_grid(b, spark, 0.10, *_G1)
+
+
+@_query(_F + """, b AS (SELECT f.*, d, CAST(floor((epoch_us(ts)-epoch_us(TIMESTAMP '2024-01-15'))/(d*86400000000.0)) AS BIGINT) AS bucket FROM f, (SELECT unnest([60,90,120]) AS d)),
+ nw AS (SELECT *, CAST(row_number() OVER (PARTITION BY d, Sender_account, bucket, Receiver_account ORDER BY ts, tx_id)=1 AS INT) AS isnew FROM b),
+ rr AS (SELECT d, ts, Is_laundering, Laundering_type, count(*) OVER w AS n, quantile_cont(Amount,0.5) OVER w AS md, sum(Amount) OVER w AS t, sum(isnew) OVER w AS u, greatest(avg(Cross_border) OVER w, avg(Currency_mismatch) OVER w) AS r FROM nw WINDOW w AS (PARTITION BY d, Sender_account, bucket ORDER BY ts, tx_id ROWS UNBOUNDED PRECEDING)),
+ o AS (SELECT d, n, md, t, u, r, 1 AS dt, Is_laundering AS da, CAST(Laundering_type='Smurfing' AS INT) AS dg FROM rr WHERE ts>=TIMESTAMP '2024-01-15')""" + _AXES.format(*map(list, _G3)) + _SMURF.format("0.15"))
+def g3_causal_smurfing_grid(spark, sf_dir):
+    """144 settings on features that each row's sender had at that moment; rows before the development start are context."""
+    start = F.lit("2024-01-15").cast("timestamp")
+    f, rows = _features(spark, sf_dir), None
+    for days in _G3[0]:
+        r = W.causal_bucket(f, days, start).where(F.col("ts") >= start).select(
+            F.lit(days).alias("d"), "n", F.col("median_amount").alias("md"), F.col("total").alias("t"), F.col("unique_receivers").alias("u"), F.greatest("cross_rate", "fx_rate").alias("r"),
+            F.lit(1).alias("dev_transactions"), F.col("Is_laundering").alias("dev_aml"), (F.col("Laundering_type") == "Smurfing").cast("int").alias("dev_target"),
+        )
+        rows = r if rows is None else rows.unionByName(r)
+    return _smurfing_grid(rows, spark, 0.15, *_G3)
