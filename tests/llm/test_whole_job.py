@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from tidewatch.llm import shingle_dedup
+from tidewatch.llm import line_dedup, shingle_dedup
 
 
 def shingles(t):
@@ -49,3 +49,17 @@ def test_near_dedup_stage_finds_all_pairs_at_0_8(spark, often, monkeypatch):
     assert sorted((r.doc_id, r.text or "") for r in got if r.doc_id is not None) == want
     assert [r.text for r in got if r.doc_id is None] == [texts[9]]
     assert corpus_pipeline.near_deduplication(spark, docs.where("false"), "").count() == 0
+
+
+def test_short_lines_have_rows_and_are_linked_by_equality(spark):
+    long = "a line of more than twenty code points"
+    rows = [(1, f"}}\n{long}\n \t\nYes."), (2, f"  }}\r\nNo.\n{long}\n}}"), (3, None), (4, "Yes"), (None, "}")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(tuple(r) for r in line_dedup.line_classes(df).collect())
+    assert got == [
+        (1, 0, 0, 1, 0, False), (1, 1, 0, 1, 1, False), (1, 3, 0, 1, 3, False),
+        (2, 0, 0, 1, 0, True), (2, 1, 0, 2, 1, False), (2, 2, 0, 1, 1, True), (2, 3, 0, 1, 0, True), (4, 0, 0, 4, 0, False),
+    ]
+    kept = {r.doc_id: r.text for r in line_dedup.drop_repeated_lines(df).collect()}
+    assert kept[2] == "  }\r\nNo.\n}"  # the stage takes out long copies only
+    assert {r.doc_id: r.text for r in line_dedup.drop_repeated_lines(df, min_removed=1).collect()}[2] == "No."

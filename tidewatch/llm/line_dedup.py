@@ -9,8 +9,12 @@ their characters, of which one edit flips two bits at most, then by banded bit-p
 vertical differences in one integer, updated for each character by a few bit operations).
 
 A line is a copy if the same line, or one within the threshold, comes earlier: in a document with a smaller id or, in
-the same document, above it. The first stays. Lines are trimmed of spaces, tabs and carriage returns; lines under
-``min_chars`` code points carry too little to tell a copy from chance and are neither compared nor removed.
+the same document, above it. The first stays. Lines are trimmed of spaces, tabs and carriage returns; every line that
+is not blank then is counted and has its row in ``line_classes``. Two edits make another line of a short one, so lines
+under ``min_chars`` code points are linked by equality alone, and the edit join is on the others.
+
+What ``drop_repeated_lines`` takes out of documents is a choice of its own: only lines of ``min_removed`` code points or more,
+as short ones (a brace, a heading, "Yes.") repeat by chance and their text needs them.
 
 Hot lines: lines are first counted with partial aggregation, by hash and without their texts; a line with more than
 ``OFTEN`` occurrences is made distinct, again combined before the shuffle, so one that a third of all documents hold is
@@ -27,17 +31,18 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .common import written
 
-EDITS, MIN_CHARS = 2, 20
+#: Lines of MIN_CHARS are compared by edits, shorter ones by equality; lines of MIN_REMOVED are taken out of documents.
+EDITS, MIN_CHARS, MIN_REMOVED = 2, 20, 20
 _RESIDUES = 1 << 20
 _STEP = 1 << 31
 #: A line with more occurrences is made distinct before its parts are shuffled; others are as they are.
 OFTEN = 64
 
 
-def lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """(doc_id, line_no, line, id, id2): the lines that are compared, with two hashes of each."""
+def lines(docs: DataFrame, least_chars: int = 1) -> DataFrame:
+    """(doc_id, line_no, line, id, id2): the lines of ``least_chars`` code points or more, with two hashes of each."""
     cut = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split("text", "\n")).alias("line_no", "raw"))
-    cut = cut.select("doc_id", "line_no", F.trim("raw", F.lit(" \t\r")).alias("line")).where(F.length("line") >= min_chars)
+    cut = cut.select("doc_id", "line_no", F.trim("raw", F.lit(" \t\r")).alias("line")).where(F.length("line") >= least_chars)
     return cut.select("doc_id", "line_no", "line", F.xxhash64("line").alias("id"), F.xxhash64("line", F.lit(1)).alias("id2"))
 
 
@@ -190,12 +195,12 @@ def links(found: DataFrame, firsts: DataFrame, edits: int = EDITS) -> DataFrame:
     return done.select(F.col("a_id").alias("a"), F.col("a_id2").alias("a2"), F.col("b_id").alias("b"), F.col("b_id2").alias("b2"))
 
 
-def line_classes(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
-    """One row per compared line: doc_id, line_no, n_links (other texts within the threshold), first_doc_id and
-    first_line_no (the first place of this or a linked text), removed."""
-    found = lines(docs, min_chars)
+def line_classes(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, least_chars: int = 1) -> DataFrame:
+    """One row per line that is not blank: doc_id, line_no, n_links (other texts within the threshold), first_doc_id and
+    first_line_no (the first place of this or a linked text), removed (it is a copy). ``least_chars`` leaves shorter lines out."""
+    found = lines(docs, least_chars)
     firsts = written(first_places(found), "first-places")
-    pairs = written(links(found, firsts, edits), "line-pairs")
+    pairs = written(links(found.where(F.length("line") >= min_chars), firsts, edits), "line-pairs")
     both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("b2").alias("a2"), F.col("a").alias("b"), F.col("a2").alias("b2")))
     other = firsts.select(F.col("id").alias("b"), F.col("id2").alias("b2"), F.col("first").alias("other"))
     linked = both.join(other, ["b", "b2"]).groupBy(F.col("a").alias("id"), F.col("a2").alias("id2")).agg(F.count(F.lit(1)).alias("n_links"), F.min("other").alias("other"))
@@ -210,11 +215,13 @@ def line_classes(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS
     return out.select("doc_id", "line_no", "n_links", "first_doc_id", "first_line_no", removed.alias("removed"))
 
 
-def drop_repeated_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
-    """``docs`` without the lines that are copies; documents of which nothing but blank lines is left go."""
-    gone = line_classes(docs, edits, min_chars).where("removed").groupBy("doc_id").agg(F.collect_set("line_no").alias("_gone"))
+def drop_repeated_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, min_removed: int = MIN_REMOVED) -> DataFrame:
+    """``docs`` without the lines of ``min_removed`` code points or more that are copies; documents of which nothing but
+    blank lines is left go."""
+    gone = line_classes(docs, edits, min_chars, min(min_chars, min_removed)).where("removed").groupBy("doc_id").agg(F.collect_set("line_no").alias("_gone"))
     out = docs.join(gone, "doc_id", "left")
-    left = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("_gone", i)), "\n")
+    goes = lambda x, i: F.array_contains("_gone", i) & (F.length(F.trim(x, F.lit(" \t\r"))) >= min_removed)
+    left = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~goes(x, i)), "\n")
     out = out.withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(left))
     out = out.where(F.col("_gone").isNull() | F.col("text").rlike(r"\S"))
     if "n_chars" in docs.columns:
