@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from tidewatch.llm import line_dedup, shingle_dedup
+from tidewatch.llm import decontamination, line_dedup, shingle_dedup
 
 
 def shingles(t):
@@ -63,3 +63,14 @@ def test_short_lines_have_rows_and_are_linked_by_equality(spark):
     kept = {r.doc_id: r.text for r in line_dedup.drop_repeated_lines(df).collect()}
     assert kept[2] == "  }\r\nNo.\n}"  # the stage takes out long copies only
     assert {r.doc_id: r.text for r in line_dedup.drop_repeated_lines(df, min_removed=1).collect()}[2] == "No."
+
+
+def test_both_paths_of_decontamination_match_null_and_repeated_ids(spark):
+    item = "A train leaves Paris at 9 with 120 people and then Anna counts 35 people more in the train to Paris"
+    short = "seven plain words make this item here"
+    big = 2**53 + 1
+    docs = [(None, f"Before. {item} after"), (1, f"So: {item}"), (1, f"So: {item}"), (1, "other text of the same id"), (big, f"well {short} then"), (None, None), (2, "nothing of it")]
+    items = [(None, item), (5, item), (5, short), (big + 2, short), (None, None)]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    small, large = (sorted(map(str, decontamination.find(d, b, most_windows=m).collect())) for m in (decontamination.MOST_WINDOWS, 0))
+    assert small == large and len(small) == 8

@@ -191,14 +191,14 @@ def _find_batches(index: Index, least: int):
     return run
 
 
-def _hash_batches(key: str, widths: list[int], window: int, whole: bool):
-    """(key, hash) of all windows of the given widths, or (``whole``) only of those an item of that size has."""
+def _hash_batches(widths: list[int], window: int, whole: bool):
+    """(key of the text, hash) of all windows of the given widths, or (``whole``) only of those an item of that size has."""
 
     def run(batches):
         for batch in batches:
             texts = batch.column("text")
             _, offsets = column_bytes(texts)
-            ids = batch.column(key).to_numpy(zero_copy_only=False)
+            keys = batch.column("key")
             for a, b in slices(offsets):
                 t = Template(texts.slice(a, b - a))
                 size = np.diff(t.first)
@@ -207,22 +207,25 @@ def _hash_batches(key: str, widths: list[int], window: int, whole: bool):
                     if whole:
                         own = np.minimum(size[t.row[at]], window) == w
                         at, h = at[own], h[own]
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[a + t.row[at]]), pa.array(h.view(np.int64))], [key, "h"])
+                    yield pa.RecordBatch.from_arrays([keys.take(pa.array(a + t.row[at])), pa.array(h.view(np.int64))], ["key", "h"])
 
     return run
 
 
+PAIR = ("doc_key", "doc_key2", "item_key", "item_key2")
+
+
 def _pair_batches(window: int, least: int):
-    """Verifies (doc_id, text, item_id, item_text) pairs."""
+    """Verifies pairs of a text and an item's text, which their keys name."""
 
     def run(batches):
         for batch in batches:
             rows = []
-            for doc, text, item, other in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "item_id", "item_text")), strict=True):
-                index = Index(pa.table({"item_id": [item], "text": pa.array([other], pa.string())}), window)
-                rows += [(doc, item, n, c, x) for _, _, n, c, x in index.verified(Template(pa.array([text], pa.string())), least)]
+            for *keys, text, other in zip(*(batch.column(c).to_pylist() for c in (*PAIR, "text", "item_text")), strict=True):
+                index = Index(pa.table({"item_id": [0], "text": pa.array([other], pa.string())}), window)
+                rows += [(*keys, n, c, x) for _, _, n, c, x in index.verified(Template(pa.array([text], pa.string())), least)]
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64()), strict=True)], ["doc_id", "item_id", "tokens", "coverage", "changed"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (*[pa.int64()] * 5, pa.float64(), pa.int64()), strict=True)], [*PAIR, "tokens", "coverage", "changed"])
 
     return run
 
@@ -237,11 +240,20 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, least_toke
         index = Index(items.toArrow(), window)
         return rows.mapInArrow(_find_batches(index, least_tokens), OUT)
     widths = list(range(min(LEAST_ITEM, window), window + 1))
-    left = rows.mapInArrow(_hash_batches("doc_id", widths, window, False), "doc_id long, h long").distinct()
-    right = items.mapInArrow(_hash_batches("item_id", widths, window, True), "item_id long, h long").distinct()
-    pairs = left.join(right, "h").select("doc_id", "item_id").distinct()
-    texts = pairs.join(rows, "doc_id").join(items.withColumnRenamed("text", "item_text"), "item_id")
-    return texts.select("doc_id", "text", "item_id", "item_text").mapInArrow(_pair_batches(window, least_tokens), OUT)
+    # texts are named by their hashes, not by ids, which may be null or repeated; each pair of texts is verified once
+    keys = {"key": F.xxhash64("text"), "key2": F.xxhash64("text", F.lit(1))}
+    rows, items = rows.withColumns(keys), items.withColumns(keys)
+    left = rows.select("key", "text").mapInArrow(_hash_batches(widths, window, False), "key long, h long").distinct()
+    right = items.select("key", "text").mapInArrow(_hash_batches(widths, window, True), "key long, h long").distinct()
+    pairs = left.withColumnRenamed("key", "doc_key").join(right.withColumnRenamed("key", "item_key"), "h").select("doc_key", "item_key").distinct()
+    named = lambda df, c, text: df.select(F.col("key").alias(f"{c}_key"), F.col("key2").alias(f"{c}_key2"), F.col("text").alias(text))
+    texts = named(rows, "doc", "text").join(pairs.select("doc_key").distinct(), "doc_key", "left_semi").dropDuplicates(["doc_key", "doc_key2"])
+    others = named(items, "item", "item_text").dropDuplicates(["item_key", "item_key2"])
+    met = pairs.join(texts, "doc_key").join(others, "item_key").select(*PAIR, "text", "item_text")
+    held = met.mapInArrow(_pair_batches(window, least_tokens), ", ".join(f"{c} long" for c in PAIR) + ", tokens long, coverage double, changed long")
+    of_doc = rows.select("doc_id", F.col("key").alias("doc_key"), F.col("key2").alias("doc_key2"))
+    of_item = items.select("item_id", F.col("key").alias("item_key"), F.col("key2").alias("item_key2"))
+    return held.join(of_doc, ["doc_key", "doc_key2"]).join(of_item, ["item_key", "item_key2"]).select("doc_id", "item_id", "tokens", "coverage", "changed")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, least_tokens: int = LEAST_TOKENS) -> DataFrame:
