@@ -55,7 +55,7 @@ def test_short_lines_have_rows_and_are_linked_by_equality(spark):
     long = "a line of more than twenty code points"
     rows = [(1, f"}}\n{long}\n \t\nYes."), (2, f"  }}\r\nNo.\n{long}\n}}"), (3, None), (4, "Yes"), (None, "}")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = sorted(tuple(r) for r in line_dedup.line_classes(df).collect())
+    got = sorted(tuple(r) for r in line_dedup.line_classes(df).drop("class_id").collect())
     assert got == [
         (1, 0, 0, 1, 0, False), (1, 1, 0, 1, 1, False), (1, 3, 0, 1, 3, False),
         (2, 0, 0, 1, 0, True), (2, 1, 0, 2, 1, False), (2, 2, 0, 1, 1, True), (2, 3, 0, 1, 0, True), (4, 0, 0, 4, 0, False),

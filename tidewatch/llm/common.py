@@ -36,3 +36,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def fresh(columns: list[str], *names: str) -> list[str]:
+    """A column name for each of ``names`` that ``columns`` don't have, in any case of letters."""
+    have, out = {c.lower() for c in columns}, []
+    for n in names:
+        while (n := f"_{n}") in have:
+            pass
+        out.append(n)
+    return out
