@@ -177,7 +177,7 @@ def test_line_dedup(docs, none):
 def test_edit_distance(spark):
     rows = [("kitten sitting on mats", "kitten sitting on mat"), ("ab", "ba"), ("abc", "xbcd"), ("", "ab"), ("same", "same"), ("aaaa", "bbbb"), ("éa", "ea")]
     df = spark.createDataFrame([(a, b, len(a), len(b)) for a, b in rows], "a_line string, b_line string, a_n int, b_n int")
-    got = [r.d for r in line_dedup.trimmed(df, 2).withColumn("d", line_dedup.edit_distance(F.col("x"), F.col("y"), 2)).collect()]
+    got = [r.d for r in df.withColumn("d", line_dedup.distance(2)).collect()]
     assert [min(x, 3) for x in got] == [min(distance(a, b), 3) for a, b in rows]
 
 

@@ -130,19 +130,6 @@ def _shared(a: Column, b: Column, most: Column, at_end: bool) -> Column:
     return F.aggregate(F.array(*(F.lit(1 << k) for k in range(20, -1, -1))), F.lit(0), grow)
 
 
-def trimmed(pairs: DataFrame, edits: int) -> DataFrame:
-    """Adds x and y: the characters of a_line and b_line without what both begin and end with, but for ``edits`` characters before it.
-
-    This leaves the edit distance as it is.
-    """
-    a, b, shorter = F.col("a_line"), F.col("b_line"), F.least("a_n", "b_n")
-    out = pairs.withColumn("head", _shared(a, b, shorter, False))
-    out = out.withColumn("tail", _shared(a, b, shorter - F.col("head"), True))
-    begin = F.greatest(F.col("head") - edits, F.lit(0))
-    cut = lambda x, n: F.split(F.substr(x, begin + 1, F.col(n) - begin - F.col("tail")), "")
-    return out.withColumns({"x": cut(a, "a_n"), "y": cut(b, "b_n")})
-
-
 def edit_distance(a: Column, b: Column, edits: int) -> Column:
     """Edit distance of two arrays of characters if it is at most ``edits``, else a larger number.
 
@@ -189,6 +176,27 @@ def edit_distance(a: Column, b: Column, edits: int) -> Column:
     return F.aggregate(b, start, step)["score"]
 
 
+def _let(value: Column, use) -> Column:
+    """``use(value)``, with ``value`` computed once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def distance(edits: int) -> Column:
+    """Edit distance of a_line and b_line, of a_n and b_n characters, if it is at most ``edits``, else a larger number.
+
+    What both begin and end with, but for ``edits`` characters before it, is cut off first, which leaves the distance as it is.
+    """
+    a, b, shorter = F.col("a_line"), F.col("b_line"), F.least("a_n", "b_n")
+
+    def cut(head: Column, tail: Column) -> Column:
+        begin = F.greatest(head - edits, F.lit(0))
+        part = lambda x, n: F.split(F.substr(x, begin + 1, F.col(n) - begin - tail), "")
+        return F.struct(part(a, "a_n").alias("x"), part(b, "b_n").alias("y"))
+
+    of = lambda p: edit_distance(p["x"], p["y"], edits)
+    return _let(_shared(a, b, shorter, False), lambda head: _let(_shared(a, b, shorter - head, True), lambda tail: _let(cut(head, tail), of)))
+
+
 def _residue(c: str) -> Column:
     return F.pmod(F.col(c), F.lit(_RESIDUES))
 
@@ -222,8 +230,9 @@ def links(found: DataFrame, firsts: DataFrame, edits: int = EDITS) -> DataFrame:
     longer = (F.col("b_n") > F.col("a_n")) | ((F.col("b_n") == F.col("a_n")) & (F.struct("b_id", "b_id2") > F.struct("a_id", "a_id2")))
     flipped = lambda c: F.bit_count(F.col(f"a_bits.{c}").bitwiseXOR(F.col(f"b_bits.{c}")))
     close = (F.col("b_n") - F.col("a_n") <= edits) & (flipped("one") <= 2 * edits) & (flipped("two") <= 4 * edits)
-    met = a.join(b, ["key", "block"]).where(longer & close).where(~_met_before(edits))
-    done = trimmed(met, edits).where(edit_distance(F.col("x"), F.col("y"), edits) <= edits)
+    # one expression, so that the cheap tests stay before the others
+    linked = F.when(longer & close, F.when(~_met_before(edits), distance(edits) <= edits).otherwise(False)).otherwise(False)
+    done = a.join(b, ["key", "block"]).where(linked)
     return done.select(*(F.col(f"{x}_{c}").alias(n) for x in "ab" for c, n in (("id", x), ("id2", f"{x}2"), ("first", f"{x}_first"))))
 
 
