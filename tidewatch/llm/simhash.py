@@ -4,13 +4,18 @@ Fingerprint: words of the text with A-Z lowered, shingles of ``SHINGLE`` words j
 shingle of all its words, a text without words the fingerprint zero), XXH64 with seed 42 of each; a bit is set if more
 than half of the shingles' hashes have it.
 
-Two fingerprints that differ in at most 4 of 64 bits differ in at most 2 bits of one 32-bit half. Within that half each
-emits all variants at half that radius: the 33 values that differ in at most one bit. The two meet in a variant, and no
-pair is missed. (Balls of radius 2 over all 64 bits would be 2,081 variants each against 66 here.) Variants are shuffled;
-those that one fingerprint alone has go; the members of each variant are linked by breadth-first search: a member is
-compared only with those not yet reached, so a dense group costs little more than one pass and gives one edge a member,
-not all pairs. Groups over ``BLOCK`` members are split into blocks, and each pair of blocks meets once. Fingerprints are
-made distinct before that, so copies never meet here. Components follow in ``graph``.
+Every distinct fingerprint emits all variants within half the radius: at radius 4 the 2,081 values that differ from it in at
+most two of 64 bits. Two fingerprints within the radius share a variant, the one halfway; and two that share a variant are
+within the radius, as each is within half of it. So a shared variant is a link, verified by its full 64 bits, and of all that
+share one it is enough to link each with one of them: groups of any size give no pairs of all members.
+
+Variants are many and nearly all stand alone, so they are not shuffled as rows. Fingerprints are dealt into chunks. A
+chunk hashes its variants to places, sorts them, and sends each bucket of places the differences as packed bytes, two or
+three a variant. A bucket finds the places that several chunks have and sends each chunk those of its own. The chunk, dealt
+the same way again, makes its variants a second time and keeps those at such places: it links its own members that share
+one, and sends each shared variant, once, with one member of the group it links, to a bucket that links groups across
+chunks by equal variants. Places that meet by chance fall out there. All chunks and buckets are of bounded size, dealt by hashes of
+distinct fingerprints, and can be made again when an executor is lost. Components follow in ``graph``.
 
 Defined cases: a null text has no words. Rows with a null ``doc_id`` take part in no link and are returned with a null
 component. Rows with the same id share the component of the least id among their links. Other columns are ignored by
@@ -19,6 +24,9 @@ component. Rows with the same id share the component of the least id among their
 
 from __future__ import annotations
 
+from functools import lru_cache
+from itertools import combinations
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -26,9 +34,11 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import written
 from .graph import components
-from .tokens import U64, Words, column_bytes, joined, slices, words
+from .tokens import U64, Words, column_bytes, joined, mix, slices, words
 
-SHINGLE, RADIUS, BLOCK = 4, 4, 20_000
+SHINGLE, RADIUS = 4, 4
+#: Variants of a chunk, and places of a bucket that are taken, at most about; places for each variant.
+VARIANTS, ROOM = 8_000_000, 32
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 #: For each byte value, its eight bits as eight byte lanes, first bit highest.
@@ -88,92 +98,208 @@ def fingerprints(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
     return rows.mapInArrow(_fingerprint_batches(width), "doc_id long, fp long")
 
 
-def _linked(fp: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Edges of a spanning forest of the links among distinct fingerprints."""
-    rest, a, b = np.arange(len(fp)), [], []
-    queue: list[int] = []
-    while len(rest):
-        if not queue:
-            queue.append(int(rest[0]))
-            rest = rest[1:]
-            continue
-        at = queue.pop()
-        near = np.bitwise_count(fp[rest] ^ fp[at]) <= radius
-        if near.any():
-            got = rest[near]
-            a.append(np.full(len(got), at))
-            b.append(got)
-            queue.extend(got.tolist())
-            rest = rest[~near]
-    return (np.concatenate(a), np.concatenate(b)) if a else (np.zeros(0, np.int64),) * 2
-
-
-def _link_batches(radius: int):
-    """Rows come sorted by cell: (variant, block, block). A cell is held whole; it has 2 * BLOCK rows at most."""
-
-    def flush(parts):
-        cell = np.concatenate([p[0] for p in parts])
-        fp = np.concatenate([p[1] for p in parts])
-        edges = np.flatnonzero(np.concatenate([[True], (cell[1:] != cell[:-1]).any(axis=1)]))
-        ends = np.append(edges[1:], len(fp))
-        out_a, out_b = [], []
-        two = np.flatnonzero(ends - edges == 2)  # most cells: decided at once
-        x, y = fp[edges[two]], fp[edges[two] + 1]
-        near = np.bitwise_count(x ^ y) <= radius
-        out_a.append(x[near])
-        out_b.append(y[near])
-        for s, e in zip(edges.tolist(), ends.tolist(), strict=True):
-            if e - s > 2:
-                own = fp[s:e]
-                i, j = _linked(own, radius)
-                out_a.append(own[i])
-                out_b.append(own[j])
-        a, b = np.concatenate(out_a).view(np.int64), np.concatenate(out_b).view(np.int64)
-        return pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
-
-    def run(batches):
-        parts: list = []
-        for t in batches:
-            if not t.num_rows:
-                continue
-            cell = np.stack([t.column(c).to_numpy() for c in ("k", "i", "j")], axis=1)
-            fp = t.column("fp").to_numpy().view(U64)
-            cut = len(cell)
-            while cut and (cell[cut - 1] == cell[-1]).all():
-                cut -= 1
-            if cut or parts and (parts[-1][0][-1] != cell[0]).any():
-                yield flush([*parts, (cell[:cut], fp[:cut])] if cut else parts)
-                parts = []
-            parts.append((cell[cut:], fp[cut:]))
-        if parts:
-            yield flush(parts)
-
-    return run
-
-
-def variants(distinct: DataFrame) -> DataFrame:
-    """(k, fp): each fingerprint under the 66 variants of its halves at radius 1; the key holds half and value."""
-    flips = F.array(F.lit(0).cast("long"), *[F.lit(1 << i).cast("long") for i in range(32)])
-    low, high = F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned("fp", 32)
-    keys = F.concat(
-        F.transform(flips, lambda x: low.bitwiseXOR(x)), F.transform(flips, lambda x: high.bitwiseXOR(x) + F.lit(1 << 32))
-    )
-    return distinct.select("fp", F.explode(keys).alias("k"))
-
-
-def links(distinct: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFrame:
-    """Edges (a, b) between distinct fingerprints whose components are those of all pairs within ``radius`` bits (4 at most)."""
-    if not 0 <= radius <= 4:
-        raise ValueError("half-ball variants find pairs within 4 bits")
-    keyed = variants(distinct.select("fp"))
-    counts = keyed.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    many = keyed.join(counts, "k")
-    blocks = F.ceil(F.col("n") / F.lit(block)).cast("long")
-    placed = many.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks")))
-    cells = placed.select("k", "fp", "own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
-    cells = cells.select("k", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "fp")
-    ordered = cells.repartition("k", "i", "j").sortWithinPartitions("k", "i", "j", "fp")
-    return ordered.mapInArrow(_link_batches(radius), "a long, b long").distinct()
+@lru_cache(maxsize=4)
+def ball(radius: int) -> np.ndarray:
+    """The 64-bit masks with at most ``radius`` bits."""
+    return np.array([sum(1 << b for b in bits) for k in range(radius + 1) for bits in combinations(range(64), k)], U64)
+
+
+def packed(places: np.ndarray, start: int) -> bytes:
+    """Sorted distinct places from ``start`` on as differences, each in as many bytes as the largest needs; one byte tells how many."""
+    if not len(places):
+        return b""
+    steps = np.diff(places, prepend=U64(start))
+    size = max(1, (int(steps.max()).bit_length() + 7) // 8)
+    return bytes([size]) + steps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :size].tobytes()
+
+
+def unpacked(blob: bytes, start: int) -> np.ndarray:
+    if not blob:
+        return np.zeros(0, U64)
+    raw = np.frombuffer(blob, np.uint8)
+    size = int(raw[0])
+    steps = np.zeros(((len(raw) - 1) // size, 8), np.uint8)
+    steps[:, :size] = raw[1:].reshape(-1, size)
+    return np.cumsum(steps.view("<u8").ravel().astype(U64), dtype=U64) + U64(start)
+
+
+class Sieve:
+    """Membership in a sorted array of places; most that aren't in it are told by one look-up."""
+
+    BITS = 22
+
+    def __init__(self, places: np.ndarray):
+        self.places, self.maybe = places, np.zeros(1 << self.BITS, bool)
+        self.maybe[(places & U64((1 << self.BITS) - 1)).astype(np.int64)] = True
+
+    def find(self, x: np.ndarray) -> np.ndarray:
+        """Indexes of the elements of ``x`` that are in."""
+        if not len(self.places):
+            return np.zeros(0, np.int64)
+        at = np.flatnonzero(self.maybe[(x & U64((1 << self.BITS) - 1)).astype(np.int64)])
+        k = np.minimum(np.searchsorted(self.places, x[at]), len(self.places) - 1)
+        return at[self.places[k] == x[at]]
+
+
+def _starts(x: np.ndarray) -> np.ndarray:
+    """Whether each element of a sorted array differs from the one before."""
+    new = np.ones(len(x), bool)
+    new[1:] = x[1:] != x[:-1]
+    return new
+
+
+def _labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The least member of the component of each of ``n`` nodes, for edges a[k] - b[k]."""
+    label = np.arange(n)
+    while len(a):
+        least = np.minimum(label[a], label[b])
+        np.minimum.at(label, a, least)
+        np.minimum.at(label, b, least)
+        while (label != (up := label[label])).any():
+            label = up
+        live = label[a] != label[b]
+        a, b = label[a[live]], label[b[live]]
+    return label
+
+
+class Layout:
+    """How variants map to places and places to buckets."""
+
+    def __init__(self, distinct: int, radius: int, variants: int):
+        if radius < 0 or radius % 2:
+            raise ValueError("the radius must be even: each fingerprint has half of it")
+        self.half = radius // 2
+        masks = len(ball(self.half))
+        self.bits = min(63, max(8, int(distinct * masks * ROOM).bit_length()))
+        self.chunks = max(1, -(-distinct * masks // variants))
+        self.span = -(-(1 << self.bits) // self.chunks)
+
+    def places(self, variants: np.ndarray) -> np.ndarray:
+        return mix(variants) >> U64(64 - self.bits)
+
+    def buckets(self, places: np.ndarray):
+        """(bucket, begin, end) of the buckets that sorted places fall in."""
+        if not len(places):
+            return
+        home = (places // U64(self.span)).astype(np.int64)
+        at = np.flatnonzero(_starts(home))
+        for a, b in zip(at.tolist(), np.append(at[1:], len(home)).tolist(), strict=True):
+            yield int(home[a]), a, b
+
+
+def _emit(layout: Layout):
+    """All variants of a chunk as places, and those that two of its members have."""
+
+    def emit(key, t):
+        fp = np.sort(t.column("fp").to_numpy().view(U64))
+        masks, n = ball(layout.half), len(fp)
+        places = np.empty(n * len(masks), U64)
+        for k, m in enumerate(masks):
+            places[k * n : (k + 1) * n] = layout.places(fp ^ m)
+        places.sort()
+        new = _starts(places)
+        again = places[~new]
+        again, places = again[_starts(again)], places[new]
+        rows = []
+        for bucket, a, b in layout.buckets(places):
+            start = bucket * layout.span
+            i, j = np.searchsorted(again, [start, start + layout.span])
+            rows.append((bucket, packed(places[a:b], start), packed(again[i:j], start)))
+        g = key[0].as_py()
+        return pa.table({
+            "g": pa.array([g] * len(rows), pa.int64()), "bucket": pa.array([r[0] for r in rows], pa.int64()),
+            "places": pa.array([r[1] for r in rows], pa.binary()), "again": pa.array([r[2] for r in rows], pa.binary()),
+        })
+
+    return emit
+
+
+def _meet(layout: Layout):
+    """The places of a bucket that several chunks have, for each chunk those of its own."""
+
+    def meet(key, t):
+        start = key[0].as_py() * layout.span
+        each = [unpacked(x.as_py(), start) for x in t.column("places")]
+        every = np.concatenate(each)
+        every.sort()
+        twice = every[~_starts(every)]
+        sieve = Sieve(twice[_starts(twice)])
+        return pa.table({
+            "g": t.column("g"), "bucket": t.column("bucket"), "again": t.column("again"),
+            "shared": pa.array([packed(x[sieve.find(x)], start) for x in each], pa.binary()),
+        })
+
+    return meet
+
+
+MET = "bucket long, a long, b long, variants binary, members binary, which binary"
+
+
+def _link(layout: Layout):
+    """Links within a chunk (bucket null), and its shared variants with one member of each linked group."""
+    kinds = pa.schema([("bucket", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("variants", pa.binary()), ("members", pa.binary()), ("which", pa.binary())])
+
+    def link(key, t, met):
+        if not t.num_rows or not met.num_rows:
+            return kinds.empty_table()
+        fp = np.sort(t.column("fp").to_numpy().view(U64))
+        rows = sorted(zip(*(met.column(c).to_pylist() for c in ("bucket", "shared", "again")), strict=True))
+        shared = np.concatenate([unpacked(s, b * layout.span) for b, s, _ in rows])
+        again = np.concatenate([unpacked(x, b * layout.span) for b, _, x in rows])
+        sieve = Sieve(np.union1d(shared, again))
+        variant, who = [], []
+        for m in ball(layout.half):
+            v = fp ^ m
+            at = sieve.find(layout.places(v))
+            variant.append(v[at])
+            who.append(at)
+        variant, who = np.concatenate(variant), np.concatenate(who)
+        order = np.lexsort((who, variant))
+        variant, who = variant[order], who[order]
+        new = _starts(variant)
+        first = who[np.flatnonzero(new)[np.cumsum(new) - 1]] if len(who) else who
+        pairs = np.unique(first[~new] * len(fp) + who[~new])
+        label = _labels(len(fp), pairs // len(fp), pairs % len(fp))
+        moved = np.flatnonzero(label != np.arange(len(fp)))
+        out = [(None, int(a), int(b), None, None, None) for a, b in zip(fp[label[moved]].view(np.int64), fp[moved].view(np.int64), strict=True)]
+        variant, member = variant[new], fp[label[who[new]]]
+        places = layout.places(variant)
+        at = Sieve(shared).find(places)
+        at = at[np.argsort(places[at], kind="stable")]
+        variant, member, places = variant[at], member[at], places[at]
+        for bucket, a, b in layout.buckets(places):
+            members, which = np.unique(member[a:b], return_inverse=True)
+            out.append((bucket, None, None, variant[a:b].astype("<u8").tobytes(), members.astype("<u8").tobytes(), which.astype("<u4").tobytes()))
+        return pa.table([pa.array(c, k.type) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], schema=kinds) if out else kinds.empty_table()
+
+    return link
+
+
+def _across(key, t):
+    """Links between members of different chunks that hold the same variant, one member of each with the others."""
+    variant = np.concatenate([np.frombuffer(x, "<u8") for x in t.column("variants").to_pylist()]).astype(U64)
+    member = np.concatenate([np.frombuffer(m, "<u8")[np.frombuffer(w, "<u4")] for m, w in zip(t.column("members").to_pylist(), t.column("which").to_pylist(), strict=True)]).astype(U64)
+    order = np.lexsort((member, variant))
+    variant, member = variant[order], member[order]
+    new = _starts(variant)
+    first = member[np.flatnonzero(new)[np.cumsum(new) - 1]]
+    a, b = first[~new], member[~new]
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    some = _starts(a) | _starts(b)
+    return pa.table({"a": a[some].view(np.int64), "b": b[some].view(np.int64)})
+
+
+def links(distinct: DataFrame, radius: int = RADIUS, variants: int = VARIANTS) -> DataFrame:
+    """Edges (a, b) between the distinct fingerprints ``fp`` whose components are those of all pairs within ``radius`` bits (even)."""
+    layout = Layout(distinct.count(), radius, variants)
+    dealt = distinct.select("fp", F.pmod(F.xxhash64("fp"), F.lit(layout.chunks)).alias("g"))
+    sent = dealt.groupBy("g").applyInArrow(_emit(layout), "g long, bucket long, places binary, again binary")
+    met = sent.groupBy("bucket").applyInArrow(_meet(layout), "g long, bucket long, again binary, shared binary")
+    held = dealt.groupBy("g").cogroup(met.groupBy("g")).applyInArrow(_link(layout), MET)
+    held = written(held, "shared-variants")
+    across = held.where("bucket IS NOT NULL").groupBy("bucket").applyInArrow(_across, "a long, b long")
+    return held.where("bucket IS NULL").select("a", "b").unionByName(across)
 
 
 def near_duplicates(docs: DataFrame, width: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
