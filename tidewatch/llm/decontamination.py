@@ -1,19 +1,23 @@
 """Benchmark decontamination by template canonicalisation.
 
 A text becomes a sequence of tokens: its words, lower-cased, without anything but letters, digits and other non-ASCII
-characters. Numbers, names (a capital and a small letter, not at the beginning of a sentence) and units become typed
-placeholders. Windows of ``WINDOW`` tokens of the template are hashed and joined with the windows of the benchmark, so a
-question whose numbers and names were changed still matches. Matches that continue each other form runs; in each run
-the slots must be consistent: one value of the item always stands for one value in the document, and the other way
-round. A document holds an item if consistent runs cover ``least_tokens`` of its tokens, or the whole of a shorter item.
+characters. Numbers (words that begin with a digit, and number words), names (a capital and a small letter; at the
+beginning of a sentence only where the word isn't one of the common ``OPENERS``) and units (those with short names only after
+a number) become typed placeholders. Windows of ``WINDOW`` tokens of the template are hashed and joined with the windows of the benchmark, so a
+question whose numbers, names and units were changed still matches; windows that are placeholders for more than half are
+hashed with their values instead. Matches that continue each other form runs, and a run is cut where its slots contradict
+each other: in each part, and in all parts taken of an item, one value of the item always stands for one value in the
+document, and the other way round. A document holds an item if consistent parts cover ``least_tokens`` of its tokens, or the
+whole of a shorter item.
 
 The benchmark's windows are broadcast while there are at most ``MOST_WINDOWS`` of them (the bound is checked; 16 bytes
 each), and documents are then matched and verified where they are, without a shuffle. Beyond that, window hashes are
-joined in Spark, and the (document, item) pairs found are verified the same way.
+joined in Spark: those of documents are first held against a bitmap of the benchmark's (2 MB, whatever its size), and the
+(document, item) pairs found are verified the same way, in batches. Both ways give the same rows.
 
 Defined cases: null and empty texts, of documents or items, have no tokens and match nothing. Items shorter than a window
-match only as a whole, and only from ``LEAST_ITEM`` tokens on: shorter ones are no evidence. Windows that are placeholders for more than half
-are not used. Rows with a null doc_id are matched like others; repeated ids give rows each. An empty benchmark finds
+match only as a whole; those of fewer than ``LEAST_ITEM`` tokens, which are no evidence within a longer text, match texts that
+have no other tokens. Rows with a null doc_id or item_id are matched like others; repeated ids give rows each. An empty benchmark finds
 nothing. Other columns are ignored by ``find`` and kept by ``drop_contaminated``.
 """
 
@@ -24,15 +28,29 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
+from .common import fresh, written
 from .tokens import U64, Words, column_bytes, mix, rolled, runs, slices, words
 
 WINDOW, LEAST_TOKENS, LEAST_ITEM = 8, 13, 5
 MOST_WINDOWS = 2_000_000
-#: Names of units that become a placeholder.
+#: Names of units that become a placeholder anywhere, and short ones that do so after a number.
 UNITS = (
-    "km cm mm kg mg ml meter meters metre metres kilometer kilometers kilometre kilometres mile miles foot feet inch inches yard yards "
-    "gram grams kilogram kilograms pound pounds ounce ounces ton tons liter liters litre litres gallon gallons second seconds minute minutes "
-    "hour hours day days week weeks month months year years percent dollar dollars euro euros cent cents degree degrees watt watts volt volts"
+    "meter meters metre metres kilometer kilometers kilometre kilometres mile miles foot feet inch inches yard yards gram grams "
+    "kilogram kilograms kilo kilos pound pounds ounce ounces ton tons tonne tonnes liter liters litre litres gallon gallons second seconds minute minutes "
+    "hour hours day days week weeks month months year years percent dollar dollars euro euros cent cents degree degrees watt watts volt volts "
+    "acre acres hectare hectares pint pints quart quarts rupee rupees peso pesos franc francs yen"
+).split()
+SHORT_UNITS = "km cm mm m kg mg g t lb lbs oz ft yd mi in l ml dl gal h hr hrs min mins s sec secs ms w kw kwh v mph kmh kph usd eur gbp jpy c f k mb gb tb hz mhz ghz".split()
+NUMBER_WORDS = (
+    "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty "
+    "fifty sixty seventy eighty ninety hundred thousand million billion dozen half twice double triple"
+).split()
+#: Words that open sentences without being names.
+OPENERS = (
+    "a an the this that these those there here it its he she we you they i his her our your their my who what when where which why how whose if in on at of for from to "
+    "by with without after before during since until while although because as so but and or nor not no yes then than thus each every all both some any many much more most few "
+    "one two three four five six seven eight nine ten is are was were be been do does did has have had can could will would should may might must let find calculate compute "
+    "determine suppose given consider show prove write solve read choose name state explain describe assume imagine note now today yesterday tomorrow later once"
 ).split()
 NUMBER, NAME, UNIT = (U64(x) for x in (0x9D8A1F3B5C7E0201, 0x9D8A1F3B5C7E0202, 0x9D8A1F3B5C7E0203))
 OUT = "doc_id long, item_id long, tokens long, coverage double, changed long"
@@ -62,41 +80,60 @@ class Template:
         self.value = packed.hashes()
         digits = np.concatenate([[0], np.cumsum(_DIGIT[packed.data])])
         number = digits[packed.ends] - digits[packed.starts] == packed.ends - packed.starts
-        unit = np.isin(self.value, _unit_hashes())
-        self.kind = np.where(number, 1, np.where(self._names(raw)[some], 2, np.where(unit, 3, 0)))
+        unit = np.isin(self.value, _hashed("units", UNITS))
+        if len(number):
+            first = packed.data[np.minimum(packed.starts[:, None] + np.arange(3), len(packed.data) - 1)]
+            signed = ((first[:, 0] == 0xE2) & (first[:, 1] == 0x82) & (first[:, 2] == 0xAC)) | ((first[:, 0] == 0xC2) & ((first[:, 1] == 0xA3) | (first[:, 1] == 0xA5)))  # euro, pound, yen
+            number = _DIGIT[first[:, 0]] | signed & (digits[packed.ends] > digits[packed.starts]) | np.isin(self.value, _hashed("numbers", NUMBER_WORDS))
+            short = np.isin(self.value, _hashed("short units", SHORT_UNITS))
+            unit[1:] |= short[1:] & number[:-1] & (self.row[1:] == self.row[:-1])
+        self.kind = np.where(number, 1, np.where(self._names(raw)[some] & ~(self._opens(raw)[some] & np.isin(self.value, _hashed("openers", OPENERS))), 2, np.where(unit, 3, 0)))
         self.token = np.where(self.kind == 1, NUMBER, np.where(self.kind == 2, NAME, np.where(self.kind == 3, UNIT, self.value)))
         self.first = np.concatenate([[0], np.cumsum(np.bincount(self.row, minlength=self.rows))])
 
+    @staticmethod
+    def _opens(w: Words) -> np.ndarray:
+        """Whether each word is the first of its text, line or sentence."""
+        opens = np.ones(len(w), bool)
+        if len(w):
+            lines = np.concatenate([[0], np.cumsum(w.data == 10)])
+            opens[1:] = (w.row[1:] != w.row[:-1]) | _STOP[w.data[w.ends[:-1] - 1]] | (lines[w.starts[1:]] > lines[w.ends[:-1]])
+        return opens
+
     @staticmethod
     def _names(w: Words) -> np.ndarray:
+        """Whether each word has a capital and then a small letter, after quotes and brackets."""
         if not len(w):
             return np.zeros(0, bool)
         d, s = np.append(w.data, [0, 0, 0]).astype(np.int64), w.starts
+        s = s + (~_KEEP[d[s]] & (w.ends - s > 1))
         latin = (d[s] == 0xC3) & (d[s + 1] >= 0x80) & (d[s + 1] <= 0x9E)
         upper = (d[s] >= 65) & (d[s] <= 90)
         after = np.where(latin, d[s + 2], d[s + 1])
         small = ((after >= 97) & (after <= 122)) | (after >= 128)
-        opens = np.ones(len(w), bool)
-        lines = np.concatenate([[0], np.cumsum(w.data == 10)])
-        opens[1:] = (w.row[1:] != w.row[:-1]) | _STOP[w.data[w.ends[:-1] - 1]] | (lines[s[1:]] > lines[w.ends[:-1]])
-        return (upper | latin) & small & ~opens & (w.ends - s > np.where(latin, 2, 1))
+        return (upper | latin) & small & (w.ends - s > np.where(latin, 2, 1))
 
-    def windows(self, width: int) -> tuple[np.ndarray, np.ndarray]:
-        """(token index, hash) of the windows that are literal for half at least."""
+    def windows(self, width: int, only: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(token index, hash) of all windows, or of those in the rows that ``only`` marks; dense ones are hashed by their values."""
         at = runs(Words(np.zeros(0, np.uint8), self.row, self.row, self.row, self.rows), width)
+        if only is not None:
+            at = at[only[self.row[at]]]
         slots = np.concatenate([[0], np.cumsum(self.kind > 0)])
-        at = at[2 * (slots[at + width] - slots[at]) <= width]
-        return at, mix(rolled(self.token, width, at) + U64(width))
+        dense = 2 * (slots[at + width] - slots[at]) > width
+        h = rolled(self.token, width, at)
+        if dense.any():
+            h[dense] = rolled(self.value, width, at[dense]) ^ U64(0x5DEECE66D)
+        return at, mix(h + U64(width))
 
 
-_UNITS: list[np.ndarray] = []
+_LISTS: dict[str, np.ndarray] = {}
 
 
-def _unit_hashes() -> np.ndarray:
-    if not _UNITS:
-        raw = np.frombuffer(" ".join(UNITS).encode(), np.uint8)
-        _UNITS.append(np.sort(words(raw, np.array([0, len(raw)])).hashes()))
-    return _UNITS[0]
+def _hashed(name: str, listed: list[str]) -> np.ndarray:
+    if name not in _LISTS:
+        raw = np.frombuffer(" ".join(listed).encode(), np.uint8)
+        _LISTS[name] = np.sort(words(raw, np.array([0, len(raw)])).hashes())
+    return _LISTS[name]
 
 
 class Index:
@@ -107,7 +144,7 @@ class Index:
         self.t = t = Template(items.column("text").combine_chunks())
         size = np.diff(t.first)
         self.size, self.window = size, window
-        self.widths = sorted({int(min(n, window)) for n in size if n >= min(LEAST_ITEM, window)})
+        self.widths = sorted({int(min(n, window)) for n in size if n})
         hashes, at = [], []
         for w in self.widths:
             i, h = t.windows(w)
@@ -123,8 +160,9 @@ class Index:
     def matches(self, t: Template):
         """(token index in the texts, token index in the items, width) of all windows that both have."""
         d, i, n = [], [], []
+        counts = np.diff(t.first)
         for w in self.widths:
-            at, h = t.windows(w)
+            at, h = t.windows(w, counts == w if w < min(LEAST_ITEM, self.window) else None)
             maybe = self.sieve[(h & U64((1 << 20) - 1)).astype(np.int64)]
             at, h = at[maybe], h[maybe]
             a, b = np.searchsorted(self.hash, h, "left"), np.searchsorted(self.hash, h, "right")
@@ -150,30 +188,42 @@ class Index:
         new[1:] = (row[1:] != row[:-1]) | (item[1:] != item[:-1]) | ((d - i)[1:] != (d - i)[:-1]) | (d[1:] > d[:-1] + n[:-1])
         starts = np.flatnonzero(new)
         ends = np.append(starts[1:], len(d)) - 1
-        covered: dict[tuple[int, int], tuple[list, int]] = {}
+        parts: dict[tuple[int, int], list] = {}
         for a, b in zip(starts.tolist(), ends.tolist(), strict=True):
-            size = int(d[b] + n[b] - d[a])
-            ok, changed = self._consistent(t, int(d[a]), int(i[a]), size)
-            if ok:
-                spans, sum_ = covered.get((int(row[a]), int(item[a])), ([], 0))
-                covered[int(row[a]), int(item[a])] = ([*spans, (int(i[a]), int(i[a]) + size)], sum_ + changed)
+            found = parts.setdefault((int(row[a]), int(item[a])), [])
+            found += self._consistent(t, int(d[a]), int(i[a]), int(d[b] + n[b] - d[a]))
         out = []
-        for (r, k), (spans, changed) in covered.items():
+        for (r, k), found in parts.items():
+            there: dict = {}
+            back: dict = {}
+            taken = []
+            for start, end, x, y in sorted(found, key=lambda p: (p[0] - p[1], p[0])):  # the longest first; later ones must agree with them
+                if all(there.get(a, b) == b and back.get(b, a) == a for a, b in zip(x, y, strict=True)):
+                    there.update(zip(x, y, strict=True))
+                    back.update(zip(y, x, strict=True))
+                    taken.append((start, end))
             total, upto = 0, -1
-            for a, b in sorted(spans):  # places of the item, each counted once
+            for a, b in sorted(taken):  # places of the item, each counted once
                 total += max(0, b - max(a, upto))
                 upto = max(upto, b)
             if total >= min(least, int(self.size[k])):
-                out.append((r, k, total, total / int(self.size[k]), changed))
+                out.append((r, k, total, total / int(self.size[k]), sum(a != b for a, b in there.items())))
         return out
 
-    def _consistent(self, t: Template, d: int, i: int, size: int) -> tuple[bool, int]:
-        """Whether the slots of a run map one to one, and how many values changed."""
-        slots = np.flatnonzero(t.kind[d : d + size] > 0)
-        x, y = self.t.value[i + slots].tolist(), t.value[d + slots].tolist()
-        there, back = dict(zip(x, y, strict=True)), dict(zip(y, x, strict=True))
-        ok = all(there[a] == b and back[b] == a for a, b in zip(x, y, strict=True))
-        return ok, sum(a != b for a, b in there.items())
+    def _consistent(self, t: Template, d: int, i: int, size: int) -> list[tuple[int, int, list, list]]:
+        """The maximal parts of a run whose slots map one to one: (begin, end) in the item, its values and those of the text."""
+        slots = np.flatnonzero(t.kind[d : d + size] > 0).tolist()
+        x, y = self.t.value[i : i + size][slots].tolist(), t.value[d : d + size][slots].tolist()
+        out, begin, first = [], 0, 0
+        there: dict = {}
+        back: dict = {}
+        for k, (a, b) in enumerate(zip(x, y, strict=True)):
+            clash = max((m[1] for m, v in ((there.get(a), b), (back.get(b), a)) if m is not None and m[0] != v and m[1] >= first), default=-1)
+            if clash >= 0:
+                out.append((i + begin, i + slots[k], x[first:k], y[first:k]))
+                begin, first = slots[clash] + 1, clash + 1
+            there[a], back[b] = (b, k), (a, k)
+        return [*out, (i + begin, i + size, x[first:], y[first:])]
 
 
 def _find_batches(index: Index, least: int):
@@ -191,8 +241,12 @@ def _find_batches(index: Index, least: int):
     return run
 
 
-def _hash_batches(widths: list[int], window: int, whole: bool):
-    """(key of the text, hash) of all windows of the given widths, or (``whole``) only of those an item of that size has."""
+_BITS = 24
+
+
+def _hash_batches(widths: list[int], window: int, whole: bool, sieve: np.ndarray | None = None):
+    """(key of the text, hash) of all windows of the given widths, or (``whole``) only of those an item of that size has;
+    with a ``sieve`` only hashes whose last bits it marks."""
 
     def run(batches):
         for batch in batches:
@@ -203,33 +257,74 @@ def _hash_batches(widths: list[int], window: int, whole: bool):
                 t = Template(texts.slice(a, b - a))
                 size = np.diff(t.first)
                 for w in widths:
-                    at, h = t.windows(w)
-                    if whole:
-                        own = np.minimum(size[t.row[at]], window) == w
-                        at, h = at[own], h[own]
+                    only = size == w if whole and w < window or not whole and w < min(LEAST_ITEM, window) else None
+                    at, h = t.windows(w, only)
+                    if sieve is not None:
+                        low = (h & U64((1 << _BITS) - 1)).astype(np.int64)
+                        some = (sieve[low >> 3] >> (low & 7).astype(np.uint8)) & 1 > 0
+                        at, h = at[some], h[some]
                     yield pa.RecordBatch.from_arrays([keys.take(pa.array(a + t.row[at])), pa.array(h.view(np.int64))], ["key", "h"])
 
     return run
 
 
+def _size_batches(window: int):
+    """The widths of the windows that a batch of items has."""
+
+    def run(batches):
+        for batch in batches:
+            sizes = np.unique(np.minimum(np.diff(Template(batch.column("text")).first), window))
+            yield pa.RecordBatch.from_arrays([pa.array(sizes[sizes > 0], pa.int64())], ["w"])
+
+    return run
+
+
 PAIR = ("doc_key", "doc_key2", "item_key", "item_key2")
 
 
 def _pair_batches(window: int, least: int):
-    """Verifies pairs of a text and an item's text, which their keys name."""
+    """Verifies pairs of a text and an item's text, which their keys name; each text of a batch is looked at once."""
 
     def run(batches):
         for batch in batches:
+            if not batch.num_rows:
+                continue
+            t = pa.Table.from_batches([batch])
+            docs = t.group_by(["doc_key", "doc_key2"]).aggregate([("text", "min")])
+            items = t.group_by(["item_key", "item_key2"]).aggregate([("item_text", "min")])
+            names = list(zip(docs["doc_key"].to_pylist(), docs["doc_key2"].to_pylist(), strict=True))
+            ids = list(zip(items["item_key"].to_pylist(), items["item_key2"].to_pylist(), strict=True))
+            asked = set(zip(*(t[c].to_pylist() for c in PAIR), strict=True))
+            index = Index(pa.table({"item_id": list(range(len(ids))), "text": items["item_text_min"].combine_chunks()}), window)
+            texts = docs["text_min"].combine_chunks()
+            _, offsets = column_bytes(texts)
             rows = []
-            for *keys, text, other in zip(*(batch.column(c).to_pylist() for c in (*PAIR, "text", "item_text")), strict=True):
-                index = Index(pa.table({"item_id": [0], "text": pa.array([other], pa.string())}), window)
-                rows += [(*keys, n, c, x) for _, _, n, c, x in index.verified(Template(pa.array([text], pa.string())), least)]
+            for a, b in slices(offsets):
+                for r, k, n, c, x in index.verified(Template(texts.slice(a, b - a)), least):
+                    if (*names[a + r], *ids[k]) in asked:
+                        rows.append((*names[a + r], *ids[k], n, c, x))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (*[pa.int64()] * 5, pa.float64(), pa.int64()), strict=True)], [*PAIR, "tokens", "coverage", "changed"])
 
     return run
 
 
+def _sieve(hashes: DataFrame) -> np.ndarray:
+    """A bitmap of the last ``_BITS`` bits of all hashes; 2 MB at most reach the driver, as bytes of 8 bits each."""
+    low = F.col("h").bitwiseAND(F.lit((1 << _BITS) - 1))
+    found = hashes.select((low / 8).cast("long").alias("k"), F.call_function("shiftleft", F.lit(1), F.pmod(low, F.lit(8)).cast("int")).alias("b")).groupBy("k").agg(F.bit_or("b").alias("b")).toArrow()
+    out = np.zeros(1 << (_BITS - 3), np.uint8)
+    out[found["k"].to_numpy()] = found["b"].to_numpy()
+    return out
+
+
+def _sieved(widths: list[int], window: int, sieve):
+    def run(batches):
+        yield from _hash_batches(widths, window, False, sieve.value)(batches)
+
+    return run
+
+
 def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, least_tokens: int = LEAST_TOKENS, most_windows: int = MOST_WINDOWS) -> DataFrame:
     """One row per document and item it holds: tokens and share of the item covered, slots whose value was changed."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -239,12 +334,13 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, least_toke
     if bound <= most_windows:
         index = Index(items.toArrow(), window)
         return rows.mapInArrow(_find_batches(index, least_tokens), OUT)
-    widths = list(range(min(LEAST_ITEM, window), window + 1))
+    widths = sorted(r.w for r in items.select("text").mapInArrow(_size_batches(window), "w long").distinct().collect())  # numbers up to ``window``
     # texts are named by their hashes, not by ids, which may be null or repeated; each pair of texts is verified once
     keys = {"key": F.xxhash64("text"), "key2": F.xxhash64("text", F.lit(1))}
     rows, items = rows.withColumns(keys), items.withColumns(keys)
-    left = rows.select("key", "text").mapInArrow(_hash_batches(widths, window, False), "key long, h long").distinct()
-    right = items.select("key", "text").mapInArrow(_hash_batches(widths, window, True), "key long, h long").distinct()
+    right = written(items.select("key", "text").mapInArrow(_hash_batches(widths, window, True), "key long, h long").distinct(), "item-windows")
+    sieve = rows.sparkSession.sparkContext.broadcast(_sieve(right))
+    left = rows.select("key", "text").mapInArrow(_sieved(widths, window, sieve), "key long, h long").distinct()
     pairs = left.withColumnRenamed("key", "doc_key").join(right.withColumnRenamed("key", "item_key"), "h").select("doc_key", "item_key").distinct()
     named = lambda df, c, text: df.select(F.col("key").alias(f"{c}_key"), F.col("key2").alias(f"{c}_key2"), F.col("text").alias(text))
     texts = named(rows, "doc", "text").join(pairs.select("doc_key").distinct(), "doc_key", "left_semi").dropDuplicates(["doc_key", "doc_key2"])
@@ -258,5 +354,7 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, least_toke
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, least_tokens: int = LEAST_TOKENS) -> DataFrame:
     """The documents that hold no item. Rows with a null id stay."""
-    found = find(docs.where("doc_id IS NOT NULL"), benchmark, window, least_tokens)
-    return docs.join(found.select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+    found = find(docs.where("doc_id IS NOT NULL").select("doc_id", "text"), benchmark, window, least_tokens)
+    (key,) = fresh(docs.columns, "held")
+    held = found.select(F.col("doc_id").alias(key)).distinct()
+    return docs.join(held, F.col("doc_id").cast("long") == F.col(key), "left_anti").select(docs.columns)
