@@ -31,6 +31,11 @@ _WRAPS = (
     "<div class='wrapper'><div class='post-content entry-content' data-label='content'>{}</div></div>", "<div id='main'><div class='story text' data-label='content'>{}</div></div>",
     "<section class='main' role='main'><article itemprop='articleBody' data-label='content'>{}</article></section>", "<div class='page'><div class='main-content' data-label='content'>{}</div></div>",
 )
+#: Elements without any name around the content, and nothing else in the page but what stands beside them.
+_BARE = (
+    "<div data-label='content'>{}</div>", "<div><div data-label='content'>{}</div></div>", "<div><div><div data-label='content'>{}</div></div></div>", "<section data-label='content'>{}</section>",
+    "<table><tbody><tr><td data-label='content'>{}</td></tr></tbody></table>", "<center><div data-label='content'>{}</div></center>",
+)
 _LOOSE = ("{}", "<div>{}</div>", "<div class='wrapper page'><div>{}</div></div>", "<div id='main' class='main container'>{}</div>", "<section>{}</section>")
 _BEFORE = (
     "<nav data-label='boiler'><ul><li><a href='/'>Home</a></li><li><a href='/news'>News</a></li><li><a href='/about'>About us</a></li></ul></nav>",
@@ -98,6 +103,9 @@ def _content(k: int, loose: bool) -> str:
 def _page(k: int) -> str:
     before = "".join(_BEFORE[(k + j * 4) % len(_BEFORE)] for j in range(k % 4))
     after = "".join(_AFTER[(k + j * 5) % len(_AFTER)] for j in range(k % 3))
+    if k % 5 == 4:  # a plain page
+        few = k % 2
+        return _SHELL.format((before if few else "") + _BARE[k // 5 % len(_BARE)].format(_content(k, False) if k % 4 else _PARAGRAPHS[k // 5 % 3]) + (after if few else ""))
     wrap = _LOOSE[k % len(_LOOSE)] if k % 3 == 0 else _WRAPS[k % len(_WRAPS)]
     return _SHELL.format(before + wrap.format(_content(k, k % 3 == 0)) + after)
 
