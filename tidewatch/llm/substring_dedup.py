@@ -4,11 +4,14 @@ Every window of ``width`` consecutive words of a text is hashed. A window is rep
 starts in a document with a smaller ``doc_id``; the words that repeated windows cover go, in maximal intervals.
 
 How it runs: documents are dealt into chunks of bounded size by a hash of their id. A chunk sends the distinct hashes of
-its windows, each with the smallest id that has it, to the hash's bucket as packed arrays (8 bytes a window, no row each);
-a bucket finds the smallest id of each hash over the corpus and returns one bit a hash; the chunk, whose shuffled rows
-Spark reuses, turns the bits into intervals. Chunks and buckets are bounded by construction: a hash counts once a chunk
+its windows, each with the smallest id that has it, to the hash's bucket as packed arrays (no row each: 12 bytes a window, and
+an id for each run of windows that have it); a bucket finds the smallest id of each hash over the corpus and returns one bit a
+hash; the chunk, whose shuffled rows Spark reuses, turns the bits into intervals. Chunks and buckets are bounded by construction: a hash counts once a chunk
 however often a passage repeats there, so a passage that a third of all documents share makes no group large.
 
+Equal windows are told by 96 bits, a Rabin-Karp hash of 64 and 32 bits of one of other values: among the ten trillion windows of
+100 TB less than one pair of different ones is expected to agree in them.
+
 Defined cases: a null text has no words. A row with a null ``doc_id`` has no place in the order: it is returned
 unchanged and removes nothing elsewhere. Repeated ids never remove each other's words (strictly smaller ids do). Texts
 shorter than a window keep all words. An empty table gives an empty table. Other columns are ignored.
@@ -23,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .tokens import U64, Words, column_bytes, joined, rolled, runs, words
+from .tokens import U64, Words, column_bytes, joined, mix, rolled, runs, words
 
 WIDTH = 13
 OUT = "doc_id long, n_words long, n_removed long, kept_sha256 string, removed array<struct<start:long,end:long>>, kept_text string"
@@ -35,6 +38,29 @@ def sizes(total_bytes: int) -> tuple[int, int]:
     return max(1, math.ceil(total_bytes / (1e6 * grow))), max(1, math.ceil(total_bytes / (12e6 * min(grow, 10.0))))
 
 
+def _sorted_runs(h: np.ndarray, more: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order that brings equal (h, more) together, and whether each element in it begins a new pair."""
+    order = np.argsort(h, kind="stable")
+    same = h[order][1:] == h[order][:-1]
+    if (same & (more[order][1:] != more[order][:-1])).any():  # 64 bits alone don't tell them
+        order = np.lexsort((more, h))
+        same = h[order][1:] == h[order][:-1]
+    new = np.ones(len(h), bool)
+    new[1:] = ~same | (more[order][1:] != more[order][:-1])
+    return order, new
+
+
+def _run_bytes(ids: np.ndarray) -> bytes:
+    """Sorted ids as (id, times) of 12 bytes."""
+    at = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]])) if len(ids) else np.zeros(0, np.int64)
+    return ids[at].astype("<i8").tobytes() + np.diff(at, append=len(ids)).astype("<u4").tobytes()
+
+
+def _from_runs(blob: bytes) -> np.ndarray:
+    n = len(blob) // 12
+    return np.repeat(np.frombuffer(blob[: 8 * n], "<i8"), np.frombuffer(blob[8 * n :], "<u4"))
+
+
 class _Chunk:
     """Windows of one chunk. The order of ``unique`` depends on the set of (hash, id) only, not on the order of rows."""
 
@@ -48,16 +74,14 @@ class _Chunk:
         at = runs(self.words, width)
         at = at[~self.null[self.words.row[at]]]
         self.at, self.doc = at, self.ids[self.words.row[at]]
-        h = rolled(self.words.hashes(), width, at) if len(at) else np.zeros(0, U64)
-        order = np.argsort(h, kind="stable")  # rows are in the order of ids
-        hs = h[order]
-        new = np.ones(len(hs), bool)
-        new[1:] = hs[1:] != hs[:-1]
+        values = self.words.hashes() if len(at) else np.zeros(0, U64)
+        h, more = rolled(values, width, at), rolled(mix(values + U64(1)), width, at).astype(np.uint32)
+        order, new = _sorted_runs(h, more)  # rows are in the order of ids
         first = np.flatnonzero(new)
-        hu = hs[first]
+        hu, mu = h[order][first], more[order][first]
         du = np.minimum.reduceat(self.doc[order], first) if len(first) else np.zeros(0, np.int64)
-        place = np.lexsort((hu, du, (hu >> U64(20)) % U64(buckets)))
-        self.hash, self.least = hu[place], du[place]
+        place = np.lexsort((mu, hu, du, (hu >> U64(20)) % U64(buckets)))
+        self.hash, self.more, self.least = hu[place], mu[place], du[place]
         self.bucket = ((self.hash >> U64(20)) % U64(buckets)).astype(np.int64)
         back = np.empty(len(place), np.int64)
         back[place] = np.arange(len(place))
@@ -78,7 +102,8 @@ def _emit(width: int, buckets: int):
             "g": pa.array([key[0].as_py()] * len(got), pa.int64()),
             "bucket": pa.array([x[0] for x in got], pa.int64()),
             "hashes": pa.array([c.hash[a:b].tobytes() for _, a, b in got], pa.binary()),
-            "docs": pa.array([c.least[a:b].tobytes() for _, a, b in got], pa.binary()),
+            "more": pa.array([c.more[a:b].tobytes() for _, a, b in got], pa.binary()),
+            "docs": pa.array([_run_bytes(c.least[a:b]) for _, a, b in got], pa.binary()),
         })
 
     return emit
@@ -86,11 +111,9 @@ def _emit(width: int, buckets: int):
 
 def _bucket(key, t):
     hashes = [np.frombuffer(x, U64) for x in t.column("hashes").to_pylist()]
-    h, d = np.concatenate(hashes), np.concatenate([np.frombuffer(x, np.int64) for x in t.column("docs").to_pylist()])
-    order = np.argsort(h)
-    hs = h[order]
-    new = np.ones(len(hs), bool)
-    new[1:] = hs[1:] != hs[:-1]
+    h, more = np.concatenate(hashes), np.concatenate([np.frombuffer(x, np.uint32) for x in t.column("more").to_pylist()])
+    d = np.concatenate([_from_runs(x) for x in t.column("docs").to_pylist()])
+    order, new = _sorted_runs(h, more)
     first = np.flatnonzero(new)
     least = np.minimum.reduceat(d[order], first)
     hit = np.empty(len(h), bool)
@@ -152,6 +175,6 @@ def remove_repeated_windows(docs: DataFrame, width: int = WIDTH, texts: bool = T
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     chunks, buckets = sizes(total)
     dealt = rows.withColumn("g", F.pmod(F.xxhash64(F.coalesce(F.col("doc_id"), F.xxhash64("text"))), F.lit(chunks)))
-    sent = dealt.groupBy("g").applyInArrow(_emit(width, buckets), "g long, bucket long, hashes binary, docs binary")
+    sent = dealt.groupBy("g").applyInArrow(_emit(width, buckets), "g long, bucket long, hashes binary, more binary, docs binary")
     bits = sent.groupBy("bucket").applyInArrow(_bucket, "g long, bucket long, bits binary")
     return dealt.groupBy("g").cogroup(bits.groupBy("g")).applyInArrow(_apply(width, buckets, texts), OUT)
