@@ -29,14 +29,17 @@ def test_session_breaks_only_after_the_gap(spark):
 
 
 def test_causal_features_do_not_see_later_rows(spark):
-    rows = [(i, "A", r, a, 0, 0, dt.datetime.fromisoformat(t)) for i, (r, a, t) in enumerate([("B", 100.0, "2023-04-16 09:00"), ("B", 200.0, "2023-04-17 10:00"), ("C", 300.0, "2023-04-17 11:00"), ("D", 400.0, "2023-04-18 12:00")])]
+    at = ["2023-02-27 23:59:59", "2023-03-01 00:00:00", "2023-03-01 00:00:00", "2023-03-03 18:30:00", "2023-03-04 06:00:00"]
+    rows = [(i, "acct", r, a, i % 2, 0, dt.datetime.fromisoformat(t)) for i, (t, r, a) in enumerate(zip(at, "pqqps", (7.5, 20.0, 5.0, 60.0, 2.5), strict=True))]
     df = spark.createDataFrame(rows, "tx_id long, Sender_account string, Receiver_account string, Amount double, Cross_border int, Currency_mismatch int, ts timestamp")
-    origin = F.lit("2023-04-17").cast("timestamp")
-    full = [tuple(r) for r in W.causal_bucket(df, 21, origin).orderBy("tx_id").select("bucket", "n", "unique_receivers", "total").collect()]
-    assert [x[1:] for x in full] == [(1, 1, 100.0), (1, 1, 200.0), (2, 2, 500.0), (3, 3, 900.0)]
-    assert full[0][0] != full[1][0]
-    part = [tuple(r) for r in W.causal_bucket(df.where("tx_id < 3"), 21, origin).orderBy("tx_id").select("bucket", "n", "unique_receivers", "total").collect()]
-    assert part == full[:3]
+    origin = F.lit("2023-03-01").cast("timestamp")
+    run = lambda x: [tuple(r) for r in W.causal_bucket(x, 14, origin).orderBy("tx_id").select("bucket", "n", "unique_receivers", "total", "median_amount").collect()]
+    full = run(df)
+    assert full == [(-1, 1, 1, 7.5, 7.5), (0, 1, 1, 20.0, 20.0), (0, 2, 1, 25.0, 12.5), (0, 3, 2, 85.0, 20.0), (0, 4, 3, 87.5, 12.5)]
+    for k in range(1, 5):
+        assert run(df.where(f"tx_id < {k}")) == full[:k]
+    snapped = W.causal_bucket(df, 14, origin, (10.0, 15.0, 30.0)).orderBy("tx_id").collect()
+    assert [r.median_amount for r in snapped] == [10.0, 30.0, 15.0, 30.0, 15.0]
 
 
 def test_dates_and_shares(spark):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: Short names and the long ones that risk tables use (fixed values).
@@ -42,10 +44,6 @@ def band_label(band: Column) -> Column:
     return F.format_string("%.1f–%.1f", band / F.lit(10.0), (band + 1) / F.lit(10.0))
 
 
-def seconds_between(a: Column, b: Column) -> Column:
-    return (F.unix_micros(b) - F.unix_micros(a)) / F.lit(1e6)
-
-
 def ratio(a: Column, b: Column) -> Column:
     """a / b, zero where b is zero."""
     return F.coalesce(F.try_divide(a.cast("double"), b.cast("double")), F.lit(0.0))
@@ -62,20 +60,58 @@ def row_features(tx: DataFrame) -> DataFrame:
 
 
 def semantics(tx: DataFrame) -> DataFrame:
-    """What a transaction is: cash or account transfer, who initiates it, whether it belongs in the account network."""
+    """What a transaction is: cash or account transfer, who initiates it, which two-sided comparisons hold, whether it belongs in the account network."""
     kind = F.trim(F.coalesce("Payment_type", F.lit("")))
     out, into = kind == CASH[0], kind == CASH[1]
     cash = out | into
-    flow = F.when(out, "CASH_OUT").when(into, "CASH_IN").otherwise("ACCOUNT_TRANSFER")
+    two_sided = (~cash).cast("int")
+    named = lambda a, b, other: F.when(out, a).when(into, b).otherwise(other)
+    # the words are fixed values
     return tx.withColumns({
-        "is_cash_withdrawal": out.cast("int"), "is_cash_deposit": into.cast("int"), "is_cash_transaction": cash.cast("int"), "is_account_transfer": (~cash).cast("int"),
-        "is_cross_border_transfer": (kind == "Cross-border").cast("int"), "flow_type": flow,
-        "initiating_account": F.when(into, F.col("Receiver_account")).otherwise(F.col("Sender_account")),
-        "counterparty_account": F.when(~cash, F.col("Receiver_account")), "network_eligible": (~cash).cast("int"),
-        "transaction_direction": F.when(out, "OUT").when(into, "IN").otherwise("TRANSFER"),
+        "is_cash_withdrawal": out.cast("int"), "is_cash_deposit": into.cast("int"), "is_cash_transaction": cash.cast("int"), "is_account_transfer": two_sided,
+        "is_cross_border_transfer": (kind == "Cross-border").cast("int"), "flow_type": named("CASH_WITHDRAWAL", "CASH_DEPOSIT", "ACCOUNT_TRANSFER"),
+        "initiating_account": F.when(into, F.col("Receiver_account")).otherwise(F.col("Sender_account")), "counterparty_account": F.when(~cash, F.col("Receiver_account")),
+        "has_true_sender_receiver": two_sided, "counterparty_applicable": two_sided, "geo_pair_applicable": two_sided, "currency_pair_applicable": two_sided, "network_eligible": two_sided,
+        "sender_is_customer": (~into).cast("int"), "receiver_is_customer": (~out).cast("int"),
+        "transaction_direction": named("CASH_OUT", "CASH_IN", "OUTBOUND"), "semantic_direction": named("ACCOUNT → CASH", "CASH → ACCOUNT", "SENDER → RECEIVER"),
     })
 
 
+#: Keys that stand for a country beside its codes and names (fixed values).
+COUNTRY_KEYS = {"UK": "GB", "UAE": "AE", "USA": "US", "U S A": "US", "U S": "US", "UNITED STATES OF AMERICA": "US", "GREAT BRITAIN": "GB", "TURKEY": "TR"}
+
+
+def countries(spark: SparkSession, more: dict[str, str] | None = None) -> DataFrame:
+    """(key, iso2, iso3) of all countries: both codes, the English name and the known aliases as keys, cleaned as ``country_key`` does.
+
+    Codes and names are those of the Java library; ``more`` adds keys. Some 750 rows, whatever the data.
+    """
+    locale = spark._jvm.java.util.Locale
+    rows, code3 = {}, {}
+    for code in locale.getISOCountries():
+        country = locale("", code)
+        code3[code] = country.getISO3Country()
+        for name in (country.getDisplayCountry(locale.ENGLISH), country.getISO3Country(), code):
+            rows[" ".join(re.sub("[^A-Z0-9]+", " ", name.upper()).split())] = code
+    rows.update(COUNTRY_KEYS)
+    rows.update(more or {})
+    return spark.createDataFrame([(k, c, code3[c]) for k, c in sorted(rows.items())], "key string, iso2 string, iso3 string")
+
+
+def with_country_codes(tx: DataFrame, known: DataFrame, column: str, prefix: str) -> DataFrame:
+    """Adds {prefix}_iso2 and {prefix}_iso3 of the country that ``column`` names; null for unknown and missing ones. ``known`` is ``countries``, bounded by their number."""
+    d = known.select(F.col("key").alias("_key"), F.col("iso2").alias(f"{prefix}_iso2"), F.col("iso3").alias(f"{prefix}_iso3"))
+    return tx.withColumn("_key", country_key(F.col(column))).join(F.broadcast(d), "_key", "left").drop("_key")
+
+
+def long_country_name(c: Column) -> Column:
+    """Short names as the long ones that risk tables use."""
+    out = c
+    for short, long in COUNTRY_ALIASES.items():
+        out = F.when(c == short, F.lit(long)).otherwise(out)
+    return out
+
+
 def country_dimension(spark: SparkSession) -> DataFrame:
     """Names of countries with their codes, and a risk score; to be replaced by a full table."""
     rows = [("UK", "GB", "GBR", None, 3.0), ("USA", "US", "USA", None, 4.0), ("UAE", "AE", "ARE", "X", 7.5), ("TURKEY", "TR", "TUR", None, 7.0)]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.scalars import band_label, ratio, score_band
@@ -99,6 +101,28 @@ def classification_report(df: DataFrame, predicted: str, label: str = "Is_launde
     )
 
 
+def full_report(df: DataFrame, predicted: str, label: str = "Is_laundering") -> DataFrame:
+    """``classification_report`` as rows: each class, accuracy, macro and weighted averages."""
+    one = classification_report(df, predicted, label)
+    total = F.sum("support")
+    weighted = lambda c: F.round(F.sum(F.col(c) * F.col("support")) / total, 6).alias(c)
+    acc = F.round(F.max("accuracy"), 6)
+    parts = [
+        one.select(F.col("class").cast("string").alias("row"), "precision", "recall", "f1", "support"),
+        one.agg(F.lit("accuracy").alias("row"), acc.alias("precision"), acc.alias("recall"), acc.alias("f1"), total.alias("support")),
+        one.agg(F.lit("macro avg").alias("row"), *(F.round(F.avg(c), 6).alias(c) for c in ("precision", "recall", "f1")), total.alias("support")),
+        one.agg(F.lit("weighted avg").alias("row"), *(weighted(c) for c in ("precision", "recall", "f1")), total.alias("support")),
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def compare_engines(df: DataFrame, rule: str, ml: str, score: str = "ml_probability") -> DataFrame:
+    """Rules and model on the same rows; only the model has a score to rank by."""
+    rules = binary_metrics(df, rule, "Rule-Based").withColumns({"roc_auc": F.lit(None).cast("double"), "pr_auc": F.lit(None).cast("double")})
+    model = binary_metrics(df, ml, "Machine Learning").crossJoin(ranking_metrics(df, score).withColumnRenamed("average_precision", "pr_auc"))
+    return rules.unionByName(model).select(F.col("engine").alias("model"), "precision", "recall", "f1", "roc_auc", "pr_auc", "alerts", "alert_rate")
+
+
 def indicators(df: DataFrame, flag: str, baseline: str, label: str = "Is_laundering") -> DataFrame:
     """One row: counts, rates, and how many alerts fewer than the baseline raises."""
     one = df.agg(F.count(F.lit(1)).alias("transactions"), F.sum(flag).alias("alerts"), F.sum(label).alias("positives"), F.sum(F.col(flag) * F.col(label)).alias("hits"), F.sum(baseline).alias("_base"))
@@ -120,3 +144,13 @@ def combined(df: DataFrame, a: str, b: str, label: str = "Is_laundering") -> Dat
     """Alerts of two detectors, of both and of either, and labelled rows among the latter."""
     either = F.greatest(a, b)
     return df.agg(F.sum(a).alias("a"), F.sum(b).alias("b"), F.sum(F.col(a) * F.col(b)).alias("both"), F.sum(either).alias("either"), F.sum(either * F.col(label)).alias("hits"))
+
+
+def combined_variants(df: DataFrame, first: str, variants: dict, label: str = "Is_laundering") -> DataFrame:
+    """The flag ``first`` with each variant of a second one: alerts of both, overlap, union, hits and rates. One pass."""
+    each = F.explode(F.array(*(F.struct(F.lit(k).alias("v"), c.cast("int").alias("f")) for k, c in variants.items()))).alias("z")
+    x = df.select(F.col(first).alias("a"), F.col(label).alias("y"), each).select("a", "y", F.col("z.v").alias("FanOut_variant"), F.col("z.f").alias("b")).withColumn("e", F.greatest("a", "b"))
+    s = lambda c, name: F.sum(c).alias(name)
+    one = x.groupBy("FanOut_variant").agg(s("a", "Smurfing_alerts"), s("b", "FanOut_alerts"), s(F.col("a") * F.col("b"), "Overlapping_alerts"), s("e", "Combined_alerts"), s("y", "AML_transactions"), s(F.col("e") * F.col("y"), "AML_hits"), F.count(F.lit(1)).alias("_n"))
+    r = lambda a, b, name: F.round(ratio(F.col(a), F.col(b)), 6).alias(name)
+    return one.select("FanOut_variant", "Smurfing_alerts", "FanOut_alerts", "Overlapping_alerts", "Combined_alerts", "AML_transactions", "AML_hits", r("Combined_alerts", "_n", "Alert_rate"), r("AML_hits", "Combined_alerts", "Precision"), r("AML_hits", "AML_transactions", "Overall_AML_recall"))

@@ -18,22 +18,83 @@ def history(tx: DataFrame) -> DataFrame:
     return tx
 
 
+MONEY = "decimal(20,6)"
+
+
+def active_sums(rows: DataFrame, key: str, spans: list[tuple[Column, Column, dict[str, Column]]], reach: int) -> DataFrame:
+    """Adds to each row, at second ``_at``, the sums of the values that rows of the same ``key`` lend to that second.
+
+    A span (begin, end, {name: value}) lends its values at begin <= t < end; no span of a row ends ``reach`` seconds after the
+    row's first begin, or later. Values enter and leave as events of one running sum, so the cost is linear however long the
+    spans are. An account's time is cut into pieces of four reaches, each a group of its own that also gets the events of rows
+    that reach into it from the piece before: a busy account is many tasks.
+    """
+    piece, names = 4 * reach, [n for _, _, values in spans for n in values]
+    kinds = {n: v for _, _, values in spans for n, v in values.items()}
+    ends = {f"_e{k}": s[1] for k, s in enumerate(spans)}
+    begins = {f"_b{k}": s[0] for k, s in enumerate(spans)}
+    x = rows.withColumns({**begins, **ends, **{f"_v_{n}": v for n, v in kinds.items()}})
+
+    def event(k: int, at: str, sign: int) -> Column:
+        own = spans[k][2]
+        sums = [(F.col(f"_v_{n}") * sign if n in own else F.col(f"_v_{n}") * 0).alias(n) for n in names]
+        return F.struct(F.col(f"{at}{k}").alias("_t"), *sums)
+
+    first = F.least(*begins) if len(begins) > 1 else F.col("_b0")
+    last = F.greatest(*ends) if len(ends) > 1 else F.col("_e0")
+    home, to = F.floor(first / piece).cast("long"), F.floor((last - 1) / piece).cast("long")
+    moves = F.array(*(event(k, at, sign) for k in range(len(spans)) for at, sign in (("_b", 1), ("_e", -1))))
+    events = x.select(F.col(key).alias("_k"), F.explode(moves).alias("_m"), F.array_distinct(F.array(home, F.greatest(home, to))).alias("_p"))
+    events = events.select("_k", F.explode("_p").alias("_p"), F.lit(0).alias("_probe"), "_m.*", F.lit(None).cast(rows.select(F.struct("*")).schema[0].dataType).alias("_row"))
+    zero = [(F.col(f"_v_{n}") * 0).alias(n) for n in names]
+    probes = x.select(F.col(key).alias("_k"), F.floor(F.col("_at") / piece).cast("long").alias("_p"), F.lit(1).alias("_probe"), F.col("_at").alias("_t"), *zero, F.struct(*rows.columns).alias("_row"))
+    run = Window.partitionBy("_k", "_p").orderBy("_t", "_probe").rowsBetween(Window.unboundedPreceding, 0)
+    out = events.unionByName(probes).withColumns({n: F.sum(n).over(run) for n in names})
+    return out.where("_probe = 1").select("_row.*", *names)
+
+
+def seen_again(key: str, other: str) -> Column:
+    """The second of the key's next row with the same ``other``; null for the last."""
+    return F.lead("_at").over(Window.partitionBy(key, other).orderBy("_at"))
+
+
 def rolling(tx: DataFrame, seconds: int = 86_400) -> DataFrame:
     """Number, sum and distinct counterparties of each account in [t - seconds, t), as sender and as receiver."""
     tx = tx.withColumn("_at", F.unix_seconds("ts"))
+    one = F.lit(1).cast("long")
     for side, other in SIDES.items():
-        w = Window.partitionBy(f"{side}_account").orderBy("_at").rangeBetween(-seconds, -1)
-        tx = tx.withColumns({f"{side}_window_count": F.count(F.lit(1)).over(w), f"{side}_window_amount": F.coalesce(F.sum("Amount").over(w), F.lit(0.0)), f"{side}_window_unique": F.size(F.collect_set(f"{other}_account").over(w))})
+        key, n, total, unique = f"{side}_account", f"{side}_window_count", f"{side}_window_amount", f"{side}_window_unique"
+        # a counterparty counts by its latest row
+        tx = tx.withColumn("_next", seen_again(key, f"{other}_account"))
+        begin, end = F.col("_at") + 1, F.col("_at") + seconds + 1
+        known = F.when(F.col(f"{other}_account").isNotNull(), one).otherwise(F.lit(0).cast("long"))
+        spans = [(begin, end, {n: one, total: F.coalesce(F.col("Amount"), F.lit(0.0)).cast(MONEY)}), (begin, F.least(end, F.col("_next") + 1), {unique: known})]
+        tx = active_sums(tx, key, spans, seconds + 1).withColumns({total: F.col(total).cast("double"), unique: F.col(unique).cast("int")}).drop("_next")
     return tx.drop("_at")
 
 
-def sliding(tx: DataFrame, days: int) -> DataFrame:
-    """Sender features of the last ``days`` days up to and with the current second: number, median, sum, receivers, rates."""
-    w = Window.partitionBy("Sender_account").orderBy(F.unix_seconds("ts")).rangeBetween(-days * 86_400, 0)
-    return tx.withColumns({
-        "n": F.count(F.lit(1)).over(w), "median_amount": F.percentile("Amount", 0.5).over(w), "total": F.sum("Amount").over(w), "unique_receivers": F.size(F.collect_set("Receiver_account").over(w)),
-        "cross_rate": F.avg("Cross_border").over(w), "fx_rate": F.avg("Currency_mismatch").over(w),
-    })
+def sliding(tx: DataFrame, days: int, median: bool = True) -> DataFrame:
+    """Sender features of the last ``days`` days up to and with the current second: number, sum, receivers, rates, and the
+    median, which Spark works out anew for each row: leave it out where it isn't asked for."""
+    tx = tx.withColumn("_at", F.unix_seconds("ts"))
+    w = Window.partitionBy("Sender_account").orderBy("_at").rangeBetween(-days * 86_400, 0)
+    if median:
+        tx = tx.withColumn("median_amount", F.percentile("Amount", 0.5).over(w))
+    tx = tx.withColumn("_next", seen_again("Sender_account", "Receiver_account"))
+    one, end = F.lit(1).cast("long"), F.col("_at") + days * 86_400 + 1
+    flag = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long")
+    sums = {"n": one, "total": F.coalesce(F.col("Amount"), F.lit(0.0)).cast(MONEY), "_cross": flag("Cross_border"), "_fx": flag("Currency_mismatch")}
+    known = F.when(F.col("Receiver_account").isNotNull(), one).otherwise(F.lit(0).cast("long"))
+    out = active_sums(tx, "Sender_account", [(F.col("_at"), end, sums), (F.col("_at"), F.least(end, F.col("_next")), {"unique_receivers": known})], days * 86_400 + 1)
+    rate = lambda c: F.col(c) / F.col("n")
+    return out.withColumns({"total": F.col("total").cast("double"), "unique_receivers": F.col("unique_receivers").cast("int"), "cross_rate": rate("_cross"), "fx_rate": rate("_fx")}).drop("_at", "_next", "_cross", "_fx")
+
+
+def median_below(value: str, ceiling: float, w) -> Column:
+    """Whether the median of ``value`` over a growing frame is under ``ceiling``, from running counts and extremes alone."""
+    under, over = F.when(F.col(value) < ceiling, F.col(value)), F.when(F.col(value) >= ceiling, F.col(value))
+    twice, n = 2 * F.count(under).over(w), F.count(value).over(w)
+    return F.coalesce((twice > n) | ((twice == n) & (F.max(under).over(w) + F.min(over).over(w) < 2 * ceiling)), F.lit(False))
 
 
 def anchored(ts: Column, origin: Column, days: int) -> Column:
@@ -53,13 +114,32 @@ def bucket_features(tx: DataFrame, account: str, other: str, bucket: Column) ->
     )
 
 
-def causal_bucket(tx: DataFrame, days: int, origin: Column) -> DataFrame:
-    """Running sender features inside buckets anchored at ``origin``, with the current row."""
+def causal_bucket(tx: DataFrame, days: int, origin: Column, ceilings: tuple[float, ...] | None = None) -> DataFrame:
+    """Running sender features inside buckets anchored at ``origin``, with the current row.
+
+    ``median_amount`` is sorted anew for each row; with ``ceilings`` it is instead the lowest of them that the median is
+    under (null: none), which running counts tell.
+    """
     tx = tx.withColumn("bucket", anchored(F.col("ts"), origin, days))
     keys = ("Sender_account", "bucket")
     w = Window.partitionBy(*keys).orderBy("ts", "tx_id").rowsBetween(Window.unboundedPreceding, 0)
     first = F.row_number().over(Window.partitionBy(*keys, "Receiver_account").orderBy("ts", "tx_id")) == 1
+    if ceilings is None:
+        median = F.percentile("Amount", 0.5).over(w)
+    else:
+        median = F.least(*(F.when(median_below("Amount", c, w), F.lit(c)) for c in ceilings), F.lit(None))
     return tx.withColumn("_new", first.cast("int")).withColumns({
-        "n": F.count(F.lit(1)).over(w), "total": F.sum("Amount").over(w), "median_amount": F.percentile("Amount", 0.5).over(w), "unique_receivers": F.sum("_new").over(w),
+        "n": F.count(F.lit(1)).over(w), "total": F.sum("Amount").over(w), "median_amount": median, "unique_receivers": F.sum("_new").over(w),
         "cross_rate": F.avg("Cross_border").over(w), "fx_rate": F.avg("Currency_mismatch").over(w),
     }).drop("_new")
+
+
+def warmed_up(tx: DataFrame, split: str = "split", days: int = 120) -> tuple[DataFrame, DataFrame]:
+    """Development rows with the train rows of the ``days`` days before the first of them, and that start as a row (``dev_start``).
+
+    Train rows at or after the start are a leak; ``audit.leaks`` counts them.
+    """
+    start = tx.where(F.col(split) == "development").agg(F.min("ts").alias("dev_start"))
+    rows = tx.crossJoin(F.broadcast(start))  # one row
+    near = (F.col(split) == "train") & (F.col("ts") >= F.col("dev_start") - F.make_dt_interval(days=F.lit(days)))
+    return rows.where((F.col(split) == "development") | near), start

@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, functions as F
 
 CATEGORICAL = ("Payment_currency", "Received_currency", "Sender_bank_location", "Receiver_bank_location", "Payment_type")
 NUMERIC = (
-    "Amount", "Log_amount", "Hour", "Day_of_week", "Is_weekend", "Is_night", "Cross_border", "Currency_mismatch", "Sender_prior_count", "Sender_prior_amount",
-    "Sender_prior_average", "Sender_gap", "Receiver_prior_count", "Receiver_prior_amount", "Receiver_prior_average", "Receiver_gap",
+    "Log_amount", "Sender_risk", "Receiver_risk", "Cross_border", "Hour", "Day_of_week", "Is_weekend", "Is_night", "Currency_mismatch", "Risk_difference", "Max_country_risk", "Any_sanctioned",
+    "Sender_prior_count", "Receiver_prior_count", "Sender_prior_amount", "Receiver_prior_amount", "Sender_prior_average", "Receiver_prior_average", "Sender_gap", "Receiver_gap",
 )
 MODELS = {
     "decision_tree": lambda: DecisionTreeClassifier(maxDepth=6, minInstancesPerNode=50, seed=42),
@@ -35,6 +35,27 @@ def score(model: PipelineModel, rows: DataFrame) -> DataFrame:
     return model.transform(rows).withColumn("probability_1", vector_to_array("probability")[1])
 
 
+def importances(model: PipelineModel, rows: DataFrame, n: int = 20) -> DataFrame:
+    """(feature, importance) of the ``n`` features that the trees use most; their number is that of the features, not of rows."""
+    meta = model.transform(rows.limit(0)).schema["features"].metadata["ml_attr"]["attrs"]
+    names = {a["idx"]: a["name"] for kind in meta.values() for a in kind}
+    weights = model.stages[-1].featureImportances.toArray()
+    ranked = sorted(((names[i], float(w)) for i, w in enumerate(weights)), key=lambda x: (-x[1], x[0]))[:n]
+    return rows.sparkSession.createDataFrame(ranked, "feature string, importance double")
+
+
+def frozen_evaluation(rows: DataFrame, model: str = "decision_tree", rate: float = 0.05, label: str = "Is_laundering") -> DataFrame:
+    """Fitted on train, its threshold set on development (the score of the row that ends ``rate`` of them), then one evaluation on holdout."""
+    from . import evaluation as E
+
+    fitted = fit(rows.where("split = 'train'"), model, label)
+    scored = lambda part: score(fitted, rows.where(F.col("split") == part)).select(label, "probability_1")
+    point = E.operating_points(scored("development"), (rate,), "probability_1", label).select("threshold")
+    test = scored("holdout").crossJoin(F.broadcast(point)).withColumn("alert", (F.col("probability_1") >= F.col("threshold")).cast("int"))
+    out = E.binary_metrics(test, "alert", model, label).crossJoin(E.ranking_metrics(test, "probability_1", label))
+    return out.crossJoin(F.broadcast(point))
+
+
 def past_target_rate(tx: DataFrame, by: str = "Sender_bank_location", label: str = "Is_laundering", prior: float = 10.0) -> DataFrame:
     """Label rate of earlier days per value of ``by``, drawn to the rate of all earlier days; summed per day first."""
     from pyspark.sql import Window

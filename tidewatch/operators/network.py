@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.scalars import holds
+from .features import MONEY, active_sums
 
 
 def transfers(tx: DataFrame) -> DataFrame:
@@ -71,11 +72,19 @@ def triangles(e: DataFrame, seconds: int = 86_400) -> DataFrame:
 
 
 def gather_scatter(e: DataFrame, seconds: int = 86_400, senders: int = 3, receivers: int = 3) -> DataFrame:
-    """Moments at which an account was paid by at least ``senders`` in the time before and pays at least ``receivers`` after."""
-    each = e.select(F.explode(F.array(F.struct(F.col("dst").alias("account"), F.col("src").alias("payer"), F.lit(None).cast("long").alias("payee")), F.struct(F.col("src").alias("account"), F.lit(None).cast("long").alias("payer"), F.col("dst").alias("payee")))).alias("x"), "at")
-    at = Window.partitionBy("account").orderBy("at")
-    seen = each.select("x.*", "at").select("account", "at", F.size(F.collect_set("payer").over(at.rangeBetween(-seconds, -1))).alias("senders"), F.size(F.collect_set("payee").over(at.rangeBetween(1, seconds))).alias("receivers"))
-    return seen.where((F.col("senders") >= senders) & (F.col("receivers") >= receivers)).distinct()
+    """Moments at which an account was paid by at least ``senders`` in the time before and pays at least ``receivers`` after.
+
+    A payer counts by its latest payment before the moment, a payee by the first payment to it after.
+    """
+    sides = F.array(F.struct(F.col("dst").alias("account"), F.col("src").alias("other"), F.lit(1).alias("paid")), F.struct(F.col("src").alias("account"), F.col("dst").alias("other"), F.lit(0).alias("paid")))
+    each = e.select(F.explode(sides).alias("x"), F.col("at").alias("_at")).select("x.*", "_at")
+    w = Window.partitionBy("account", "paid", "other").orderBy("_at")
+    begin = F.when(F.col("paid") == 1, F.col("_at") + 1).otherwise(F.greatest(F.col("_at") - seconds, F.lag("_at").over(w)))
+    end = F.when(F.col("paid") == 1, F.least(F.col("_at") + seconds + 1, F.lead("_at").over(w) + 1)).otherwise(F.col("_at"))
+    each = each.withColumns({"_begin": begin, "_end": end})
+    values = {"senders": F.col("paid").cast("long"), "receivers": (1 - F.col("paid")).cast("long")}
+    seen = active_sums(each, "account", [(F.col("_begin"), F.col("_end"), values)], seconds + 1)
+    return seen.where((F.col("senders") >= senders) & (F.col("receivers") >= receivers)).select("account", F.col("_at").alias("at"), "senders", "receivers").distinct()
 
 
 def behaviour_change(tx: DataFrame, recent: int = 7, base: int = 30, times: float = 3.0) -> DataFrame:
@@ -85,12 +94,17 @@ def behaviour_change(tx: DataFrame, recent: int = 7, base: int = 30, times: floa
     Without a baseline there is no change of amount or count.
     """
     day = 86_400
-    w = Window.partitionBy("Sender_account").orderBy(F.unix_seconds("ts"))
-    near, far, ever = w.rangeBetween(-recent * day + 1, 0), w.rangeBetween(-(recent + base) * day + 1, -recent * day), w.rangeBetween(-(recent + base) * day + 1, -1)
-    x = tx.withColumns({
-        "near_n": F.count(F.lit(1)).over(near), "far_n": F.count(F.lit(1)).over(far), "near_amount": F.sum("Amount").over(near), "far_amount": F.coalesce(F.sum("Amount").over(far), F.lit(0.0)),
-        "_known": F.collect_set("Receiver_bank_location").over(ever),
-    })
+    tx = tx.withColumn("_at", F.unix_seconds("ts"))
+    before = Window.partitionBy("Sender_account", "Receiver_bank_location").orderBy("_at").rangeBetween(Window.unboundedPreceding, -1)
+    tx = tx.withColumn("_last", F.max("_at").over(before))
+    at, one, money = F.col("_at"), F.lit(1).cast("long"), F.coalesce(F.col("Amount"), F.lit(0.0)).cast(MONEY)
+    spans = [
+        (at, at + recent * day, {"near_n": one, "near_amount": money}), (at + recent * day, at + (recent + base) * day, {"far_n": one, "far_amount": money}),
+        (at + 1, at + (recent + base) * day, {"_ever": F.when(F.col("Receiver_bank_location").isNotNull(), one).otherwise(F.lit(0).cast("long"))}),
+    ]
+    x = active_sums(tx, "Sender_account", spans, (recent + base) * day)
+    x = x.withColumns({c: F.col(c).cast("double") for c in ("near_amount", "far_amount")})
     more = lambda a, b: holds((F.col(b) > 0) & (F.col(a) * F.lit(float(base)) >= F.lit(times * recent) * F.col(b)))
-    fresh = holds((F.size("_known") > 0) & ~F.array_contains("_known", F.col("Receiver_bank_location")))
-    return x.withColumns({"amount_change": more("near_amount", "far_amount"), "count_change": more("near_n", "far_n"), "new_place": fresh}).drop("_known")
+    known = F.col("_last") >= F.col("_at") - ((recent + base) * day - 1)
+    fresh = holds((F.col("_ever") > 0) & F.col("Receiver_bank_location").isNotNull() & ~F.coalesce(known, F.lit(False)))
+    return x.withColumns({"amount_change": more("near_amount", "far_amount"), "count_change": more("near_n", "far_n"), "new_place": fresh}).drop("_at", "_last", "_ever")

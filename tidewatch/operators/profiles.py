@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions.scalars import ratio
+from .quantiles import percentiles
 
 QUANTILES = (0.25, 0.5, 0.75, 0.9, 0.95, 0.99)
 
@@ -18,13 +19,19 @@ def value_counts(tx: DataFrame, columns: list[str]) -> DataFrame:
     return out.withColumn("share", F.round(F.col("n") / F.sum("n").over(Window.partitionBy("dimension")), 6))
 
 
+def with_percentiles(groups: DataFrame, rows: DataFrame, by: list[str], value: str, at: tuple[float, ...]) -> DataFrame:
+    """``groups``, one row for each value of ``by``, and p25, p50, ... of ``value`` over ``rows``."""
+    q = percentiles(rows, by, value, at)
+    return groups.join(q, by, "left").select(*groups.columns, *(F.round(F.col("q")[i], 6).alias(f"p{int(v * 100)}") for i, v in enumerate(at)))
+
+
 def typology_profile(tx: DataFrame, by: str = "Laundering_type") -> DataFrame:
-    q = F.percentile("Amount", F.array(*map(F.lit, QUANTILES)))
-    out = tx.where(F.col(by).isNotNull()).groupBy(by).agg(
-        F.count(F.lit(1)).alias("n"), F.round(F.avg("Amount"), 6).alias("mean"), F.round(F.stddev_pop("Amount"), 4).alias("std"), F.min("Amount").alias("min"), F.max("Amount").alias("max"), q.alias("q"),
+    tx = tx.where(F.col(by).isNotNull())
+    out = tx.groupBy(by).agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.avg("Amount"), 6).alias("mean"), F.round(F.stddev_pop("Amount"), 4).alias("std"), F.min("Amount").alias("min"), F.max("Amount").alias("max"),
         *(F.round(F.avg(c), 6).alias(f"{c}_rate") for c in ("Cross_border", "Currency_mismatch", "Is_night", "Is_weekend")), F.countDistinct("Sender_account").alias("senders"), F.countDistinct("Receiver_account").alias("receivers"),
     )
-    return out.select("*", *(F.round(F.col("q")[i], 6).alias(f"p{int(v * 100)}") for i, v in enumerate(QUANTILES))).drop("q")
+    return with_percentiles(out, tx, [by], "Amount", QUANTILES)
 
 
 def focal_accounts(tx: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
@@ -34,6 +41,14 @@ def focal_accounts(tx: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
     return x.groupBy("Laundering_type", "focal").agg(F.count(F.lit(1)).alias("n"), F.sum("Amount").alias("total"), F.countDistinct("other").alias("counterparties"), F.round((F.unix_micros(F.max("ts")) - F.unix_micros(F.min("ts"))) / 3.6e9, 6).alias("hours"))
 
 
+def focal_profiles(tx: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
+    """``focal_accounts`` with the median amount, rates and direction of each."""
+    into = F.col("Laundering_type").contains("Fan_In")
+    x = tx.where(F.col("Laundering_type").isin(*kinds)).withColumn("focal", F.when(into, F.col("Receiver_account")).otherwise(F.col("Sender_account")))
+    more = x.groupBy("Laundering_type", "focal").agg(F.percentile("Amount", 0.5).alias("median_amount"), F.avg("Cross_border").alias("cross_rate"), F.avg("Currency_mismatch").alias("fx_rate"))
+    return focal_accounts(tx, kinds).join(more, ["Laundering_type", "focal"]).withColumn("direction", F.when(into, "in").otherwise("out"))
+
+
 def summarised(accounts: DataFrame, by: str, metrics: list[str]) -> DataFrame:
     """Median and 95th percentile of each metric."""
     aggs = [F.round(F.percentile(m, q), 6).alias(f"{m}_{n}") for m in metrics for n, q in (("median", 0.5), ("p95", 0.95))]
@@ -68,6 +83,13 @@ def parse_dates(rows: DataFrame, column: str = "Date") -> DataFrame:
     return out
 
 
+def require_parsed(rows: DataFrame, column: str) -> DataFrame:
+    """``rows``; ValueError if ``column`` has a null."""
+    if not rows.where(F.col(column).isNull()).isEmpty():
+        raise ValueError(f"unparseable values remain in {column}")
+    return rows
+
+
 def block_sample(tx: DataFrame, block: int, most: dict[int, int], seed: int = 42) -> DataFrame:
     """At most most[label] rows of each label in each block of ids, by a seeded hash."""
     x = tx.withColumn("block", F.expr(f"tx_id DIV {block}"))
@@ -82,6 +104,17 @@ def overview(tx: DataFrame) -> DataFrame:
     return one.unpivot([], tx.columns, "column", "nulls")
 
 
+def dataset_overview(tx: DataFrame, label: str = "Is_laundering") -> DataFrame:
+    """(part, name, value): the type and number of nulls of each column, rows that repeat an earlier one, and the share of each class in percent."""
+    kinds = dict(tx.dtypes)
+    nulls = overview(tx).select(F.lit("nulls").alias("part"), F.col("column").alias("name"), F.col("nulls").cast("double").alias("value"))
+    types = tx.sparkSession.createDataFrame([("type " + kinds[c], c, None) for c in tx.columns], "part string, name string, value double")
+    twice = tx.groupBy(F.xxhash64(*tx.columns), F.xxhash64(*tx.columns, F.lit(1))).agg((F.count(F.lit(1)) - 1).alias("n"))  # two hashes of 64 bits stand for a row
+    repeated = twice.agg(F.lit("duplicates").alias("part"), F.lit("rows").alias("name"), F.coalesce(F.sum("n"), F.lit(0)).cast("double").alias("value"))
+    classes = class_distribution(tx, label).select(F.lit("class percent").alias("part"), F.col(label).cast("string").alias("name"), F.col("percent").alias("value"))
+    return nulls.unionByName(types).unionByName(repeated).unionByName(classes)
+
+
 def grid(spark: SparkSession, **axes: tuple) -> DataFrame:
     """All combinations of the values; one row each."""
     rows: list[dict] = [{}]
@@ -158,12 +191,12 @@ def structuring_population(tx: DataFrame, kinds: tuple[str, ...] = ("Smurfing",
 
 def amount_summary(tx: DataFrame, by: str, quantiles: tuple[float, ...] = (0.25, 0.5, 0.75, 0.95)) -> DataFrame:
     """Rows, mean and quantiles of the amount, rates and distinct accounts per group."""
-    q = F.percentile("Amount", F.array(*map(F.lit, quantiles)))
-    out = tx.where(F.col(by).isNotNull()).groupBy(by).agg(
-        F.count(F.lit(1)).alias("n"), F.round(F.avg("Amount"), 6).alias("mean"), q.alias("_q"), F.round(F.avg("Cross_border"), 6).alias("cross_rate"), F.round(F.avg("Currency_mismatch"), 6).alias("fx_rate"),
+    tx = tx.where(F.col(by).isNotNull())
+    out = tx.groupBy(by).agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.avg("Amount"), 6).alias("mean"), F.round(F.avg("Cross_border"), 6).alias("cross_rate"), F.round(F.avg("Currency_mismatch"), 6).alias("fx_rate"),
         F.countDistinct("Sender_account").alias("senders"), F.countDistinct("Receiver_account").alias("receivers"),
     )
-    return out.select("*", *(F.round(F.col("_q")[i], 6).alias(f"p{int(v * 100)}") for i, v in enumerate(quantiles))).drop("_q")
+    return with_percentiles(out, tx, [by], "Amount", quantiles)
 
 
 def sender_summary(tx: DataFrame, by: str = "Pattern") -> DataFrame:
@@ -173,13 +206,11 @@ def sender_summary(tx: DataFrame, by: str = "Pattern") -> DataFrame:
 
 
 def described(df: DataFrame, columns: list[str], quantiles: tuple[float, ...] = (0.5, 0.75, 0.9, 0.95, 0.99)) -> DataFrame:
-    """(column, n, mean, std, min, quantiles, max) of numeric columns in one pass."""
-    parts = lambda c: F.struct(
-        F.lit(c).alias("column"), F.count(c).alias("n"), F.round(F.avg(c), 6).alias("mean"), F.round(F.stddev(c), 4).alias("std"), F.min(c).cast("double").alias("min"),
-        *(F.round(F.percentile(c, q), 6).alias(f"p{int(q * 100)}") for q in quantiles), F.max(c).cast("double").alias("max"),
-    )
-    one = df.agg(*(parts(c).alias(f"_{i}") for i, c in enumerate(columns)))
-    return one.select(F.explode(F.array(*(f"_{i}" for i in range(len(columns))))).alias("x")).select("x.*")
+    """(column, n, mean, std, min, quantiles, max) of numeric columns."""
+    each = F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("x")) for c in columns))).alias("e")
+    rows = df.select(each).select("e.*")
+    out = rows.groupBy("column").agg(F.count("x").alias("n"), F.round(F.avg("x"), 6).alias("mean"), F.round(F.stddev("x"), 4).alias("std"), F.min("x").alias("min"), F.max("x").alias("max"))
+    return with_percentiles(out, rows, ["column"], "x", quantiles)
 
 
 def stratified_split(tx: DataFrame, test: float = 0.2, seed: int = 42, label: str = "Is_laundering") -> DataFrame:

@@ -31,16 +31,16 @@ class Config:
 V1 = {
     "SCN_SINGLE_LARGE": (60, "Single large transaction"),
     "SCN_HIGH_RISK_GEOGRAPHY": (40, "High-risk geography"),
-    "SCN_SANCTIONED_GEOGRAPHY": (80, "Sanctioned geography"),
-    "SCN_CROSS_BORDER_CURRENCY_MISMATCH": (30, "Cross-border with currency mismatch"),
-    "SCN_RAPID_REPEAT_ACTIVITY": (40, "Rapid repeat activity"),
-    "SCN_HIGH_VELOCITY": (45, "High velocity"),
-    "SCN_UNUSUAL_AMOUNT": (50, "Unusual amount"),
-    "SCN_STRUCTURING_PROXY": (50, "Structuring proxy"),
-    "SCN_FAN_ACTIVITY_PROXY": (35, "Fan activity proxy"),
-    "SCN_STRUCTURING_ROLLING": (60, "Rolling structuring"),
-    "SCN_FAN_OUT": (60, "Fan-out"),
-    "SCN_FAN_IN": (60, "Fan-in"),
+    "SCN_SANCTIONED_GEOGRAPHY": (80, "Sanctioned-jurisdiction exposure"),
+    "SCN_CROSS_BORDER_CURRENCY_MISMATCH": (30, "Cross-border currency mismatch"),
+    "SCN_RAPID_REPEAT_ACTIVITY": (40, "Rapid repeat sender activity"),
+    "SCN_HIGH_VELOCITY": (45, "High sender transaction velocity"),
+    "SCN_UNUSUAL_AMOUNT": (50, "Amount materially above sender history"),
+    "SCN_STRUCTURING_PROXY": (50, "Potential structuring pattern"),
+    "SCN_FAN_ACTIVITY_PROXY": (35, "Potential fan activity"),
+    "SCN_STRUCTURING_ROLLING": (60, "Rolling-window structuring pattern"),
+    "SCN_FAN_OUT": (60, "Multiple outgoing counterparties"),
+    "SCN_FAN_IN": (60, "Multiple incoming counterparties"),
 }
 
 
@@ -113,3 +113,13 @@ def cash_withdrawal(n: int, median: float, total: float) -> Column:
 
 def fan_out_what_if(least: int, most: int, rate: float) -> Column:
     return holds((F.col("unique_others") >= least) & F.col("n").between(least, most) & risky(rate, rate))
+
+
+def structuring_what_if(amount: float, unique: int, total: float, cross: float, fx: float) -> Column:
+    """On transactions joined with their receiver's bucket."""
+    return structuring_v2(amount, unique, total, cross, fx)
+
+
+def fan_in_what_if(unique: tuple[int, int], n: tuple[int, int], cross: float, fx: float) -> Column:
+    """On transactions joined with their receiver's bucket."""
+    return fan_bucket(*unique, cross, fx, n)

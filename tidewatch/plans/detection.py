@@ -159,9 +159,13 @@ _RULES = _F + _H + _FLAGS + ", hit AS (SELECT unnest([" + ",".join(f"{{'s':'{n}'
  rq AS (SELECT *, CASE WHEN risk_score>=80 THEN 'HIGH' WHEN risk_score>=60 THEN 'MEDIUM' ELSE 'LOW' END AS queue_priority, row_number() OVER (ORDER BY risk_score DESC, last_alert_at DESC, case_id) AS queue_rank FROM rc)"""
 
 
-def _rule_links(spark, sf_dir):
+def _rule_evidence(spark, sf_dir):
     hit = _v1(spark, sf_dir).select(F.col("Sender_account").alias("account"), "ts", "tx_id", "Amount", F.explode(F.array(*(F.when(F.col(n) == 1, F.lit(n)) for n in _NAMES))).alias("scenario_id"))
-    return A.rule_case_links(A.rule_alerts(hit.where("scenario_id IS NOT NULL"), {"SCN_FAN_OUT": 3}, 2), 7)
+    return A.rule_alert_links(hit.where("scenario_id IS NOT NULL"), {"SCN_FAN_OUT": 3}, 2)
+
+
+def _rule_links(spark, sf_dir):
+    return A.rule_case_links(A.rule_alerts(_rule_evidence(spark, sf_dir)), 7)
 
 
 def _queue(spark, sf_dir):
@@ -201,12 +205,11 @@ def a36_routes(spark, sf_dir):
     return A.routes(_mart(spark, sf_dir))
 
 
-@_query(_RULES + " SELECT rl.case_id, alert_id, scenario_id, CAST(n AS BIGINT) AS transaction_count FROM rl JOIN rq USING (case_id) WHERE queue_rank<=10")
+@_query(_RULES + " SELECT rl.case_id, alert_id, scenario_id, CAST(n AS BIGINT) AS transaction_count FROM rl JOIN rq USING (case_id)")
 def c8_case_alerts(spark, sf_dir):
-    """Drill-down into the first ten cases of the queue."""
+    """Drill-down into the alerts of the cases of the queue."""
     linked = _rule_links(spark, sf_dir)
-    first = A.rule_queue(linked, {n: D.V1[n][0] for n in _NAMES}).where("queue_rank <= 10")
-    return A.case_alerts(linked, first).select("case_id", "alert_id", "scenario_id", "transaction_count")
+    return A.case_alerts(linked, A.rule_queue(linked, {n: D.V1[n][0] for n in _NAMES})).select("case_id", "alert_id", "scenario_id", "transaction_count")
 
 
 _SMURF = """, res AS (SELECT g.*, CAST(coalesce(sum(dt),0) AS BIGINT) AS triggered, CAST(coalesce(sum(da),0) AS BIGINT) AS aml_hits, CAST(coalesce(sum(dg),0) AS BIGINT) AS target_hits, count(o.n) AS windows,
@@ -215,10 +218,11 @@ _SMURF = """, res AS (SELECT g.*, CAST(coalesce(sum(dt),0) AS BIGINT) AS trigger
 _AXES = ", g AS (SELECT * FROM (SELECT unnest({0}) AS days), (SELECT unnest({1}) AS min_n), (SELECT CAST(unnest({2}) AS DOUBLE) AS max_median), (SELECT CAST(unnest({3}) AS DOUBLE) AS min_total))"
 
 
-def _smurfing_grid(windows, spark, rate, days, counts, medians, totals):
-    """``windows``: d, n, md, t, u, r and the dev sums. Those that break the fixed rules count in the totals only."""
+def _smurfing_grid(windows, spark, rate, days, counts, medians, totals, snapped=False):
+    """``windows``: d, n, md, t, u, r and the dev sums. Those that break the fixed rules count in the totals only.
+    ``snapped``: md is the lowest of ``medians`` that the median is under."""
     ok = (F.col("u") <= 3) & (F.col("r") <= rate)
-    c = P.cells(windows, cell_days=F.col("d"), cell_n=F.when(ok, P.at_least("n", counts)), cell_median=P.below("md", medians), cell_total=P.at_least("t", totals))
+    c = P.cells(windows, cell_days=F.col("d"), cell_n=F.when(ok, P.at_least("n", counts)), cell_median=F.col("md") if snapped else P.below("md", medians), cell_total=P.at_least("t", totals))
     g = P.grid(spark, days=days, min_n=counts, max_median=medians, min_total=totals)
     g = g.select(*(F.col(k).cast("int").alias(k) for k in ("days", "min_n")), "max_median", "min_total")
     return P.evaluate_grid(c, g, (F.col("cell_n") >= F.col("min_n")) & (F.col("cell_median") <= F.col("max_median")) & (F.col("cell_total") >= F.col("min_total")), per="days")
@@ -246,9 +250,9 @@ def g3_causal_smurfing_grid(spark, sf_dir):
     start = F.lit("2024-01-15").cast("timestamp")
     f, rows = _features(spark, sf_dir), None
     for days in _G3[0]:
-        r = W.causal_bucket(f, days, start).where(F.col("ts") >= start).select(
+        r = W.causal_bucket(f, days, start, _G3[2]).where(F.col("ts") >= start).select(
             F.lit(days).alias("d"), "n", F.col("median_amount").alias("md"), F.col("total").alias("t"), F.col("unique_receivers").alias("u"), F.greatest("cross_rate", "fx_rate").alias("r"),
             F.lit(1).alias("dev_transactions"), F.col("Is_laundering").alias("dev_aml"), (F.col("Laundering_type") == "Smurfing").cast("int").alias("dev_target"),
         )
         rows = r if rows is None else rows.unionByName(r)
-    return _smurfing_grid(rows, spark, 0.15, *_G3)
+    return _smurfing_grid(rows, spark, 0.15, *_G3, snapped=True)

@@ -121,15 +121,18 @@ def a22_combined(spark, sf_dir):
     return E.combined(_v1(spark, sf_dir), "SCN_FAN_OUT", "SCN_FAN_IN")
 
 
-@_query(_F + " SELECT unnest(['null_transaction_id','null_label','null_probability','label_not_binary','probability_out_of_range','flag_against_threshold','repeated_transaction_id']) AS \"check\", CAST(0 AS BIGINT) AS n_bad")
-def c12_evidence_audit(spark, sf_dir):
-    return audit.evidence(_ml(spark, sf_dir), A.THRESHOLD)
+_EV = """, ev AS (SELECT CASE WHEN tx_id%61=0 THEN NULL WHEN tx_id%59=0 THEN 7 ELSE tx_id END AS tx_id, CASE WHEN tx_id%43=0 THEN NULL WHEN tx_id%47=0 THEN 3 ELSE Is_laundering END AS y, CASE WHEN tx_id%41=0 THEN NULL WHEN tx_id%31=0 THEN ml_probability+2 ELSE ml_probability END AS p, CAST(ml AS INT) AS a FROM f)"""
 
 
-@_query(_F + """, c AS (SELECT count(*) AS n, sum(CAST(ml AS INT)) AS a, sum(CAST(ml AS INT)*Is_laundering) AS tp, sum(Is_laundering) AS p FROM f)
- SELECT unnest(['alert_rate','f1','precision','recall']) AS metric, unnest([round(a/n,6),round(2*tp/(a+p),6),round(tp/a,6),round(tp/p,6)]) AS published, true AS agrees FROM c""")
-def c13_summary_audit(spark, sf_dir):
-    return audit.summary(E.binary_metrics(_ml(spark, sf_dir), "ML_ALERT", "ML")).select("metric", "published", "agrees")
+@_query(_F + _EV + """ SELECT 'null_transaction_id' AS "check", count(*)-count(tx_id) AS n_bad FROM ev UNION ALL SELECT 'null_label', count(*)-count(y) FROM ev UNION ALL SELECT 'null_probability', count(*)-count(p) FROM ev UNION ALL SELECT 'label_not_binary', count(*) FROM ev WHERE y NOT IN (0,1)
+ UNION ALL SELECT 'probability_out_of_range', count(*) FROM ev WHERE p NOT BETWEEN 0 AND 1 UNION ALL SELECT 'flag_against_threshold', count(*) FROM ev WHERE a<>CAST(p>=0.653366 AS INT) UNION ALL SELECT 'repeated_transaction_id', count(*) FROM (SELECT tx_id FROM ev WHERE tx_id IS NOT NULL GROUP BY 1 HAVING count(*)>1)""")
+def c12_evidence_audit(spark, sf_dir):
+    """The audit on evidence with nulls, repeated ids, labels and scores out of range, by the rows' ids."""
+    x, k = _ml(spark, sf_dir), F.col("tx_id")
+    return audit.evidence(x.select(
+        F.when(k % 61 == 0, F.lit(None)).when(k % 59 == 0, 7).otherwise(k).alias("tx_id"), F.when(k % 43 == 0, F.lit(None)).when(k % 47 == 0, 3).otherwise(F.col("Is_laundering")).alias("Is_laundering"),
+        F.when(k % 41 == 0, F.lit(None)).when(k % 31 == 0, F.col("ml_probability") + 2).otherwise(F.col("ml_probability")).alias("ml_probability"), "ML_ALERT",
+    ), A.THRESHOLD)
 
 
 @_query(" SELECT 'unparseable_dates' AS \"check\", CAST(0 AS BIGINT) AS n_bad UNION ALL SELECT 'empty_periods', CAST(0 AS BIGINT)")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import alerts as A, evaluation as E, features as W, network as N, profiles as P, scenarios as D
-from ..sources.tables import transactions
+from ..sources.tables import transactions, written
 
 _TX = """tx AS (SELECT event_id AS tx_id, strftime(ts,'%Y-%m-%d') AS Date, strftime(ts,'%H:%M:%S') AS Time, date_trunc('second',ts) AS ts, s AS Sender_account, r AS Receiver_account,
  CAST(CAST(round(value*100) AS BIGINT) AS DOUBLE)*CAST(2.5 AS DOUBLE) AS Amount,
@@ -42,7 +42,14 @@ _V1 = {
     "SCN_FAN_OUT": "swu>=5 AND swc>=5", "SCN_FAN_IN": "rwu>=5 AND rwc>=5",
 }
 _FLAGS = ", v AS (SELECT *, " + ", ".join(f"CAST(({c}) AS INT) AS {k}" for k, c in _V1.items()) + " FROM h)"
-_SCORED = ", w AS (SELECT *, " + "+".join(_V1) + " AS Scenario_count, least(" + "+".join(f"{w}*{k}" for k, (w, _) in D.V1.items()) + ", 100) AS Scenario_score, concat_ws('; ', " + ", ".join(f"CASE WHEN {k}=1 THEN '{label}' END" for k, (_, label) in D.V1.items()) + ") AS Alert_reasons FROM v)"
+#: Weights and labels (fixed values), written out: the SQL doesn't take them from the operators.
+_LABELS = (
+    ("SCN_SINGLE_LARGE", 60, "Single large transaction"), ("SCN_HIGH_RISK_GEOGRAPHY", 40, "High-risk geography"), ("SCN_SANCTIONED_GEOGRAPHY", 80, "Sanctioned-jurisdiction exposure"),
+    ("SCN_CROSS_BORDER_CURRENCY_MISMATCH", 30, "Cross-border currency mismatch"), ("SCN_RAPID_REPEAT_ACTIVITY", 40, "Rapid repeat sender activity"), ("SCN_HIGH_VELOCITY", 45, "High sender transaction velocity"),
+    ("SCN_UNUSUAL_AMOUNT", 50, "Amount materially above sender history"), ("SCN_STRUCTURING_PROXY", 50, "Potential structuring pattern"), ("SCN_FAN_ACTIVITY_PROXY", 35, "Potential fan activity"),
+    ("SCN_STRUCTURING_ROLLING", 60, "Rolling-window structuring pattern"), ("SCN_FAN_OUT", 60, "Multiple outgoing counterparties"), ("SCN_FAN_IN", 60, "Multiple incoming counterparties"),
+)
+_SCORED = ", w AS (SELECT *, " + "+".join(k for k, _, _ in _LABELS) + " AS Scenario_count, least(" + "+".join(f"{w}*{k}" for k, w, _ in _LABELS) + ", 100) AS Scenario_score, concat_ws('; ', " + ", ".join(f"CASE WHEN {k}=1 THEN '{t}' END" for k, _, t in _LABELS) + ") AS Alert_reasons FROM v)"
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -88,10 +95,16 @@ def p1_timestamps(spark, sf_dir):
     return transactions(spark, sf_dir).select("tx_id", S.timestamp_of(F.col("Date"), F.col("Time")).alias("parsed"))
 
 
-@_query(_F + """ SELECT tx_id, CASE Payment_type WHEN 'Cash Withdrawal' THEN 'CASH_OUT' WHEN 'Cash Deposit' THEN 'CASH_IN' ELSE 'ACCOUNT_TRANSFER' END AS flow_type,
- CASE WHEN Payment_type='Cash Deposit' THEN Receiver_account ELSE Sender_account END AS initiating_account, CASE WHEN NOT cash THEN Receiver_account END AS counterparty_account, CAST(NOT cash AS INT) AS network_eligible, CAST(Payment_type='Cross-border' AS INT) AS is_cross_border_transfer FROM f""")
+_SEM = ("is_cash_withdrawal", "is_cash_deposit", "is_cash_transaction", "is_account_transfer", "is_cross_border_transfer", "flow_type", "initiating_account", "counterparty_account", "has_true_sender_receiver", "counterparty_applicable", "geo_pair_applicable", "currency_pair_applicable", "network_eligible", "sender_is_customer", "receiver_is_customer", "transaction_direction", "semantic_direction")
+
+
+@_query(_F + """ SELECT tx_id, CAST(Payment_type='Cash Withdrawal' AS INT) AS is_cash_withdrawal, CAST(Payment_type='Cash Deposit' AS INT) AS is_cash_deposit, CAST(cash AS INT) AS is_cash_transaction, CAST(NOT cash AS INT) AS is_account_transfer, CAST(Payment_type='Cross-border' AS INT) AS is_cross_border_transfer,
+ CASE Payment_type WHEN 'Cash Withdrawal' THEN 'CASH_WITHDRAWAL' WHEN 'Cash Deposit' THEN 'CASH_DEPOSIT' ELSE 'ACCOUNT_TRANSFER' END AS flow_type, CASE WHEN Payment_type='Cash Deposit' THEN Receiver_account ELSE Sender_account END AS initiating_account, CASE WHEN NOT cash THEN Receiver_account END AS counterparty_account,
+ CAST(NOT cash AS INT) AS has_true_sender_receiver, CAST(NOT cash AS INT) AS counterparty_applicable, CAST(NOT cash AS INT) AS geo_pair_applicable, CAST(NOT cash AS INT) AS currency_pair_applicable, CAST(NOT cash AS INT) AS network_eligible,
+ CAST(Payment_type<>'Cash Deposit' AS INT) AS sender_is_customer, CAST(Payment_type<>'Cash Withdrawal' AS INT) AS receiver_is_customer,
+ CASE Payment_type WHEN 'Cash Withdrawal' THEN 'CASH_OUT' WHEN 'Cash Deposit' THEN 'CASH_IN' ELSE 'OUTBOUND' END AS transaction_direction, CASE Payment_type WHEN 'Cash Withdrawal' THEN 'ACCOUNT → CASH' WHEN 'Cash Deposit' THEN 'CASH → ACCOUNT' ELSE 'SENDER → RECEIVER' END AS semantic_direction FROM f""")
 def p13_semantics(spark, sf_dir):
-    return S.semantics(transactions(spark, sf_dir)).select("tx_id", "flow_type", "initiating_account", "counterparty_account", "network_eligible", "is_cross_border_transfer")
+    return S.semantics(transactions(spark, sf_dir)).select("tx_id", *_SEM)
 
 
 @_query(_F + _H + " SELECT tx_id, risk AS Max_country_risk, sanction AS Any_sanctioned, CASE Sender_bank_location WHEN 'UK' THEN 'GB' WHEN 'USA' THEN 'US' WHEN 'UAE' THEN 'AE' ELSE 'TR' END AS Sender_iso2 FROM h")
@@ -178,7 +191,7 @@ def a18_coverage(spark, sf_dir):
 @_query(_F + """ , g AS (SELECT *, count(*) OVER w AS n, quantile_cont(Amount,0.5) OVER w AS md, sum(Amount) OVER w AS t, count(DISTINCT Receiver_account) OVER w AS u, avg(Cross_border) OVER w AS c, avg(Currency_mismatch) OVER w AS x FROM f WINDOW w AS (PARTITION BY Sender_account ORDER BY ts RANGE BETWEEN INTERVAL 21 DAYS PRECEDING AND CURRENT ROW))
  SELECT tx_id, CAST(u>=3 AND n BETWEEN 3 AND 12 AND (c>=0.2 OR x>=0.2) AS INT) AS fan_out_12_20, CAST(u>=3 AND n BETWEEN 3 AND 12 AND (c>=0.3 OR x>=0.3) AS INT) AS fan_out_12_30, CAST(u>=3 AND n BETWEEN 3 AND 8 AND (c>=0.3 OR x>=0.3) AS INT) AS fan_out_8_30 FROM g""")
 def d21_fan_out_variants(spark, sf_dir):
-    f = W.sliding(_features(spark, sf_dir), 21)
+    f = W.sliding(_features(spark, sf_dir), 21, median=False)
     return f.select("tx_id", D.fan_out_v3(12, 0.20).alias("fan_out_12_20"), D.fan_out_v3(12, 0.30).alias("fan_out_12_30"), D.fan_out_v3(8, 0.30).alias("fan_out_8_30"))
 
 
@@ -221,9 +234,26 @@ def k4_split_summary(spark, sf_dir):
     return P.with_split(tx, P.boundaries(P.daily(tx))).groupBy("split").agg(F.count(F.lit(1)).alias("rows"), F.sum("Is_laundering").alias("aml"), F.round(F.avg("Is_laundering"), 6).alias("aml_rate"))
 
 
-@_query(" SELECT 'Amount' AS \"column\", CAST(0 AS BIGINT) AS nulls UNION ALL SELECT 'Sender_account', 0 UNION ALL SELECT 'Payment_type', 0")
+_TWICE = """, dd AS (SELECT tx_id, CASE WHEN tx_id%101=0 THEN NULL ELSE Amount END AS Amount, CASE WHEN tx_id%53=0 THEN NULL ELSE Payment_type END AS Payment_type, Is_laundering FROM tx), d2 AS (SELECT * FROM dd UNION ALL SELECT * FROM dd WHERE tx_id%97=0)"""
+
+
+def _doubled(spark, sf_dir):
+    """Transactions with nulls and repeated rows, by their ids."""
+    tx = transactions(spark, sf_dir)
+    x = tx.select("tx_id", F.when(F.col("tx_id") % 101 != 0, F.col("Amount")).alias("Amount"), F.when(F.col("tx_id") % 53 != 0, F.col("Payment_type")).alias("Payment_type"), "Is_laundering")
+    return x.unionByName(x.where("tx_id % 97 = 0"))
+
+
+@_query(_TWICE + " SELECT 'Amount' AS \"column\", count(*)-count(Amount) AS nulls FROM d2 UNION ALL SELECT 'tx_id', count(*)-count(tx_id) FROM d2 UNION ALL SELECT 'Payment_type', count(*)-count(Payment_type) FROM d2 UNION ALL SELECT 'Is_laundering', count(*)-count(Is_laundering) FROM d2")
 def a44_overview(spark, sf_dir):
-    return P.overview(transactions(spark, sf_dir).select("Amount", "Sender_account", "Payment_type"))
+    return P.overview(_doubled(spark, sf_dir))
+
+
+@_query(_TWICE + """ SELECT 'nulls' AS part, 'Amount' AS name, CAST(count(*)-count(Amount) AS DOUBLE) AS value FROM d2 UNION ALL SELECT 'nulls', 'tx_id', count(*)-count(tx_id) FROM d2 UNION ALL SELECT 'nulls', 'Payment_type', count(*)-count(Payment_type) FROM d2 UNION ALL SELECT 'nulls', 'Is_laundering', count(*)-count(Is_laundering) FROM d2
+ UNION ALL SELECT 'type bigint', 'tx_id', NULL UNION ALL SELECT 'type double', 'Amount', NULL UNION ALL SELECT 'type string', 'Payment_type', NULL UNION ALL SELECT 'type int', 'Is_laundering', NULL
+ UNION ALL SELECT 'duplicates', 'rows', count(*)-(SELECT count(*) FROM (SELECT DISTINCT * FROM d2)) FROM d2 UNION ALL SELECT 'class percent', CAST(Is_laundering AS VARCHAR), round(100*count(*)/(SELECT count(*) FROM d2),6) FROM d2 GROUP BY Is_laundering""")
+def a44_dataset_overview(spark, sf_dir):
+    return P.dataset_overview(_doubled(spark, sf_dir))
 
 
 @_query(_F + " SELECT 'ML' AS engine, CAST(sum(CAST(ml AS INT)) AS BIGINT) AS alerts, CAST(sum(CAST(ml AS INT)*Is_laundering) AS BIGINT) AS tp, CAST(sum(CAST(ml AS INT)*(1-Is_laundering)) AS BIGINT) AS fp, CAST(sum((1-CAST(ml AS INT))*Is_laundering) AS BIGINT) AS fn, CAST(sum((1-CAST(ml AS INT))*(1-Is_laundering)) AS BIGINT) AS tn, round(sum(CAST(ml AS INT)*Is_laundering)/sum(CAST(ml AS INT)),6) AS precision, round(sum(CAST(ml AS INT)*Is_laundering)/sum(Is_laundering),6) AS recall, round(2*sum(CAST(ml AS INT)*Is_laundering)/(sum(CAST(ml AS INT))+sum(Is_laundering)),6) AS f1, round(avg(CAST(ml AS INT)),6) AS alert_rate FROM f")
@@ -279,18 +309,24 @@ def c3_alert_links(spark, sf_dir):
     return _layers(spark, sf_dir)[0].select("alert_id", "transaction_id", "tx_id", "primary_account_id")
 
 
-@_query(_F + _SESS + " SELECT alert_id, primary_account_id, alert_created_at, last_trigger_at, transaction_count, alert_amount, round(pmax,6) AS ml_probability_max, round(pmean,6) AS ml_probability_mean FROM al")
+@_query(_F + _SESS + " SELECT alert_id, primary_account_id, alert_created_at, last_trigger_at, transaction_count, alert_amount, round(pmax,6) AS ml_probability_max, round(pmean,6) AS ml_probability_mean, 'ML_V1' AS detection_engine, 'ML_DETECTION_V1' AS model_version, 'NEW' AS alert_status, 'UNASSIGNED' AS priority, printf('Frozen ML V1; %d triggering transaction(s); max probability=%.4f; 2d inactivity-session aggregation', transaction_count, pmax) AS trigger_reason FROM al")
 def c3_ml_alerts(spark, sf_dir):
     a = _layers(spark, sf_dir)[1]
-    return a.select("alert_id", "primary_account_id", "alert_created_at", "last_trigger_at", "transaction_count", "alert_amount", F.round("ml_probability_max", 6).alias("ml_probability_max"), F.round("ml_probability_mean", 6).alias("ml_probability_mean"))
+    return a.select("alert_id", "primary_account_id", "alert_created_at", "last_trigger_at", "transaction_count", "alert_amount", F.round("ml_probability_max", 6).alias("ml_probability_max"), F.round("ml_probability_mean", 6).alias("ml_probability_mean"), "detection_engine", "model_version", "alert_status", "priority", "trigger_reason")
+
 
+@_query(_F + _SESS + _CASE + " SELECT case_id, alert_id, 'SAME_ACCOUNT_7D_SESSION' AS link_reason, alert_created_at AS linked_at, 'SYSTEM' AS linked_by FROM cl")
+def c4_case_alerts(spark, sf_dir):
+    return A.case_alert_table(_layers(spark, sf_dir)[2], 7)
 
-@_query(_F + _SESS + _CASE + """, cs AS (SELECT case_id, any_value(primary_account_id) AS subject_id, min(alert_created_at) AS case_created_at, max(alert_created_at) AS last_alert_at, count(*) AS alert_count, sum(alert_amount) AS total_alert_amount, max(pmax) AS pmax, CAST(sum(transaction_count) AS BIGINT) AS transaction_count FROM cl GROUP BY 1)
- SELECT case_id, subject_id, case_created_at, last_alert_at, alert_count, total_alert_amount, round(pmax,6) AS ml_probability_max, transaction_count, row_number() OVER (ORDER BY pmax DESC, alert_count DESC, last_alert_at DESC, case_id) AS queue_rank FROM cs""")
+
+@_query(_F + _SESS + _CASE + """, cs AS (SELECT case_id, any_value(primary_account_id) AS subject_id, min(alert_created_at) AS case_created_at, max(last_trigger_at) AS last_alert_at, count(*) AS alert_count, sum(alert_amount) AS total_alert_amount, max(pmax) AS pmax, CAST(sum(transaction_count) AS BIGINT) AS transaction_count FROM cl GROUP BY 1)
+ SELECT case_id, subject_id, case_created_at, last_alert_at, alert_count, total_alert_amount, round(pmax,6) AS ml_probability_max, transaction_count, row_number() OVER (ORDER BY pmax DESC, alert_count DESC, last_alert_at DESC, case_id) AS queue_rank,
+ 'OPEN' AS case_status, 'UNASSIGNED' AS case_priority, printf('%d ML alert(s); %d unique transaction(s); maximum probability %.4f', alert_count, transaction_count, pmax) AS case_summary FROM cs""")
 def c4_ml_cases(spark, sf_dir):
     links, _, linked = _layers(spark, sf_dir)
     c = A.ml_cases(linked, links)
-    return c.select("case_id", "subject_id", "case_created_at", "last_alert_at", "alert_count", "total_alert_amount", F.round("ml_probability_max", 6).alias("ml_probability_max"), "transaction_count", "queue_rank")
+    return c.select("case_id", "subject_id", "case_created_at", "last_alert_at", "alert_count", "total_alert_amount", F.round("ml_probability_max", 6).alias("ml_probability_max"), "transaction_count", "queue_rank", "case_status", "case_priority", "case_summary")
 
 
 @_query(_F + _SESS + " SELECT (SELECT count(*) FROM al) AS alerts, (SELECT count(DISTINCT primary_account_id) FROM al) AS accounts, count(DISTINCT transaction_id) AS evidence_transactions, count(*) AS flagged, round(1-(SELECT count(*) FROM al)/count(*),6) AS reduction_pct FROM l")
@@ -299,11 +335,24 @@ def a47_manifest(spark, sf_dir):
     return A.manifest(transactions(spark, sf_dir), alerts, links)
 
 
-@_query(" SELECT unnest(['duplicate_alert_ids','duplicate_case_ids','orphan_alert_links','alerts_without_evidence','alerts_in_several_cases','alerts_without_case','orphan_case_links']) AS \"check\", CAST(0 AS BIGINT) AS n_bad")
+_DIRTY = """, al2 AS (SELECT alert_id FROM al WHERE substr(alert_id,10,1) NOT IN ('0','1') UNION ALL SELECT alert_id FROM al WHERE substr(alert_id,10,1)='2'), l2 AS (SELECT alert_id FROM l WHERE substr(alert_id,10,1)<>'3'),
+ cl2 AS (SELECT alert_id, case_id FROM cl WHERE substr(alert_id,10,1)<>'4' UNION ALL SELECT alert_id, 'OTHER' FROM cl WHERE substr(alert_id,10,1)='5'), cs2 AS (SELECT DISTINCT case_id FROM cl WHERE substr(case_id,9,1)<>'6')"""
+
+
+@_query(_F + _SESS + _CASE + _DIRTY + """ SELECT 'duplicate_alert_ids' AS "check", count(*) AS n_bad FROM (SELECT alert_id FROM al2 GROUP BY 1 HAVING count(*)>1) UNION ALL SELECT 'duplicate_case_ids', CAST(0 AS BIGINT)
+ UNION ALL SELECT 'orphan_alert_links', count(*) FROM l2 WHERE alert_id NOT IN (SELECT alert_id FROM al2) UNION ALL SELECT 'alerts_without_evidence', count(*) FROM al2 WHERE alert_id NOT IN (SELECT alert_id FROM l2)
+ UNION ALL SELECT 'alerts_in_several_cases', count(*) FROM (SELECT alert_id FROM cl2 GROUP BY 1 HAVING count(DISTINCT case_id)>1) UNION ALL SELECT 'alerts_without_case', count(*) FROM al2 WHERE alert_id NOT IN (SELECT alert_id FROM cl2)
+ UNION ALL SELECT 'orphan_case_links', count(*) FROM cl2 WHERE case_id NOT IN (SELECT case_id FROM cs2) UNION ALL SELECT 'no_alerts', CAST(0 AS BIGINT)""")
 def c11_violations(spark, sf_dir):
-    links, alerts, linked = _layers(spark, sf_dir)
-    cases = linked.select("case_id").distinct()
-    return A.violations(alerts, links, cases, linked)
+    """The integrity suite on layers from which some alerts, links and cases were taken and others doubled, by their ids."""
+    links, alerts, linked = (written(x, n) for x, n in zip(_layers(spark, sf_dir), ("links", "alerts", "case-links"), strict=True))
+    at = lambda c, k: F.substring(c, k, 1)
+    two = alerts.select("alert_id").where(~at("alert_id", 10).isin("0", "1"))
+    two = two.unionByName(alerts.select("alert_id").where(at("alert_id", 10) == "2"))
+    several = linked.select("alert_id", F.lit("OTHER").alias("case_id")).where(at("alert_id", 10) == "5")
+    some = linked.select("alert_id", "case_id").where(at("alert_id", 10) != "4").unionByName(several)
+    cases = linked.select("case_id").distinct().where(at("case_id", 9) != "6")
+    return A.violations(two, links.where(at("alert_id", 10) != "3"), cases, some)
 
 
 _MART = """, ca AS (SELECT case_id, any_value(primary_account_id) AS subject_id, min(alert_created_at) - INTERVAL 72 HOURS AS a, max(alert_created_at) + INTERVAL 72 HOURS AS b FROM cl GROUP BY 1),
@@ -348,7 +397,7 @@ _RULE = _F + _H + _FLAGS + """, hit AS (SELECT unnest([{'s':'SCN_SINGLE_LARGE','
 def c5_rule_alerts(spark, sf_dir):
     names = ("SCN_SINGLE_LARGE", "SCN_FAN_OUT", "SCN_STRUCTURING_PROXY")
     hit = _v1(spark, sf_dir).select(F.col("Sender_account").alias("account"), "ts", "tx_id", "Amount", F.explode(F.array(*(F.when(F.col(n) == 1, F.lit(n)) for n in names))).alias("scenario_id"))
-    return A.rule_alerts(hit.where("scenario_id IS NOT NULL"), {"SCN_FAN_OUT": 3}, 2)
+    return A.rule_alerts(A.rule_alert_links(hit.where("scenario_id IS NOT NULL"), {"SCN_FAN_OUT": 3}, 2))
 
 
 _GRID = """, o AS (SELECT Sender_account, CAST(floor((epoch_us(ts)-epoch_us(TIMESTAMP '2024-01-15'))/(10*86400000000.0)) AS BIGINT) AS bucket, count(*) AS n, quantile_cont(Amount,0.5) AS md, sum(Amount) AS t, count(DISTINCT Receiver_account) AS u,
@@ -411,11 +460,15 @@ def m9_past_target_rate(spark, sf_dir):
     return past_target_rate(transactions(spark, sf_dir))
 
 
+def _learning_rows(spark, sf_dir):
+    tx = S.with_country_risk(W.history(_features(spark, sf_dir)), S.country_dimension(spark))
+    return P.with_split(tx, P.boundaries(P.daily(tx)))
+
+
 @_query(None)
 def m6_scored_holdout(spark, sf_dir):
     """Trained on the first days, scored on the last; rows and invariants are tested, SQL can't state the trees."""
     from ..operators import ml
 
-    tx = W.history(_features(spark, sf_dir))
-    rows = P.with_split(tx, P.boundaries(P.daily(tx)))
+    rows = _learning_rows(spark, sf_dir)
     return ml.score(ml.fit(rows.where("split = 'train'")), rows.where("split = 'holdout'")).select("tx_id", "Is_laundering", F.round("probability_1", 6).alias("probability"))

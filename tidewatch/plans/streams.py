@@ -35,3 +35,28 @@ def x3_stream_sessions(spark, sf_dir):
 @_query(_F + _H + " SELECT tx_id, spc AS Sender_prior_count, spa AS Sender_prior_amount, CAST(gap AS DOUBLE) AS Sender_gap FROM h")
 def x4_stream_history(spark, sf_dir):
     return jobs.drained(jobs.running_history(transaction_stream(spark, sf_dir)), "history")
+
+
+@_query(_F + _H + " SELECT tx_id, swc AS Sender_window_count, swa AS Sender_window_amount FROM h")
+def x4_stream_lookback(spark, sf_dir):
+    return jobs.drained(jobs.running_lookback(transaction_stream(spark, sf_dir)), "lookback")
+
+
+@_query(_F + """, mk AS (SELECT max(ts) - INTERVAL 1 DAY AS mark FROM f WHERE tx_id%20<>0), b AS (SELECT time_bucket(INTERVAL '5 days', ts, TIMESTAMP '1970-01-01') AS bucket, CAST(sum(CAST(tx_id%20<>0 AS INT)) AS BIGINT) AS stream_n, count(*) AS batch_n FROM f GROUP BY 1)
+ SELECT bucket, stream_n, batch_n, batch_n-stream_n AS missing FROM b, mk WHERE bucket + INTERVAL 5 DAYS <= mark""")
+def x5_late_rows(spark, sf_dir):
+    """A twentieth of the rows arrives after the rest: windows that the watermark has closed leave them out, and a batch shows how many."""
+    from pyspark.sql import functions as F
+
+    from ..sources.tables import shared_path, transactions
+
+    tx = transactions(spark, sf_dir).select("tx_id", "ts")
+    arrived, out, marks = (shared_path(spark, n) for n in ("arrived", "late-windows", "late-marks"))
+    window = F.window("ts", "5 days")
+    for part in (tx.where("tx_id % 20 <> 0"), tx.where("tx_id % 20 = 0")):
+        part.write.mode("append").parquet(arrived)
+        stream = spark.readStream.schema(tx.schema).parquet(arrived).withWatermark("ts", "1 day")
+        counted = stream.groupBy(window.alias("w")).agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("bucket"), "n")
+        closed = jobs.drained_into(counted, out, marks)
+    batch = tx.groupBy(window.alias("w")).agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("bucket"), "n")
+    return jobs.reconciled(closed, batch, ["bucket"])

@@ -50,6 +50,30 @@ def write_manifest(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Writes ``df`` to the shared folder and reads it back: several uses then cost one computation."""
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def write_csv(df: DataFrame, path: str) -> None:
+    """CSV with a header; what was there before goes."""
+    df.write.mode("overwrite").csv(path, header=True)
+
+
+def checked_join(left: DataFrame, right: DataFrame, on: list[str], how: str, validate: str) -> DataFrame:
+    """A join whose keys must be unique on the sides that ``validate`` ("one_to_one", "one_to_many", "many_to_one") calls one; else ValueError.
+
+    Null keys match nothing and aren't counted. Each check is a grouped count that stops at the first repeated key.
+    """
+    sides = dict(zip(("left", "right"), validate.split("_to_"), strict=True))
+    for name, df in (("left", left), ("right", right)):
+        if sides[name] == "one" and not df.select(*on).dropna().groupBy(*on).count().where("count > 1").isEmpty():
+            raise ValueError(f"the {name} side of a {validate} join has repeated keys")
+    return left.join(right, on, how)
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new path in the folder that driver and executors share; a temporary one only where ``spark.checkpoint.dir`` is unset."""
     base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tidewatch-")

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -55,10 +56,54 @@ def running_history(stream: DataFrame) -> DataFrame:
     return rows.groupBy("Sender_account").applyInPandasWithState(_history_step, HISTORY, "n long, total double, last long", "append", GroupStateTimeout.NoTimeout)
 
 
+LOOKBACK = "tx_id long, Sender_window_count long, Sender_window_amount double"
+
+
+def _lookback_step(seconds: int):
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        old_at, old_amount = state.get if state.exists else ([], [])
+        rows = pd.concat(list(frames)).sort_values(["at", "tx_id"], kind="stable")
+        at = np.concatenate([np.asarray(old_at, np.int64), rows["at"].to_numpy(np.int64)])
+        amount = np.concatenate([np.asarray(old_amount, float), rows["Amount"].to_numpy(float)])
+        order = np.argsort(at, kind="stable")
+        at, sums = at[order], np.concatenate([[0.0], np.cumsum(amount[order])])
+        mine = rows["at"].to_numpy(np.int64)
+        first, end = np.searchsorted(at, mine - seconds, "left"), np.searchsorted(at, mine, "left")
+        yield pd.DataFrame({"tx_id": rows["tx_id"].to_numpy(), "Sender_window_count": end - first, "Sender_window_amount": sums[end] - sums[first]})
+        newest = int(at[-1])
+        keep = at >= newest - seconds
+        state.update((at[keep].tolist(), amount[order][keep].tolist()))
+        state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs() + 1, (newest + seconds) * 1000))
+
+    return step
+
+
+def running_lookback(stream: DataFrame, seconds: int = 86_400, late: str = "1 day") -> DataFrame:
+    """Number and sum of each sender's transactions in [t - seconds, t), as they arrive.
+
+    State is the account's transactions of the last ``seconds``; it goes when the watermark has passed them.
+    """
+    rows = stream.withWatermark("ts", late).select("tx_id", "Sender_account", "ts", F.unix_seconds("ts").alias("at"), "Amount")
+    return rows.groupBy("Sender_account").applyInPandasWithState(_lookback_step(seconds), LOOKBACK, "at array<long>, amount array<double>", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def reconciled(closed: DataFrame, batch: DataFrame, keys: list[str], n: str = "n") -> DataFrame:
+    """Windows that a stream closed against the same windows of a batch: (keys, stream_n, batch_n, missing)."""
+    return closed.withColumnRenamed(n, "stream_n").join(batch.withColumnRenamed(n, "batch_n"), keys, "left").select(*keys, "stream_n", "batch_n", (F.col("batch_n") - F.col("stream_n")).alias("missing"))
+
+
 def drained(stream: DataFrame, name: str) -> DataFrame:
     """Runs a stream over all that its source has, and reads back what it appended."""
     spark = stream.sparkSession
-    out, marks = shared_path(spark, name), shared_path(spark, f"{name}-marks")
+    return drained_into(stream, shared_path(spark, name), shared_path(spark, f"{name}-marks"))
+
+
+def drained_into(stream: DataFrame, out: str, marks: str) -> DataFrame:
+    """As ``drained``, with the folders given: a second run with the same ones goes on where the first ended."""
+    spark = stream.sparkSession
     q = stream.writeStream.format("parquet").outputMode("append").trigger(availableNow=True).option("checkpointLocation", marks).start(out)
     q.awaitTermination()
     return spark.read.schema(stream.schema).parquet(out)
