@@ -4,13 +4,13 @@ Every window of ``width`` consecutive words of a text is hashed. A window is rep
 starts in a document with a smaller ``doc_id``; the words that repeated windows cover go, in maximal intervals.
 
 How it runs: documents are dealt into chunks of bounded size by a hash of their id. A chunk sends the distinct hashes of
-its windows, each with the smallest id that has it, to the hash's bucket as packed arrays (no row each: 12 bytes a window, and
+its windows, each with the smallest id that has it, to the hash's bucket as packed arrays (no row each: 10 bytes a window, and
 an id for each run of windows that have it); a bucket finds the smallest id of each hash over the corpus and returns one bit a
 hash; the chunk, whose shuffled rows Spark reuses, turns the bits into intervals. Chunks and buckets are bounded by construction: a hash counts once a chunk
 however often a passage repeats there, so a passage that a third of all documents share makes no group large.
 
-Equal windows are told by 96 bits, a Rabin-Karp hash of 64 and 32 bits of one of other values: among the ten trillion windows of
-100 TB less than one pair of different ones is expected to agree in them.
+Equal windows are told by 80 bits, a Rabin-Karp hash of 64 and 16 bits of one of other values: among the ten trillion windows of
+100 TB some forty pairs of different ones are expected to agree in them.
 
 Defined cases: a null text has no words. A row with a null ``doc_id`` has no place in the order: it is returned
 unchanged and removes nothing elsewhere. Repeated ids never remove each other's words (strictly smaller ids do). Texts
@@ -75,7 +75,7 @@ class _Chunk:
         at = at[~self.null[self.words.row[at]]]
         self.at, self.doc = at, self.ids[self.words.row[at]]
         values = self.words.hashes() if len(at) else np.zeros(0, U64)
-        h, more = rolled(values, width, at), rolled(mix(values + U64(1)), width, at).astype(np.uint32)
+        h, more = rolled(values, width, at), rolled(mix(values + U64(1)), width, at).astype(np.uint16)
         order, new = _sorted_runs(h, more)  # rows are in the order of ids
         first = np.flatnonzero(new)
         hu, mu = h[order][first], more[order][first]
@@ -111,7 +111,7 @@ def _emit(width: int, buckets: int):
 
 def _bucket(key, t):
     hashes = [np.frombuffer(x, U64) for x in t.column("hashes").to_pylist()]
-    h, more = np.concatenate(hashes), np.concatenate([np.frombuffer(x, np.uint32) for x in t.column("more").to_pylist()])
+    h, more = np.concatenate(hashes), np.concatenate([np.frombuffer(x, np.uint16) for x in t.column("more").to_pylist()])
     d = np.concatenate([_from_runs(x) for x in t.column("docs").to_pylist()])
     order, new = _sorted_runs(h, more)
     first = np.flatnonzero(new)
