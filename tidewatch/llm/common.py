@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,15 +23,33 @@ def scratch_dir(spark: SparkSession) -> str:
     return _OWN.setdefault("dir", "file://" + tempfile.mkdtemp(prefix="tidewatch-"))
 
 
-def new_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that no other call uses."""
-    return f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+#: Folders of the enclosing ``temporary`` blocks, the innermost last.
+_WITHIN: ContextVar[tuple[str, ...]] = ContextVar("within", default=())
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def new_path(spark: SparkSession, name: str, outside: bool = False) -> str:
+    """A path in the shared folder that no other call uses, within the innermost ``temporary`` block or (``outside``) the one around it."""
+    within = _WITHIN.get()[: -1 if outside else None]
+    return f"{within[-1] if within else scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def temporary(spark: SparkSession, name: str):
+    """What ``written`` writes in this block is deleted when it ends, but for tables written ``outside``; so only those may be used after."""
+    folder = new_path(spark, name)
+    token = _WITHIN.set((*_WITHIN.get(), folder))
+    try:
+        yield
+    finally:
+        _WITHIN.reset(token)
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def written(df: DataFrame, name: str, outside: bool = False) -> DataFrame:
     """Writes ``df`` as Parquet to the shared folder and reads it back, so that its lineage ends there."""
     spark = df.sparkSession
-    path = new_path(spark, name)
+    path = new_path(spark, name, outside)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -2,21 +2,27 @@
 
 In each round every node takes the neighbour (or itself) of least priority as its new name, edges are renamed, and loops
 and repetitions go. Priorities are a hash of the node and the round, so long chains shrink by a constant factor a round.
-Each round's edges and names are written to the shared folder, so the lineage stays short.
+Each round's edges and names are written to the shared folder, so the lineage stays short; they go when the result is written.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from .common import written
+from .common import temporary, written
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, rounds: int = 200) -> DataFrame:
     """(node, root) for every node of ``edges(a long, b long)``; root names the component (any one of its nodes).
 
-    Loops and repeated edges are allowed; no edges give an empty table.
+    Loops and repeated edges are allowed; no edges give an empty table. Each round is expected to
+    leave a fixed share of the nodes that still have edges, so ``rounds`` is far more than any table needs.
     """
+    with temporary(edges.sparkSession, "components"):
+        return written(_contracted(edges, rounds), "roots", outside=True)
+
+
+def _contracted(edges: DataFrame, rounds: int) -> DataFrame:
     live = written(edges.select("a", "b").where("a <> b").distinct(), "edges")
     named: list[DataFrame] = []
     for k in range(rounds):

@@ -32,13 +32,14 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import written
+from .common import temporary, written
 from .graph import components
 from .tokens import U64, Words, column_bytes, joined, mix, slices, words
 
 SHINGLE, RADIUS = 4, 4
 #: Variants of a chunk, and places of a bucket that are taken, at most about; places for each variant.
 VARIANTS, ROOM = 8_000_000, 32
+MOST_TASKS = 10_000
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 #: For each byte value, its eight bits as eight byte lanes, first bit highest.
@@ -66,20 +67,28 @@ def _hashes(w: Words, width: int) -> tuple[np.ndarray, np.ndarray]:
     return np.array(out, dtype=U64), shingles
 
 
+def majority(h: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The fingerprint of each row, whose ``n`` hashes stand in ``h`` one row after the other; zero for none."""
+    out = np.zeros(len(n), U64)
+    if not len(h):
+        return out
+    lanes = _LANES[h.astype(">u8").view(np.uint8).reshape(-1, 8)]  # a byte lane holds up to 255 ones
+    begin = np.concatenate([[0], np.cumsum(n)])
+    cuts = np.unique(np.concatenate([np.arange(0, len(h), 255), begin[:-1][n > 0]]))
+    part = np.add.reduceat(lanes, cuts, axis=0).view(np.uint8).reshape(len(cuts), 64).astype(np.int64)
+    some = np.flatnonzero(n > 0)
+    ones = np.add.reduceat(part, np.searchsorted(cuts, begin[some]), axis=0)
+    out[some] = np.packbits(2 * ones > n[some][:, None], axis=1).view(">u8").ravel().astype(U64)
+    return out
+
+
 def fingerprints_of(data: np.ndarray, offsets: np.ndarray, width: int = SHINGLE) -> np.ndarray:
     out = np.zeros(len(offsets) - 1, U64)
     for a, b in slices(offsets):
         h, n = _hashes(words(_LOWER[data[offsets[a] : offsets[b]]], offsets[a : b + 1] - offsets[a]), width)
         if not len(h):
             continue
-        lanes = _LANES[h.astype(">u8").view(np.uint8).reshape(-1, 8)]  # a byte lane holds up to 255 ones
-        begin = np.concatenate([[0], np.cumsum(n)])
-        cuts = np.unique(np.concatenate([np.arange(0, len(h), 255), begin[:-1][n > 0]]))
-        part = np.add.reduceat(lanes, cuts, axis=0).view(np.uint8).reshape(len(cuts), 64).astype(np.int64)
-        some = np.flatnonzero(n > 0)
-        ones = np.add.reduceat(part, np.searchsorted(cuts, begin[some]), axis=0)
-        bits = 2 * ones > n[some][:, None]
-        out[a + some] = np.packbits(bits, axis=1).view(">u8").ravel().astype(U64)
+        out[a:b] = majority(h, n)
     return out
 
 
@@ -162,20 +171,16 @@ def _labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return label
 
 
-class Layout:
-    """How variants map to places and places to buckets."""
+class Places:
+    """How keys map to places and places to buckets, for ``keys`` of them in all and about ``most`` in a chunk or bucket."""
 
-    def __init__(self, distinct: int, radius: int, variants: int):
-        if radius < 0 or radius % 2:
-            raise ValueError("the radius must be even: each fingerprint has half of it")
-        self.half = radius // 2
-        masks = len(ball(self.half))
-        self.bits = min(63, max(8, int(distinct * masks * ROOM).bit_length()))
-        self.chunks = max(1, -(-distinct * masks // variants))
+    def __init__(self, keys: int, most: int):
+        self.bits = min(63, max(8, int(keys * ROOM).bit_length()))
+        self.chunks = max(1, -(-keys // most))
         self.span = -(-(1 << self.bits) // self.chunks)
 
-    def places(self, variants: np.ndarray) -> np.ndarray:
-        return mix(variants) >> U64(64 - self.bits)
+    def places(self, keys: np.ndarray) -> np.ndarray:
+        return mix(keys) >> U64(64 - self.bits)
 
     def buckets(self, places: np.ndarray):
         """(bucket, begin, end) of the buckets that sorted places fall in."""
@@ -187,37 +192,37 @@ class Layout:
             yield int(home[a]), a, b
 
 
-def _emit(layout: Layout):
-    """All variants of a chunk as places, and those that two of its members have."""
-
-    def emit(key, t):
-        fp = np.sort(t.column("fp").to_numpy().view(U64))
-        masks, n = ball(layout.half), len(fp)
-        places = np.empty(n * len(masks), U64)
-        for k, m in enumerate(masks):
-            places[k * n : (k + 1) * n] = layout.places(fp ^ m)
-        places.sort()
-        new = _starts(places)
-        again = places[~new]
-        again, places = again[_starts(again)], places[new]
-        rows = []
-        for bucket, a, b in layout.buckets(places):
-            start = bucket * layout.span
-            i, j = np.searchsorted(again, [start, start + layout.span])
-            rows.append((bucket, packed(places[a:b], start), packed(again[i:j], start)))
-        g = key[0].as_py()
-        return pa.table({
-            "g": pa.array([g] * len(rows), pa.int64()), "bucket": pa.array([r[0] for r in rows], pa.int64()),
-            "places": pa.array([r[1] for r in rows], pa.binary()), "again": pa.array([r[2] for r in rows], pa.binary()),
-        })
-
-    return emit
-
+class Layout(Places):
+    """The places of the variants of ``distinct`` fingerprints."""
 
-def _meet(layout: Layout):
+    def __init__(self, distinct: int, radius: int, variants: int):
+        if radius < 0 or radius % 2:
+            raise ValueError("the radius must be even: each fingerprint has half of it")
+        self.half = radius // 2
+        super().__init__(distinct * len(ball(self.half)), variants)
+
+
+def sent(g: int, places: np.ndarray, layout: Places) -> pa.Table:
+    """The places of a chunk for each bucket, once each, and those among them that stand there more than once."""
+    places.sort()
+    new = _starts(places)
+    again = places[~new]
+    again, places = again[_starts(again)], places[new]
+    rows = []
+    for bucket, a, b in layout.buckets(places):
+        start = bucket * layout.span
+        i, j = np.searchsorted(again, [start, start + layout.span])
+        rows.append((bucket, packed(places[a:b], start), packed(again[i:j], start)))
+    return pa.table({
+        "g": pa.array([g] * len(rows), pa.int64()), "bucket": pa.array([r[0] for r in rows], pa.int64()),
+        "places": pa.array([r[1] for r in rows], pa.binary()), "again": pa.array([r[2] for r in rows], pa.binary()),
+    })
+
+
+def meet(layout: Places):
     """The places of a bucket that several chunks have, for each chunk those of its own."""
 
-    def meet(key, t):
+    def run(key, t):
         start = key[0].as_py() * layout.span
         each = [unpacked(x.as_py(), start) for x in t.column("places")]
         every = np.concatenate(each)
@@ -229,7 +234,30 @@ def _meet(layout: Layout):
             "shared": pa.array([packed(x[sieve.find(x)], start) for x in each], pa.binary()),
         })
 
-    return meet
+    return run
+
+
+def held_elsewhere(met: pa.Table, layout: Places) -> tuple[np.ndarray, np.ndarray]:
+    """Of a chunk's answers from all buckets: its places that other chunks have, and those it has more than once."""
+    rows = sorted(zip(*(met.column(c).to_pylist() for c in ("bucket", "shared", "again")), strict=True))
+    return tuple(np.concatenate([np.zeros(0, U64), *(unpacked(r[k], r[0] * layout.span) for r in rows)]) for k in (1, 2))
+
+
+SENT, ANSWER = "g long, bucket long, places binary, again binary", "g long, bucket long, again binary, shared binary"
+
+
+def _emit(layout: Layout):
+    """All variants of a chunk."""
+
+    def emit(key, t):
+        fp = t.column("fp").to_numpy().view(U64)
+        masks, n = ball(layout.half), len(fp)
+        places = np.empty(n * len(masks), U64)
+        for k, m in enumerate(masks):
+            places[k * n : (k + 1) * n] = layout.places(fp ^ m)
+        return sent(key[0].as_py(), places, layout)
+
+    return emit
 
 
 MET = "bucket long, a long, b long, variants binary, members binary, which binary"
@@ -243,9 +271,7 @@ def _link(layout: Layout):
         if not t.num_rows or not met.num_rows:
             return kinds.empty_table()
         fp = np.sort(t.column("fp").to_numpy().view(U64))
-        rows = sorted(zip(*(met.column(c).to_pylist() for c in ("bucket", "shared", "again")), strict=True))
-        shared = np.concatenate([unpacked(s, b * layout.span) for b, s, _ in rows])
-        again = np.concatenate([unpacked(x, b * layout.span) for b, _, x in rows])
+        shared, again = held_elsewhere(met, layout)
         sieve = Sieve(np.union1d(shared, again))
         variant, who = [], []
         for m in ball(layout.half):
@@ -294,8 +320,10 @@ def links(distinct: DataFrame, radius: int = RADIUS, variants: int = VARIANTS) -
     """Edges (a, b) between the distinct fingerprints ``fp`` whose components are those of all pairs within ``radius`` bits (even)."""
     layout = Layout(distinct.count(), radius, variants)
     dealt = distinct.select("fp", F.pmod(F.xxhash64("fp"), F.lit(layout.chunks)).alias("g"))
-    sent = dealt.groupBy("g").applyInArrow(_emit(layout), "g long, bucket long, places binary, again binary")
-    met = sent.groupBy("bucket").applyInArrow(_meet(layout), "g long, bucket long, again binary, shared binary")
+    # eight bytes a fingerprint look like nothing, but each stands for its whole ball: a task takes few chunks
+    dealt = dealt.repartition(min(layout.chunks, MOST_TASKS), "g")
+    sent = dealt.groupBy("g").applyInArrow(_emit(layout), SENT)
+    met = sent.groupBy("bucket").applyInArrow(meet(layout), ANSWER)
     held = dealt.groupBy("g").cogroup(met.groupBy("g")).applyInArrow(_link(layout), MET)
     held = written(held, "shared-variants")
     across = held.where("bucket IS NOT NULL").groupBy("bucket").applyInArrow(_across, "a long, b long")
@@ -304,13 +332,14 @@ def links(distinct: DataFrame, radius: int = RADIUS, variants: int = VARIANTS) -
 
 def near_duplicates(docs: DataFrame, width: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """(doc_id, fingerprint, component_id) for each row of ``docs``."""
-    fp = written(fingerprints(docs, width), "fingerprints")
-    distinct = written(fp.where("doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    named = components(links(distinct, radius))
-    placed = distinct.join(named.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    placed = written(placed, "placed")
-    least = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_fp = placed.join(least, "root").select("fp", "component_id")
+    with temporary(docs.sparkSession, "simhash"):
+        fp = written(fingerprints(docs, width), "fingerprints", outside=True)
+        distinct = written(fp.where("doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
+        named = components(links(distinct, radius))
+        placed = distinct.join(named.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+        placed = written(placed, "placed")
+        least = placed.groupBy("root").agg(F.min("least").alias("component_id"))
+        by_fp = written(placed.join(least, "root").select("fp", "component_id"), "fingerprint-components", outside=True)
     return fp.join(by_fp, "fp", "left").select(
         "doc_id",
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
