@@ -15,11 +15,13 @@ _OWN: dict[str, str] = {}
 def scratch_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where it is unset (tests on one machine) a temporary folder is used.
+    Only where it is unset and Spark runs on one machine, as in tests, a temporary folder is used; on a cluster that is an error.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if path:
         return path.rstrip("/")
+    if not spark.conf.get("spark.master", "local").startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     return _OWN.setdefault("dir", "file://" + tempfile.mkdtemp(prefix="tidewatch-"))
 
 
