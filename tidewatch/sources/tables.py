@@ -75,8 +75,12 @@ def checked_join(left: DataFrame, right: DataFrame, on: list[str], how: str, val
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that driver and executors share; a temporary one only where ``spark.checkpoint.dir`` is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tidewatch-")
+    """A new path in the folder that driver and executors share; a temporary one only where ``spark.checkpoint.dir`` is unset and Spark runs on one machine."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="tidewatch-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
