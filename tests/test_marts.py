@@ -105,6 +105,9 @@ def test_contracts_fail_on_bad_input(spark):
     assert {r.check: r.n_bad for r in audit.leaks(rows).collect()} == {"train_after_development": 1, "development_after_holdout": 0}
     with pytest.raises(ValueError, match="train_after_development"):
         audit.require_none(audit.leaks(rows))
+    assert P.require_periods(rows).count() == 3
+    with pytest.raises(ValueError, match="holdout"):
+        P.require_periods(rows.where("split <> 'holdout'"))
     with pytest.raises(ValueError):
         P.require_parsed(spark.createDataFrame([(None,)], "t timestamp"), "t")
 

@@ -69,6 +69,14 @@ def boundaries(days: DataFrame, train: float = 0.6, development: float = 0.2) ->
     return c.agg(at(train).alias("train_end"), at(train + development).alias("development_end"))
 
 
+def require_periods(tx: DataFrame, periods: tuple[str, ...] = ("train", "development", "holdout")) -> DataFrame:
+    """``tx`` with a split; ValueError unless every period has rows."""
+    found = {r[0] for r in tx.select("split").distinct().collect()}  # a few names
+    if not set(periods) <= found:
+        raise ValueError(f"periods without rows: {', '.join(sorted(set(periods) - found))}")
+    return tx
+
+
 def with_split(tx: DataFrame, bounds: DataFrame) -> DataFrame:
     day = F.to_date("ts")
     return tx.crossJoin(F.broadcast(bounds)).withColumn("split", F.when(day <= F.col("train_end"), "train").when(day <= F.col("development_end"), "development").otherwise("holdout")).drop("train_end", "development_end")

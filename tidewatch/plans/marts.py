@@ -337,6 +337,26 @@ def c2_alert_records(spark, sf_dir):
     return A.alert_records(_v1(spark, sf_dir), "SCN_FAN_IN", "Multiple incoming counterparties", "SCN_FAN_IN", 60, "Receiver_account", 24, ("Receiver_window_count", "Receiver_window_amount", "Receiver_window_unique"))
 
 
+@_query(_RULES + " SELECT scenario_id, count(*) AS alerts, CAST(sum(n) AS BIGINT) AS triggering_transactions, count(DISTINCT acc) AS accounts FROM ra WHERE scenario_id IN ('SCN_FAN_OUT','SCN_STRUCTURING_PROXY') GROUP BY 1 HAVING count(*)>=2")
+def c10_scenario_monitor(spark, sf_dir):
+    """The scenario rollup, filtered to some scenarios with a least number of alerts."""
+    return A.scenario_rollup(_rule_links(spark, sf_dir)).where(F.col("scenario_id").isin("SCN_FAN_OUT", "SCN_STRUCTURING_PROXY") & (F.col("alerts") >= 2))
+
+
+@_query(" SELECT k AS \"Parameter\", v AS \"Value\", count(tx_id) AS rows_at_least FROM (SELECT unnest(['large_amount','structuring_amount','window_total']) AS k, unnest([CAST(50000 AS DOUBLE),10000,20000]) AS v) LEFT JOIN tx ON Amount>=v GROUP BY 1,2")
+def d14_thresholds(spark, sf_dir):
+    """The amounts of the configuration, and how many rows reach each; one pass over the rows."""
+    limits = D.configuration(spark).where(F.col("Parameter").isin("large_amount", "structuring_amount", "window_total"))
+    counts = transactions(spark, sf_dir).select("Amount").crossJoin(F.broadcast(limits)).groupBy("Parameter", "Value")  # three rows
+    return counts.agg(F.count(F.when(F.col("Amount") >= F.col("Value"), 1)).alias("rows_at_least"))
+
+
+@_query(" SELECT CAST(Is_laundering AS INT) AS Is_laundering, CAST(sum(CASE Is_laundering WHEN 1 THEN n ELSE least(n, 60) END) AS BIGINT) AS n FROM (SELECT tx_id // 250 AS b, Is_laundering, count(*) AS n FROM tx GROUP BY 1,2) GROUP BY 1")
+def k2_all_labelled_rows(spark, sf_dir):
+    """Rows that the sample keeps of each class: all labelled ones, at most 60 normal ones in each block of ids."""
+    return P.block_sample(transactions(spark, sf_dir), 250, {0: 60, 1: 2**31 - 1}).groupBy("Is_laundering").agg(F.count(F.lit(1)).alias("n"))
+
+
 # --- evaluation and contracts
 
 @_query(_F + """, e AS (SELECT 'RULE' AS engine, CAST(Amount>=20000 AS INT) AS a, Is_laundering AS y FROM f UNION ALL SELECT 'ML', CAST(ml AS INT), Is_laundering FROM f), c AS (SELECT engine, count(*) AS n, CAST(sum(y) AS BIGINT) AS positives, CAST(sum(a) AS BIGINT) AS alerts, CAST(sum(a*y) AS BIGINT) AS hits FROM e GROUP BY 1),

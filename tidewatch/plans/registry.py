@@ -107,9 +107,9 @@ def p13_semantics(spark, sf_dir):
     return S.semantics(transactions(spark, sf_dir)).select("tx_id", *_SEM)
 
 
-@_query(_F + _H + " SELECT tx_id, risk AS Max_country_risk, sanction AS Any_sanctioned, CASE Sender_bank_location WHEN 'UK' THEN 'GB' WHEN 'USA' THEN 'US' WHEN 'UAE' THEN 'AE' ELSE 'TR' END AS Sender_iso2 FROM h")
+@_query(_F + _H + f" SELECT tx_id, risk AS Max_country_risk, CAST(abs({_RISK.format('Sender_bank_location')}-{_RISK.format('Receiver_bank_location')}) AS DOUBLE) AS Risk_difference, sanction AS Any_sanctioned, CASE Sender_bank_location WHEN 'UK' THEN 'GB' WHEN 'USA' THEN 'US' WHEN 'UAE' THEN 'AE' ELSE 'TR' END AS Sender_iso2, CASE Receiver_bank_location WHEN 'UK' THEN 'GBR' WHEN 'USA' THEN 'USA' WHEN 'UAE' THEN 'ARE' ELSE 'TUR' END AS Receiver_iso3 FROM h")
 def j1_country_risk(spark, sf_dir):
-    return S.with_country_risk(transactions(spark, sf_dir), S.country_dimension(spark)).select("tx_id", "Max_country_risk", "Any_sanctioned", "Sender_iso2")
+    return S.with_country_risk(transactions(spark, sf_dir), S.country_dimension(spark)).select("tx_id", "Max_country_risk", "Risk_difference", "Any_sanctioned", "Sender_iso2", "Receiver_iso3")
 
 
 @_query(_F + _H + " SELECT tx_id, spc AS Sender_prior_count, spa AS Sender_prior_amount, CAST(gap AS DOUBLE) AS Sender_gap, round(CASE WHEN spc>0 THEN spa/spc ELSE 0 END,6) AS Sender_prior_average, rpc AS Receiver_prior_count, rpa AS Receiver_prior_amount, CAST(rgap AS DOUBLE) AS Receiver_gap FROM h")
