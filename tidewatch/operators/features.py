@@ -31,19 +31,23 @@ def active_sums(rows: DataFrame, key: str, spans: list[tuple[Column, Column, dic
     """
     piece, names = 4 * reach, [n for _, _, values in spans for n in values]
     kinds = {n: v for _, _, values in spans for n, v in values.items()}
-    ends = {f"_e{k}": s[1] for k, s in enumerate(spans)}
-    begins = {f"_b{k}": s[0] for k, s in enumerate(spans)}
+    begins, ends = {f"_b{k}": s[0] for k, s in enumerate(spans)}, {f"_e{k}": s[1] for k, s in enumerate(spans)}
     x = rows.withColumns({**begins, **ends, **{f"_v_{n}": v for n, v in kinds.items()}})
 
-    def event(k: int, at: str, sign: int) -> Column:
-        own = spans[k][2]
+    def event(at: str, own: list[str], sign: int) -> Column:
         sums = [(F.col(f"_v_{n}") * sign if n in own else F.col(f"_v_{n}") * 0).alias(n) for n in names]
-        return F.struct(F.col(f"{at}{k}").alias("_t"), *sums)
-
+        return F.struct(F.col(at).alias("_t"), *sums)
+
+    # spans that are given the same begin enter together
+    together: dict[int, list[int]] = {}
+    for k, s in enumerate(spans):
+        together.setdefault(id(s[0]), []).append(k)
+    enter = [event(f"_b{ks[0]}", [n for k in ks for n in spans[k][2]], 1) for ks in together.values()]
+    leave = [event(f"_e{k}", list(s[2]), -1) for k, s in enumerate(spans)]
     first = F.least(*begins) if len(begins) > 1 else F.col("_b0")
     last = F.greatest(*ends) if len(ends) > 1 else F.col("_e0")
     home, to = F.floor(first / piece).cast("long"), F.floor((last - 1) / piece).cast("long")
-    moves = F.array(*(event(k, at, sign) for k in range(len(spans)) for at, sign in (("_b", 1), ("_e", -1))))
+    moves = F.array(*enter, *leave)
     events = x.select(F.col(key).alias("_k"), F.explode(moves).alias("_m"), F.array_distinct(F.array(home, F.greatest(home, to))).alias("_p"))
     events = events.select("_k", F.explode("_p").alias("_p"), F.lit(0).alias("_probe"), "_m.*", F.lit(None).cast(rows.select(F.struct("*")).schema[0].dataType).alias("_row"))
     zero = [(F.col(f"_v_{n}") * 0).alias(n) for n in names]
@@ -85,7 +89,8 @@ def sliding(tx: DataFrame, days: int, median: bool = True) -> DataFrame:
     flag = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long")
     sums = {"n": one, "total": F.coalesce(F.col("Amount"), F.lit(0.0)).cast(MONEY), "_cross": flag("Cross_border"), "_fx": flag("Currency_mismatch")}
     known = F.when(F.col("Receiver_account").isNotNull(), one).otherwise(F.lit(0).cast("long"))
-    out = active_sums(tx, "Sender_account", [(F.col("_at"), end, sums), (F.col("_at"), F.least(end, F.col("_next")), {"unique_receivers": known})], days * 86_400 + 1)
+    begin = F.col("_at")
+    out = active_sums(tx, "Sender_account", [(begin, end, sums), (begin, F.least(end, F.col("_next")), {"unique_receivers": known})], days * 86_400 + 1)
     rate = lambda c: F.col(c) / F.col("n")
     return out.withColumns({"total": F.col("total").cast("double"), "unique_receivers": F.col("unique_receivers").cast("int"), "cross_rate": rate("_cross"), "fx_rate": rate("_fx")}).drop("_at", "_next", "_cross", "_fx")
 
