@@ -161,3 +161,59 @@ def test_lookback_state_goes_on_over_micro_batches(spark, tmp_path):
     stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     got = sorted((r.tx_id, r.Sender_window_count, r.Sender_window_amount) for r in drained(running_lookback(stream), "look").collect())
     assert got == [(i, min(i, 3), float(sum(2.0**j for j in range(max(0, i - 3), i)))) for i in range(8)]
+
+
+def arrived_in(spark, tmp_path, parts, run, name):
+    """Runs a stream over parts that arrive one after the other; state goes on from run to run."""
+    from tidewatch.streaming.jobs import drained_into
+
+    path, out, marks = (str(tmp_path / f"{name}-{x}") for x in ("in", "out", "marks"))
+    for part in parts:
+        part.coalesce(1).write.mode("append").parquet(path)
+        found = drained_into(run(spark.readStream.schema(part.schema).parquet(path)), out, marks)
+    return found
+
+
+@pytest.mark.parametrize("slots", [1, 5])
+def test_lookback_is_the_batch_answer_in_any_order(spark, tmp_path, slots):
+    from tidewatch.streaming.jobs import settled_lookback
+
+    rng = random.Random(slots)
+    seconds, late = 6 * 3600, 4 * 3600
+    rows = [(i, rng.choice((1, 1, 2, None)), rng.choice((0.5, 2.0, None, 64.0)), T0 + dt.timedelta(seconds=rng.choice((rng.randrange(4 * 86_400), 600 * rng.randrange(500))))) for i in range(240)]
+    rows += [(1000 + k, 1, 1.0, T0 + dt.timedelta(days=9)) for k in range(2)] + [(2000, 1, 5.0, None)]
+    arrives = lambda r: (r[3] or T0) + dt.timedelta(seconds=rng.randrange(late))
+    schema = "tx_id long, Sender_account long, Amount double, ts timestamp"
+    batches: dict[int, list] = {}
+    for r in rows:
+        batches.setdefault(int((arrives(r) - T0).total_seconds() // 40_000), []).append(r)
+    parts = [spark.createDataFrame(rng.sample(b, len(b)), schema) for _, b in sorted(batches.items())]
+    got = {r.tx_id: (r.Sender_window_count, r.Sender_window_amount) for r in arrived_in(spark, tmp_path, parts, lambda s: settled_lookback(s, seconds, "4 hours", slots), "o").collect()}
+    assert got.pop(2000) == (0, 0.0)
+    want = {}
+    for i, a, _, t in rows[:240]:
+        near = [x for x in rows[:240] if x[1] == a and t - dt.timedelta(seconds=seconds) <= x[3] < t]
+        want[i] = (len(near), sum(x[2] or 0.0 for x in near))
+    assert got == want
+
+
+def test_lookback_leaves_out_what_is_behind_the_watermark(spark, tmp_path):
+    from tidewatch.streaming.jobs import settled_lookback
+
+    at = lambda h: T0 + dt.timedelta(hours=h)
+    schema = "tx_id long, Sender_account long, Amount double, ts timestamp"
+    batches = [[(0, 1, 1.0, at(0)), (1, 1, 2.0, at(10)), (2, 1, 4.0, at(36))], [(3, 1, 8.0, at(20))], [(4, 1, 16.0, at(240))], [(5, 1, 32.0, at(30))], [(6, 1, 64.0, at(250))], [(7, 1, 1.0, at(900))]]
+    parts = [spark.createDataFrame(b, schema) for b in batches]
+    got = {r.tx_id: (r.Sender_window_count, r.Sender_window_amount) for r in arrived_in(spark, tmp_path, parts, lambda s: settled_lookback(s, 86_400), "l").collect()}
+    # 20 h comes after 36 h but in time; 30 h comes when the watermark stands at 216 h; the last row stays open
+    assert got == {0: (0, 0.0), 1: (1, 1.0), 3: (2, 3.0), 2: (1, 8.0), 4: (0, 0.0), 6: (1, 16.0)}
+
+
+def test_prompt_lookback_keeps_what_late_rows_look_back_to(spark, tmp_path):
+    from tidewatch.streaming.jobs import running_lookback
+
+    at = lambda h: T0 + dt.timedelta(hours=h)
+    schema = "tx_id long, Sender_account long, Amount double, ts timestamp"
+    parts = [spark.createDataFrame(b, schema) for b in ([(0, 1, 1.0, at(0)), (1, 1, 2.0, at(10)), (2, 1, 4.0, at(36))], [(3, 1, 8.0, at(20))])]
+    got = {r.tx_id: (r.Sender_window_count, r.Sender_window_amount) for r in arrived_in(spark, tmp_path, parts, lambda s: running_lookback(s, 86_400), "p").collect()}
+    assert got == {0: (0, 0.0), 1: (1, 1.0), 2: (0, 0.0), 3: (2, 3.0)}

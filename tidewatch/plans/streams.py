@@ -42,6 +42,26 @@ def x4_stream_lookback(spark, sf_dir):
     return jobs.drained(jobs.running_lookback(transaction_stream(spark, sf_dir)), "lookback")
 
 
+@_query(_F + _H + _MARK + " SELECT tx_id, swc AS Sender_window_count, swa AS Sender_window_amount FROM h, mk WHERE (epoch_us(ts)//86400000000 + 1)*86400000000 <= epoch_us(mark)")
+def x4_shuffled_lookback(spark, sf_dir):
+    """Rows arrive up to a day late, in batches of six days of arrival: each still gets the answer of the batch."""
+    from pyspark.sql import functions as F
+
+    from ..sources.tables import shared_path, transactions
+
+    tx = transactions(spark, sf_dir).select("tx_id", "ts", "Sender_account", "Amount")
+    arrives = F.unix_seconds("ts") + F.pmod(F.xxhash64("tx_id"), F.lit(86_400))
+    batch = F.expr("arrives DIV 518400")
+    path, out, marks = (shared_path(spark, n) for n in ("arrivals", "lookback-out", "lookback-marks"))
+    tx.withColumn("arrives", arrives).withColumn("batch", batch).drop("arrives").write.partitionBy("batch").parquet(path)
+    arrived = shared_path(spark, "arrived")
+    for r in spark.read.parquet(path).select("batch").distinct().orderBy("batch").collect():  # a row for each six days
+        spark.read.schema(tx.schema).parquet(f"{path}/batch={r.batch}").write.mode("append").parquet(arrived)
+        stream = jobs.settled_lookback(spark.readStream.schema(tx.schema).parquet(arrived))
+        found = jobs.drained_into(stream, out, marks)
+    return found
+
+
 @_query(_F + """, mk AS (SELECT max(ts) - INTERVAL 1 DAY AS mark FROM f WHERE tx_id%20<>0), b AS (SELECT time_bucket(INTERVAL '5 days', ts, TIMESTAMP '1970-01-01') AS bucket, CAST(sum(CAST(tx_id%20<>0 AS INT)) AS BIGINT) AS stream_n, count(*) AS batch_n FROM f GROUP BY 1)
  SELECT bucket, stream_n, batch_n, batch_n-stream_n AS missing FROM b, mk WHERE bucket + INTERVAL 5 DAYS <= mark""")
 def x5_late_rows(spark, sf_dir):

@@ -1,15 +1,18 @@
 """Streaming forms: deduplicated ingest, account windows, session alerts and running account history.
 
-Watermarks bound the state of all but the history, which keeps one row of state an account.
+Watermarks bound the state of all but the history, which keeps one row of state an account. The settled lookback gives
+each row the batch's answer, whatever order the rows arrive in.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..sources.tables import shared_path
@@ -73,23 +76,116 @@ def _lookback_step(seconds: int):
         mine = rows["at"].to_numpy(np.int64)
         first, end = np.searchsorted(at, mine - seconds, "left"), np.searchsorted(at, mine, "left")
         yield pd.DataFrame({"tx_id": rows["tx_id"].to_numpy(), "Sender_window_count": end - first, "Sender_window_amount": sums[end] - sums[first]})
-        newest = int(at[-1])
-        keep = at >= newest - seconds
+        # rows down to the watermark may still come, and look back from there
+        mark, newest = state.getCurrentWatermarkMs(), int(at[-1])
+        keep = at >= min(newest, mark // 1000) - seconds
         state.update((at[keep].tolist(), amount[order][keep].tolist()))
-        state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs() + 1, (newest + seconds) * 1000))
+        state.setTimeoutTimestamp(max(mark + 1, (newest + seconds) * 1000))
 
     return step
 
 
 def running_lookback(stream: DataFrame, seconds: int = 86_400, late: str = "1 day") -> DataFrame:
-    """Number and sum of each sender's transactions in [t - seconds, t), as they arrive.
+    """Number and sum of each sender's transactions in [t - seconds, t), as far as they have arrived: an answer at once.
 
-    State is the account's transactions of the last ``seconds``; it goes when the watermark has passed them.
+    State is the account's transactions of the last ``seconds`` before the watermark; it goes when the watermark has passed them.
+    ``settled_lookback`` waits for what is late.
     """
     rows = stream.withWatermark("ts", late).select("tx_id", "Sender_account", "ts", F.unix_seconds("ts").alias("at"), "Amount")
     return rows.groupBy("Sender_account").applyInPandasWithState(_lookback_step(seconds), LOOKBACK, "at array<long>, amount array<double>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
+class Lookback(StatefulProcessor):
+    """Windows [t - seconds, t) of one account, answered when nothing that belongs to them can arrive any more.
+
+    Time is cut into slots, ``slots`` to a window. State by slot: counts and sums of each second that has rows, at most as many as
+    the slot has seconds, and the ids that wait for their answer, a part for each batch that brought some, so no list is
+    written again as it grows. The timer at the end of a slot fires when the watermark has passed it: its waiting rows
+    are answered from the slots that their windows reach, and the slot that no later window reaches goes.
+    """
+
+    def __init__(self, seconds: int, slots: int):
+        self.seconds, self.slots = seconds, slots
+        self.width = -(-seconds // slots)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.sums = handle.getMapState("sums", "slot long", "at array<long>, n array<long>, amount array<double>")
+        self.waiting = handle.getMapState("waiting", "slot long, part int", "tx_id array<long>, at array<long>")
+        self.parts = handle.getMapState("parts", "slot long", "n int")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        mark = timerValues.getCurrentWatermarkInMs()
+        for frame in rows:
+            at, amount = frame["at"].to_numpy(np.int64), frame["Amount"].fillna(0.0).to_numpy(float)
+            ids, slot = frame["tx_id"].to_numpy(np.int64), at // self.width
+            for k in np.unique(slot).tolist():
+                if mark > 0 and (k + 1) * self.width * 1000 <= mark:
+                    continue  # the slot is closed: too late
+                own = np.flatnonzero(slot == k)
+                known = self.sums.getValue((k,)) if self.sums.containsKey((k,)) else None
+                self.sums.updateValue((k,), _summed(at[own], np.ones(len(own), np.int64), amount[own], known))
+                part = self.parts.getValue((k,))[0] if self.parts.containsKey((k,)) else 0
+                self.waiting.updateValue((k, part), (ids[own].tolist(), at[own].tolist()))
+                self.parts.updateValue((k,), (part + 1,))
+                if known is None:
+                    for end in (k + 1, k + 1 + self.slots):
+                        self.handle.registerTimer(end * self.width * 1000)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        k = expiredTimerInfo.getExpiryTimeInMs() // (self.width * 1000) - 1
+        if self.parts.containsKey((k,)):
+            near = [self.sums.getValue((j,)) for j in range(k - self.slots, k + 1) if self.sums.containsKey((j,))]
+            at, n, amount = (np.concatenate([np.asarray(x[c]) for x in near]) for c in range(3))
+            counts, totals = (np.concatenate([[0], np.cumsum(x)]) for x in (n, amount))
+            for part in range(self.parts.getValue((k,))[0]):
+                ids, mine = map(np.asarray, self.waiting.getValue((k, part)))
+                first, end = np.searchsorted(at, mine - self.seconds, "left"), np.searchsorted(at, mine, "left")
+                yield pd.DataFrame({"tx_id": ids, "Sender_window_count": counts[end] - counts[first], "Sender_window_amount": (totals[end] - totals[first]).astype(float)})
+                self.waiting.removeKey((k, part))
+            self.parts.removeKey((k,))
+        if self.sums.containsKey((k - self.slots,)):
+            self.sums.removeKey((k - self.slots,))
+
+    def close(self) -> None:
+        pass
+
+
+def _summed(at: np.ndarray, n: np.ndarray, amount: np.ndarray, known: tuple | None) -> tuple[list, list, list]:
+    """Counts and sums by second, with those that are known already."""
+    if known is not None:
+        at, n, amount = (np.concatenate([np.asarray(a), b]) for a, b in zip(known, (at, n, amount), strict=True))
+    seconds, where = np.unique(at, return_inverse=True)
+    return seconds.tolist(), np.bincount(where, weights=n).astype(np.int64).tolist(), np.bincount(where, weights=amount).tolist()
+
+
+def settled_lookback(stream: DataFrame, seconds: int = 86_400, late: str = "1 day", slots: int = 1) -> DataFrame:
+    """Number and sum of each sender's transactions in [t - seconds, t): what a batch finds, in whatever order rows within the watermark arrive.
+
+    A row is answered when the watermark has passed its slot of seconds / slots. Rows behind the watermark are left out, rows without
+    a time are answered at once: they have no window. Runs on the RocksDB state store (``rocksdb``).
+    """
+    rows = stream.withWatermark("ts", late).select("tx_id", "Sender_account", "ts", F.unix_seconds("ts").alias("at"), "Amount")
+    timed = rows.where("ts IS NOT NULL").groupBy("Sender_account").transformWithStateInPandas(Lookback(seconds, slots), LOOKBACK, "append", "eventTime")
+    none = rows.where("ts IS NULL").select("tx_id", F.lit(0).cast("long").alias("Sender_window_count"), F.lit(0.0).alias("Sender_window_amount"))
+    return timed.unionByName(none)
+
+
+_STORE = "spark.sql.streaming.stateStore.providerClass"
+
+
+@contextmanager
+def rocksdb(spark: SparkSession):
+    """Streams that start within keep their state in RocksDB, which timers and state variables need; the setting goes back after."""
+    before = spark.conf.get(_STORE, None)
+    spark.conf.set(_STORE, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.unset(_STORE) if before is None else spark.conf.set(_STORE, before)
+
+
 def reconciled(closed: DataFrame, batch: DataFrame, keys: list[str], n: str = "n") -> DataFrame:
     """Windows that a stream closed against the same windows of a batch: (keys, stream_n, batch_n, missing)."""
     return closed.withColumnRenamed(n, "stream_n").join(batch.withColumnRenamed(n, "batch_n"), keys, "left").select(*keys, "stream_n", "batch_n", (F.col("batch_n") - F.col("stream_n")).alias("missing"))
@@ -104,6 +200,7 @@ def drained(stream: DataFrame, name: str) -> DataFrame:
 def drained_into(stream: DataFrame, out: str, marks: str) -> DataFrame:
     """As ``drained``, with the folders given: a second run with the same ones goes on where the first ended."""
     spark = stream.sparkSession
-    q = stream.writeStream.format("parquet").outputMode("append").trigger(availableNow=True).option("checkpointLocation", marks).start(out)
-    q.awaitTermination()
+    with rocksdb(spark):
+        q = stream.writeStream.format("parquet").outputMode("append").trigger(availableNow=True).option("checkpointLocation", marks).start(out)
+        q.awaitTermination()
     return spark.read.schema(stream.schema).parquet(out)
