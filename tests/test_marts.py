@@ -217,3 +217,37 @@ def test_prompt_lookback_keeps_what_late_rows_look_back_to(spark, tmp_path):
     parts = [spark.createDataFrame(b, schema) for b in ([(0, 1, 1.0, at(0)), (1, 1, 2.0, at(10)), (2, 1, 4.0, at(36))], [(3, 1, 8.0, at(20))])]
     got = {r.tx_id: (r.Sender_window_count, r.Sender_window_amount) for r in arrived_in(spark, tmp_path, parts, lambda s: running_lookback(s, 86_400), "p").collect()}
     assert got == {0: (0, 0.0), 1: (1, 1.0), 2: (0, 0.0), 3: (2, 3.0)}
+
+
+def test_window_sums_of_rows_without_time_and_odd_amounts(spark):
+    at = lambda h: T0 + dt.timedelta(hours=h)
+    rows = [
+        (0, 1, 7, 1e15, 0, 0, "A", at(0)), (1, 1, 8, 0.1, 0, 0, "A", at(1)), (2, 1, 8, 3e-7, 0, 0, "A", at(2)), (3, 1, 9, 5.0, 0, 0, "A", None), (4, 1, 9, None, 0, 0, "A", at(3)),
+        (5, 1, 9, 2.0**60 + 2.0**20, 0, 0, "A", at(30)), (6, 1, 7, -(2.0**60), 0, 0, "A", at(31)), (7, 1, 7, 0.25, 0, 0, "A", at(32)),
+        (8, 1, 7, float("nan"), 0, 0, "A", at(60)), (9, 1, 7, 1.0, 0, 0, "A", at(61)), (10, 1, 7, 2.0, 0, 0, "A", at(100)), (11, 1, 7, float("inf"), 0, 0, "A", at(101)), (12, 1, 7, 4.0, 0, 0, "A", at(102)), (13, 1, 7, 4.0, 0, 0, "A", at(126)),
+    ]
+    got = {r.tx_id: (r.Sender_window_count, r.Sender_window_amount, r.Sender_window_unique) for r in W.rolling(spark.createDataFrame(rows, COLUMNS)).collect()}
+    assert got[0] == (0, 0.0, 0) and got[1] == (1, 1e15, 1) and got[3] == (0, 0.0, 0)
+    assert got[2] == (2, 1e15 + 0.1, 2) and got[4] == (3, 1e15 + 0.1, 2)
+    assert got[6] == (1, 2.0**60 + 2.0**20, 1) and got[7] == (2, 2.0**20, 2)
+    assert np.isnan(got[9][1]) and got[10][:2] == (0, 0.0) and got[12][1] == float("inf") and got[13][:2] == (1, 4.0)
+    lone = [(0, 1, 7, 1e-7, 0, 0, "A", at(0)), (1, 1, 7, 1.0, 0, 0, "A", at(1))]
+    assert abs(W.rolling(spark.createDataFrame(lone, COLUMNS)).where("tx_id = 1").first().Sender_window_amount - 1e-7) < 2.0**-32
+
+
+@pytest.mark.parametrize("hot", [1_000_000, 25, 1])
+def test_history_of_any_account_is_that_of_one_window(spark, hot):
+    """Bands of time with what they carry, against all rows of the account in one window; ties, nulls and a hot account."""
+    rng = random.Random(hot)
+    rows = [(i, rng.choice((None, 1, 1, 1, 2, 3)), rng.choice((None, 4, 4, 5)), rng.choice((None, 2.5, 10.0)), rng.choice((None, T0 + dt.timedelta(seconds=rng.choice((rng.randrange(90), rng.randrange(9 * 3600))))))) for i in range(160)]
+    rows += [(1000 + i, 1, 4, 2.5, T0 - dt.timedelta(days=40 * 365, seconds=i % 7)) for i in range(30)]
+    df = spark.createDataFrame(rows, "tx_id long, Sender_account long, Receiver_account long, Amount double, ts timestamp")
+    key = lambda r: (r[4] is None, r[4] or T0, r[0])
+    for r in W.history(df, hot).collect():
+        for side, c in (("Sender", 1), ("Receiver", 2)):
+            me = next(x for x in rows if x[0] == r.tx_id)
+            before = sorted((x for x in rows if x[c] == me[c] and key(x) < key(me)), key=key)
+            total = sum(x[3] or 0.0 for x in before)
+            gap = (me[4] - before[-1][4]).total_seconds() if before and me[4] and before[-1][4] else -1.0
+            assert (r[f"{side}_prior_count"], r[f"{side}_prior_amount"], r[f"{side}_gap"]) == (len(before), total, gap)
+            assert r[f"{side}_prior_average"] == (total / len(before) if before else 0.0)

@@ -4,21 +4,49 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .order import NEVER, sliding_percentile
+from .scans import HOT, running, with_bands
+
 SIDES = {"Sender": "Receiver", "Receiver": "Sender"}
 
 
-def history(tx: DataFrame) -> DataFrame:
-    """Earlier transactions of each account, as sender and as receiver: number, sum, mean, seconds since the last (-1: none)."""
+def history(tx: DataFrame, hot: int = HOT) -> DataFrame:
+    """Earlier transactions of each account, as sender and as receiver: number, sum, mean, seconds since the last (-1: none).
+
+    Accounts of more than ``hot`` rows are many tasks (``scans``)."""
+    tx, bands = with_bands(tx.withColumn("_at", F.unix_seconds("ts")), {f"{s}_account": f"_{s}_band" for s in SIDES}, "_at", hot)
     for side in SIDES:
-        w = Window.partitionBy(f"{side}_account").orderBy(F.asc_nulls_last("ts"), "tx_id")
-        before = w.rowsBetween(Window.unboundedPreceding, -1)
-        n, total = f"{side}_prior_count", f"{side}_prior_amount"
-        tx = tx.withColumns({n: F.count(F.lit(1)).over(before), total: F.coalesce(F.sum("Amount").over(before), F.lit(0.0)), f"{side}_gap": F.coalesce((F.unix_seconds("ts") - F.unix_seconds(F.lag("ts").over(w))).cast("double"), F.lit(-1.0))})
+        key, n, total, gap = f"{side}_account", f"{side}_prior_count", f"{side}_prior_amount", f"{side}_gap"
+        tx = running(tx, key, bands[key], [F.asc_nulls_last("ts"), F.col("tx_id")], {n: F.lit(1).cast("long"), total: F.col("Amount")}, {gap: F.col("_at")})
+        tx = tx.withColumns({n: F.coalesce(n, F.lit(0).cast("long")), total: F.coalesce(total, F.lit(0.0)), gap: F.coalesce((F.col("_at") - F.col(gap)).cast("double"), F.lit(-1.0))})
         tx = tx.withColumn(f"{side}_prior_average", F.when(F.col(n) > 0, F.col(total) / F.col(n)).otherwise(0.0))
-    return tx
+    return tx.drop("_at", *(b for b in bands.values() if b))
+
+
+#: A sum of amounts is kept as whole numbers of these sizes, so that what enters and leaves cancels exactly.
+_FAR, _REST = 2.0**40, 2.0**32
 
 
-MONEY = "decimal(20,6)"
+def money(name: str, amount: Column) -> dict[str, Column]:
+    """The parts of an amount that ``active_sums`` adds up, by name: whole units, 2 ** -32 of a unit, 2 ** 40 units for those beyond
+    2 ** 52, and marks of NaN and of what is infinite or beyond 2 ** 82. Null is nothing."""
+    a = F.coalesce(amount.cast("double"), F.lit(0.0))
+    odd = F.when(F.isnan(a), 1).when(a >= 2.0**82, 1 << 21).when(a <= -(2.0**82), 1 << 42).otherwise(0).cast("long")
+    tame = F.when(odd == 0, a).otherwise(0.0)
+    far = F.when(F.abs(tame) >= 2.0**52, F.floor(tame / _FAR)).otherwise(0).cast("long")
+    low = tame - far * _FAR
+    whole = F.floor(low).cast("long")
+    return {f"{name}_whole": whole, f"{name}_rest": F.round((low - whole) * _REST).cast("long"), f"{name}_far": far, f"{name}_odd": odd}
+
+
+def summed(rows: DataFrame, name: str) -> DataFrame:
+    """The sum that the parts of ``money`` stand for, as a double, in their place."""
+    part = lambda k: F.col(f"{name}_{k}")
+    bits = lambda k: F.shiftright(part("odd"), k).bitwiseAND((1 << 21) - 1)
+    nan = (bits(0) > 0) | ((bits(21) > 0) & (bits(42) > 0))
+    total = part("far") * _FAR + part("whole") + part("rest") / _REST
+    out = F.when(part("odd") == 0, total).when(nan, float("nan")).when(bits(21) > 0, float("inf")).otherwise(float("-inf"))
+    return rows.withColumn(name, out).drop(*(f"{name}_{k}" for k in ("whole", "rest", "far", "odd")))
 
 
 def active_sums(rows: DataFrame, key: str, spans: list[tuple[Column, Column, dict[str, Column]]], reach: int) -> DataFrame:
@@ -27,7 +55,7 @@ def active_sums(rows: DataFrame, key: str, spans: list[tuple[Column, Column, dic
     A span (begin, end, {name: value}) lends its values at begin <= t < end; no span of a row ends ``reach`` seconds after the
     row's first begin, or later. Values enter and leave as events of one running sum, so the cost is linear however long the
     spans are. An account's time is cut into pieces of four reaches, each a group of its own that also gets the events of rows
-    that reach into it from the piece before: a busy account is many tasks.
+    that reach into it from the piece before. Rows without a time lend nothing, and nothing is lent to them.
     """
     piece, names = 4 * reach, [n for _, _, values in spans for n in values]
     kinds = {n: v for _, _, values in spans for n, v in values.items()}
@@ -48,7 +76,7 @@ def active_sums(rows: DataFrame, key: str, spans: list[tuple[Column, Column, dic
     last = F.greatest(*ends) if len(ends) > 1 else F.col("_e0")
     home, to = F.floor(first / piece).cast("long"), F.floor((last - 1) / piece).cast("long")
     moves = F.array(*enter, *leave)
-    events = x.select(F.col(key).alias("_k"), F.explode(moves).alias("_m"), F.array_distinct(F.array(home, F.greatest(home, to))).alias("_p"))
+    events = x.where(F.col("_at").isNotNull()).select(F.col(key).alias("_k"), F.explode(moves).alias("_m"), F.array_distinct(F.array(home, F.greatest(home, to))).alias("_p"))
     events = events.select("_k", F.explode("_p").alias("_p"), F.lit(0).alias("_probe"), "_m.*", F.lit(None).cast(rows.select(F.struct("*")).schema[0].dataType).alias("_row"))
     zero = [(F.col(f"_v_{n}") * 0).alias(n) for n in names]
     probes = x.select(F.col(key).alias("_k"), F.floor(F.col("_at") / piece).cast("long").alias("_p"), F.lit(1).alias("_probe"), F.col("_at").alias("_t"), *zero, F.struct(*rows.columns).alias("_row"))
@@ -72,27 +100,26 @@ def rolling(tx: DataFrame, seconds: int = 86_400) -> DataFrame:
         tx = tx.withColumn("_next", seen_again(key, f"{other}_account"))
         begin, end = F.col("_at") + 1, F.col("_at") + seconds + 1
         known = F.when(F.col(f"{other}_account").isNotNull(), one).otherwise(F.lit(0).cast("long"))
-        spans = [(begin, end, {n: one, total: F.coalesce(F.col("Amount"), F.lit(0.0)).cast(MONEY)}), (begin, F.least(end, F.col("_next") + 1), {unique: known})]
-        tx = active_sums(tx, key, spans, seconds + 1).withColumns({total: F.col(total).cast("double"), unique: F.col(unique).cast("int")}).drop("_next")
+        spans = [(begin, end, {n: one, **money(total, F.col("Amount"))}), (begin, F.least(end, F.col("_next") + 1), {unique: known})]
+        tx = summed(active_sums(tx, key, spans, seconds + 1), total).withColumn(unique, F.col(unique).cast("int")).drop("_next")
     return tx.drop("_at")
 
 
 def sliding(tx: DataFrame, days: int, median: bool = True) -> DataFrame:
-    """Sender features of the last ``days`` days up to and with the current second: number, sum, receivers, rates, and the
-    median, which Spark works out anew for each row: leave it out where it isn't asked for."""
-    tx = tx.withColumn("_at", F.unix_seconds("ts"))
-    w = Window.partitionBy("Sender_account").orderBy("_at").rangeBetween(-days * 86_400, 0)
+    """Sender features of the last ``days`` days up to and with the current second: number, sum, receivers, rates and median (``order``)."""
+    tx, reach = tx.withColumn("_at", F.unix_seconds("ts")), days * 86_400 + 1
     if median:
-        tx = tx.withColumn("median_amount", F.percentile("Amount", 0.5).over(w))
+        zero = F.lit(0).cast("long")
+        tx = sliding_percentile(tx, ["Sender_account"], "median_amount", 0.5, F.col("Amount"), (F.col("_at"), zero), (F.col("_at") + reach, zero), (F.col("_at"), zero), piece=2 * reach)
     tx = tx.withColumn("_next", seen_again("Sender_account", "Receiver_account"))
     one, end = F.lit(1).cast("long"), F.col("_at") + days * 86_400 + 1
     flag = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long")
-    sums = {"n": one, "total": F.coalesce(F.col("Amount"), F.lit(0.0)).cast(MONEY), "_cross": flag("Cross_border"), "_fx": flag("Currency_mismatch")}
+    sums = {"n": one, **money("total", F.col("Amount")), "_cross": flag("Cross_border"), "_fx": flag("Currency_mismatch")}
     known = F.when(F.col("Receiver_account").isNotNull(), one).otherwise(F.lit(0).cast("long"))
     begin = F.col("_at")
-    out = active_sums(tx, "Sender_account", [(begin, end, sums), (begin, F.least(end, F.col("_next")), {"unique_receivers": known})], days * 86_400 + 1)
-    rate = lambda c: F.col(c) / F.col("n")
-    return out.withColumns({"total": F.col("total").cast("double"), "unique_receivers": F.col("unique_receivers").cast("int"), "cross_rate": rate("_cross"), "fx_rate": rate("_fx")}).drop("_at", "_next", "_cross", "_fx")
+    out = summed(active_sums(tx, "Sender_account", [(begin, end, sums), (begin, F.least(end, F.col("_next")), {"unique_receivers": known})], days * 86_400 + 1), "total")
+    rate = lambda c: F.try_divide(F.col(c), F.col("n"))
+    return out.withColumns({"unique_receivers": F.col("unique_receivers").cast("int"), "cross_rate": rate("_cross"), "fx_rate": rate("_fx")}).drop("_at", "_next", "_cross", "_fx")
 
 
 def median_below(value: str, ceiling: float, w) -> Column:
@@ -122,19 +149,20 @@ def bucket_features(tx: DataFrame, account: str, other: str, bucket: Column) ->
 def causal_bucket(tx: DataFrame, days: int, origin: Column, ceilings: tuple[float, ...] | None = None) -> DataFrame:
     """Running sender features inside buckets anchored at ``origin``, with the current row.
 
-    ``median_amount`` is sorted anew for each row; with ``ceilings`` it is instead the lowest of them that the median is
-    under (null: none), which running counts tell.
+    ``median_amount`` is exact (``order``); with ``ceilings`` it is instead the lowest of them that the median is under (null: none),
+    which running counts tell.
     """
     tx = tx.withColumn("bucket", anchored(F.col("ts"), origin, days))
     keys = ("Sender_account", "bucket")
     w = Window.partitionBy(*keys).orderBy("ts", "tx_id").rowsBetween(Window.unboundedPreceding, 0)
     first = F.row_number().over(Window.partitionBy(*keys, "Receiver_account").orderBy("ts", "tx_id")) == 1
     if ceilings is None:
-        median = F.percentile("Amount", 0.5).over(w)
+        now, never = (F.unix_micros("ts"), F.col("tx_id")), (F.lit(NEVER), F.lit(0).cast("long"))
+        tx = sliding_percentile(tx, list(keys), "median_amount", 0.5, F.col("Amount"), now, never, now)
     else:
-        median = F.least(*(F.when(median_below("Amount", c, w), F.lit(c)) for c in ceilings), F.lit(None))
+        tx = tx.withColumn("median_amount", F.least(*(F.when(median_below("Amount", c, w), F.lit(c)) for c in ceilings), F.lit(None)))
     return tx.withColumn("_new", first.cast("int")).withColumns({
-        "n": F.count(F.lit(1)).over(w), "total": F.sum("Amount").over(w), "median_amount": median, "unique_receivers": F.sum("_new").over(w),
+        "n": F.count(F.lit(1)).over(w), "total": F.sum("Amount").over(w), "unique_receivers": F.sum("_new").over(w),
         "cross_rate": F.avg("Cross_border").over(w), "fx_rate": F.avg("Currency_mismatch").over(w),
     }).drop("_new")
 

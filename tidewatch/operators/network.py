@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.scalars import holds
-from .features import MONEY, active_sums
+from .features import active_sums, money, summed
 
 
 def transfers(tx: DataFrame) -> DataFrame:
@@ -97,13 +97,12 @@ def behaviour_change(tx: DataFrame, recent: int = 7, base: int = 30, times: floa
     tx = tx.withColumn("_at", F.unix_seconds("ts"))
     before = Window.partitionBy("Sender_account", "Receiver_bank_location").orderBy("_at").rangeBetween(Window.unboundedPreceding, -1)
     tx = tx.withColumn("_last", F.max("_at").over(before))
-    at, one, money = F.col("_at"), F.lit(1).cast("long"), F.coalesce(F.col("Amount"), F.lit(0.0)).cast(MONEY)
+    at, one = F.col("_at"), F.lit(1).cast("long")
     spans = [
-        (at, at + recent * day, {"near_n": one, "near_amount": money}), (at + recent * day, at + (recent + base) * day, {"far_n": one, "far_amount": money}),
+        (at, at + recent * day, {"near_n": one, **money("near_amount", F.col("Amount"))}), (at + recent * day, at + (recent + base) * day, {"far_n": one, **money("far_amount", F.col("Amount"))}),
         (at + 1, at + (recent + base) * day, {"_ever": F.when(F.col("Receiver_bank_location").isNotNull(), one).otherwise(F.lit(0).cast("long"))}),
     ]
-    x = active_sums(tx, "Sender_account", spans, (recent + base) * day)
-    x = x.withColumns({c: F.col(c).cast("double") for c in ("near_amount", "far_amount")})
+    x = summed(summed(active_sums(tx, "Sender_account", spans, (recent + base) * day), "near_amount"), "far_amount")
     more = lambda a, b: holds((F.col(b) > 0) & (F.col(a) * F.lit(float(base)) >= F.lit(times * recent) * F.col(b)))
     known = F.col("_last") >= F.col("_at") - ((recent + base) * day - 1)
     fresh = holds((F.col("_ever") > 0) & F.col("Receiver_bank_location").isNotNull() & ~F.coalesce(known, F.lit(False)))
