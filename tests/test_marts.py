@@ -251,3 +251,22 @@ def test_history_of_any_account_is_that_of_one_window(spark, hot):
             gap = (me[4] - before[-1][4]).total_seconds() if before and me[4] and before[-1][4] else -1.0
             assert (r[f"{side}_prior_count"], r[f"{side}_prior_amount"], r[f"{side}_gap"]) == (len(before), total, gap)
             assert r[f"{side}_prior_average"] == (total / len(before) if before else 0.0)
+
+
+def test_partners_reached_through_an_account(spark):
+    """Distinct ends of time buckets against all pairs of transfers; times before 1970 too."""
+    rng = random.Random(6)
+    rows = [(rng.randrange(6), rng.randrange(6), rng.randrange(-400, 900)) for _ in range(150)] + [(1, 2, -7), (2, 3, 7), (7, 8, -50), (8, 9, 50)]
+    rows = [r for r in rows if r[0] != r[1]]
+    e = spark.createDataFrame(rows, "src long, dst long, at long")
+    for seconds in (7, 60):
+        want = {(a, m, c) for a, m, t in rows for n, c, u in rows if n == m and a != c and t < u <= t + seconds}
+        got = [tuple(r) for r in N.reached(e, seconds).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_a_hub_of_many_transfers_is_its_partners(spark):
+    """10 ** 5 transfers in and as many out within one bucket, between 60 partners: 3,600 pairs of ends, not 10 ** 10 of transfers."""
+    hub = spark.range(100_000).select((F.col("id") % 60 + 1).alias("p"), F.pmod(F.xxhash64("id"), F.lit(86_400)).alias("at"))
+    e = hub.select(F.col("p").alias("src"), F.lit(0).cast("long").alias("dst"), "at").unionByName(hub.select(F.lit(0).cast("long").alias("src"), (F.col("p") + 30).alias("dst"), (F.col("at") + 40).alias("at")))
+    assert N.reached(e, 86_400).where("mid = 0").count() == 60 * 60 - 30

@@ -1,7 +1,8 @@
 """Flow scenarios: time-bounded joins of transfers along accounts.
 
 The equi-key is the account and a time bucket as long as the window: each later transfer is looked up in its own and the
-next bucket, so a hub account's transfers meet only those near in time.
+next bucket, so a hub account's transfers meet only those near in time. Where the result names accounts and not transfers, distinct
+partners meet instead (``reached``).
 """
 
 from __future__ import annotations
@@ -26,6 +27,21 @@ def followed(first: DataFrame, then: DataFrame, left: str, right: str, seconds:
     return a.join(b, on).where((F.col("n_at") > F.col("at")) & (F.col("n_at") <= F.col("at") + seconds)).drop("_k", "_nk")
 
 
+def reached(e: DataFrame, seconds: int) -> DataFrame:
+    """(src, mid, dst), each once: src paid mid and, within ``seconds`` after, mid paid dst, which isn't src.
+
+    Transfers are first summed up to a row for each pair of accounts and time bucket, with its first and last second. In one bucket, of
+    which every two seconds are near enough, some pair fits if the first payment in lies before the last one out; over
+    two buckets, if the last one in and the first one out are near enough. So a hub's rows are its distinct partners, not
+    its transfers, and pairs of transfers are never formed.
+    """
+    ends = e.groupBy("src", "dst", F.floor(F.col("at") / seconds).cast("long").alias("k")).agg(F.min("at").alias("first"), F.max("at").alias("last"))
+    a = ends.select("src", F.col("dst").alias("mid"), "k", "first", "last", F.explode(F.array(F.lit(0), F.lit(1))).alias("later")).withColumn("k", F.col("k") + F.col("later"))
+    b = ends.select(F.col("src").alias("mid"), "dst", "k", F.col("first").alias("n_first"), F.col("last").alias("n_last"))
+    fits = F.when(F.col("later") == 0, F.col("first") < F.col("n_last")).otherwise(F.col("n_first") <= F.col("last") + seconds)
+    return a.join(b, ["mid", "k"]).where(fits & (F.col("src") != F.col("dst"))).select("src", "mid", "dst").distinct()
+
+
 def pass_through(e: DataFrame, seconds: int = 86_400, low: float = 0.8, high: float = 1.05) -> DataFrame:
     p = followed(e, e, "dst", "src", seconds).where(F.try_divide("n_amount", "amount").between(low, high))
     return p.select(F.col("dst").alias("account"), F.col("tx_id").alias("in_tx"), F.col("n_tx_id").alias("out_tx"))
@@ -39,14 +55,13 @@ def cycles(e: DataFrame, seconds: int = 7 * 86_400) -> DataFrame:
 
 def scatter_gather(e: DataFrame, seconds: int = 86_400, mids: int = 3) -> DataFrame:
     """(source, target) with at least ``mids`` accounts between them."""
-    p = followed(e, e, "dst", "src", seconds).where("src <> n_dst")
-    return p.groupBy(F.col("src").alias("source"), F.col("n_dst").alias("target")).agg(F.countDistinct("dst").alias("mids")).where(F.col("mids") >= mids)
+    p = reached(e, seconds)
+    return p.groupBy(F.col("src").alias("source"), F.col("dst").alias("target")).agg(F.count(F.lit(1)).alias("mids")).where(F.col("mids") >= mids)
 
 
 def layered_fan_out(e: DataFrame, seconds: int = 86_400, mids: int = 2, leaves: int = 2) -> DataFrame:
     """Accounts with at least ``mids`` receivers that each pass on to at least ``leaves`` distinct others."""
-    p = followed(e, e, "dst", "src", seconds).where("n_dst <> src")
-    each = p.groupBy("src", "dst").agg(F.countDistinct("n_dst").alias("leaves")).where(F.col("leaves") >= leaves)
+    each = reached(e, seconds).groupBy("src", "mid").agg(F.count(F.lit(1)).alias("leaves")).where(F.col("leaves") >= leaves)
     return each.groupBy(F.col("src").alias("root")).agg(F.count(F.lit(1)).alias("mids"), F.sum("leaves").alias("leaf_links")).where(F.col("mids") >= mids)
 
 
@@ -58,8 +73,7 @@ def deposit_then_send(tx: DataFrame, seconds: int = 72 * 3600, share: float = 0.
 
 def layered_fan_in(e: DataFrame, seconds: int = 86_400, mids: int = 2, leaves: int = 2) -> DataFrame:
     """Accounts with at least ``mids`` senders that each were paid before by at least ``leaves`` distinct others."""
-    p = followed(e, e, "dst", "src", seconds).where("n_dst <> src")
-    each = p.groupBy(F.col("n_dst").alias("root"), F.col("dst").alias("mid")).agg(F.countDistinct("src").alias("leaves")).where(F.col("leaves") >= leaves)
+    each = reached(e, seconds).groupBy(F.col("dst").alias("root"), "mid").agg(F.count(F.lit(1)).alias("leaves")).where(F.col("leaves") >= leaves)
     return each.groupBy("root").agg(F.count(F.lit(1)).alias("mids"), F.sum("leaves").alias("leaf_links")).where(F.col("mids") >= mids)
 
 
