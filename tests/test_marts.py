@@ -270,3 +270,17 @@ def test_a_hub_of_many_transfers_is_its_partners(spark):
     hub = spark.range(100_000).select((F.col("id") % 60 + 1).alias("p"), F.pmod(F.xxhash64("id"), F.lit(86_400)).alias("at"))
     e = hub.select(F.col("p").alias("src"), F.lit(0).cast("long").alias("dst"), "at").unionByName(hub.select(F.lit(0).cast("long").alias("src"), (F.col("p") + 30).alias("dst"), (F.col("at") + 40).alias("at")))
     assert N.reached(e, 86_400).where("mid = 0").count() == 60 * 60 - 30
+
+
+def test_points_in_intervals(spark):
+    from tidewatch.operators.intervals import within
+
+    rng = random.Random(9)
+    at = lambda s: T0 + dt.timedelta(hours=s)
+    points = [(i, rng.choice((None, 1, 1, 2)), rng.choice((None, *(at(rng.randrange(-900, 900)) for _ in range(9))))) for i in range(120)]
+    spans = [(j, rng.choice((None, 1, 2)), at(a := rng.randrange(-900, 900)), rng.choice((None, at(a), at(a + rng.randrange(1000)), at(a - 1)))) for j in range(60)]
+    a, b = spark.createDataFrame(points, "i long, k long, t timestamp"), spark.createDataFrame(spans, "j long, k long, low timestamp, high timestamp")
+    want = sorted((i, j) for i, k, t in points for j, m, low, high in spans if k is not None and k == m and None not in (t, high) and low <= t <= high)
+    for days in (1, 7):
+        out = within(a, b, "k", "t", "low", "high", days)
+        assert out.columns == ["k", "i", "t", "j", "low", "high"] and sorted((r.i, r.j) for r in out.collect()) == want

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.scalars import hash_id, ratio
 from ..sources.tables import transaction_id
+from .intervals import within
 
 THRESHOLD = 0.653366
 
@@ -225,7 +226,7 @@ def case_context(cases: DataFrame, tx: DataFrame, hours: int = 72) -> DataFrame:
     sides = tx.withColumn("subject_id", F.explode(F.array_distinct(F.array("Sender_account", "Receiver_account"))))
     margin = F.make_dt_interval(hours=F.lit(hours))
     c = cases.select("case_id", "subject_id", (F.col("case_created_at") - margin).alias("_from"), (F.col("last_alert_at") + margin).alias("_to"))
-    return sides.join(c, "subject_id").where("ts BETWEEN _from AND _to").drop("_from", "_to")
+    return within(sides, c, "subject_id", "ts", "_from", "_to").drop("_from", "_to")
 
 
 def network_complexity(mart: DataFrame) -> DataFrame:
