@@ -20,15 +20,23 @@ MODELS = {
 }
 
 
+def _encoders() -> list:
+    index = StringIndexer(inputCols=list(CATEGORICAL), outputCols=[f"{c}_i" for c in CATEGORICAL], handleInvalid="keep")
+    hot = OneHotEncoder(inputCols=index.getOutputCols(), outputCols=[f"{c}_v" for c in CATEGORICAL], handleInvalid="keep")
+    return [index, hot, VectorAssembler(inputCols=[*hot.getOutputCols(), *NUMERIC], outputCol="features", handleInvalid="keep")]
+
+
+def features(rows: DataFrame) -> PipelineModel:
+    """The encoders alone, fitted: they add ``features``."""
+    return Pipeline(stages=_encoders()).fit(rows)
+
+
 def fit(train: DataFrame, model: str = "decision_tree", label: str = "Is_laundering") -> PipelineModel:
     n, p = train.agg(F.count(F.lit(1)), F.sum(label)).first()
     weight = (n - p) / p if p else 1.0
     train = train.withColumn("_weight", F.when(F.col(label) == 1, weight).otherwise(1.0))
-    index = StringIndexer(inputCols=list(CATEGORICAL), outputCols=[f"{c}_i" for c in CATEGORICAL], handleInvalid="keep")
-    hot = OneHotEncoder(inputCols=index.getOutputCols(), outputCols=[f"{c}_v" for c in CATEGORICAL], handleInvalid="keep")
-    vector = VectorAssembler(inputCols=[*hot.getOutputCols(), *NUMERIC], outputCol="features", handleInvalid="keep")
     tree = MODELS[model]().setLabelCol(label).setFeaturesCol("features").setWeightCol("_weight")
-    return Pipeline(stages=[index, hot, vector, tree]).fit(train)
+    return Pipeline(stages=[*_encoders(), tree]).fit(train)
 
 
 def score(model: PipelineModel, rows: DataFrame) -> DataFrame:

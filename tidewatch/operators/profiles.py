@@ -222,6 +222,18 @@ def described(df: DataFrame, columns: list[str], quantiles: tuple[float, ...] =
 
 
 def stratified_split(tx: DataFrame, test: float = 0.2, seed: int = 42, label: str = "Is_laundering") -> DataFrame:
-    """Adds ``fold``: 'test' for about ``test`` of each class by a seeded hash of id and label; no shuffle, the same on every run."""
-    place = F.pmod(F.xxhash64(F.lit(seed), F.col(label), "tx_id"), F.lit(1_000_000))
-    return tx.withColumn("fold", F.when(place < int(test * 1_000_000), "test").otherwise("train"))
+    """Adds ``fold``: 'test' for the nearest whole number to ``test`` of each class, halves up; the rows that come first by a seeded hash of
+    label and id (md5, so that other engines find the same).
+
+    A class is ranked within 65,536 bands of the hash, whose sizes are counted first, so that no task holds a class.
+    """
+    label_of = F.coalesce(F.col(label).cast("string"), F.lit(""))
+    x = tx.withColumn("_hash", F.md5(F.concat_ws("|", F.lit(str(seed)), label_of, F.coalesce(F.col("tx_id").cast("string"), F.lit("")))))
+    x = x.withColumn("_band", F.conv(F.substring("_hash", 1, 4), 16, 10).cast("int"))
+    sizes = x.groupBy(F.col(label).alias("_label"), F.col("_band").alias("_place")).agg(F.count(F.lit(1)).alias("_n"))
+    of = Window.partitionBy("_label")
+    sizes = sizes.withColumns({"_before": F.coalesce(F.sum("_n").over(of.orderBy("_place").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "_all": F.sum("_n").over(of)})
+    x = x.join(F.broadcast(sizes), F.col(label).eqNullSafe(F.col("_label")) & (F.col("_band") == F.col("_place")))  # 65,536 rows a class at most
+    nth = F.row_number().over(Window.partitionBy(label, "_band").orderBy("_hash")) + F.col("_before")
+    quota = F.floor(F.lit(test) * F.col("_all") + 0.5)
+    return x.withColumn("fold", F.when(nth <= quota, "test").otherwise("train")).select(*tx.columns, "fold")

@@ -104,12 +104,18 @@ def k1_block_sample_counts(spark, sf_dir):
     return P.block_sample(transactions(spark, sf_dir), 250, {0: 100, 1: 25}).groupBy("Is_laundering").agg(F.count(F.lit(1)).alias("n"))
 
 
-@_query(None)
+@_query(", h AS (SELECT Is_laundering, row_number() OVER (PARTITION BY Is_laundering ORDER BY md5('42|' || Is_laundering || '|' || tx_id)) AS nth, count(*) OVER (PARTITION BY Is_laundering) AS c FROM tx) SELECT Is_laundering, CASE WHEN nth<=floor(0.2*c+0.5) THEN 'test' ELSE 'train' END AS fold, count(*) AS n FROM h GROUP BY 1,2")
 def k3_stratified_split(spark, sf_dir):
-    """Rows per class and fold; the hash isn't SQL's, a test holds the shares."""
+    """Rows per class and fold."""
     return P.stratified_split(transactions(spark, sf_dir)).groupBy("Is_laundering", "fold").agg(F.count(F.lit(1)).alias("n"))
 
 
+@_query(", h AS (SELECT tx_id, row_number() OVER (PARTITION BY Is_laundering ORDER BY md5('7|' || Is_laundering || '|' || tx_id)) AS nth, count(*) OVER (PARTITION BY Is_laundering) AS c FROM tx) SELECT tx_id FROM h WHERE nth<=floor(0.35*c+0.5)")
+def k3_test_fold(spark, sf_dir):
+    """The ids of a test fold of 35 % of each class."""
+    return P.stratified_split(transactions(spark, sf_dir), 0.35, 7).where("fold = 'test'").select("tx_id")
+
+
 @_query(_F + _H + _FLAGS + ", u AS (SELECT Laundering_type, greatest(" + ",".join(_V1) + ") AS hit, CAST(ml AS INT) AS m, Is_laundering AS y, Sender_account AS a FROM v) SELECT CAST(sum(hit) AS BIGINT) AS triggered, CAST(sum(hit*y) AS BIGINT) AS hits, count(DISTINCT CASE WHEN hit=1 THEN a END) AS triggered_accounts, count(DISTINCT CASE WHEN y=1 THEN a END) AS target_accounts, count(DISTINCT CASE WHEN hit*y=1 THEN a END) AS hit_accounts, round(coalesce(count(DISTINCT CASE WHEN hit*y=1 THEN a END)/nullif(count(DISTINCT CASE WHEN y=1 THEN a END),0),0),6) AS account_recall FROM u")
 def a20_account_recall(spark, sf_dir):
     rows = _v1(spark, sf_dir).withColumn("hit", F.greatest(*D.V1))
