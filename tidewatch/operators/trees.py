@@ -43,7 +43,7 @@ def nodes(model: PipelineModel, rows: DataFrame) -> DataFrame:
         data = data.withColumns({"tree": F.lit(0), "weight": F.lit(1.0)})
     names = F.array(*map(F.lit, slot_names(model, rows)))
     stats = F.col("impurityStats")
-    says = F.col("prediction") if boosted else F.get(stats, F.lit(1)) / F.aggregate(stats, F.lit(0.0), lambda a, x: a + x)
+    says = F.col("prediction") if boosted else F.coalesce(F.get(stats, F.lit(1)), F.lit(0.0)) / F.aggregate(stats, F.lit(0.0), lambda a, x: a + x)
     inner, by_value = F.col("leftChild") >= 0, F.col("split.numCategories") >= 0
     where = F.col("split.leftCategoriesOrThreshold")
     return data.select(
