@@ -122,7 +122,7 @@ def test_countries(spark):
     known = S.countries(spark, {"ATLANTIS": "GR"})
     names = ["uk", " U.S.A. ", "Türkiye?", "turkey", "deu", "Germany", "FR", "atlantis", "Nowhere", "", None, "NaN", "Great-Britain"]
     got = S.with_country_codes(spark.createDataFrame(list(enumerate(names)), "i int, c string"), known, "c", "x").orderBy("i").collect()
-    assert [r.x_iso2 for r in got] == ["GB", "US", None, "TR", "DE", "DE", "FR", "GR", None, None, None, None, "GB"]
+    assert [r.x_iso2 for r in got] == ["GB", "US", "TR", "TR", "DE", "DE", "FR", "GR", None, None, None, None, "GB"]
     assert got[4].x_iso3 == "DEU" and got[12].x_iso3 == "GBR"
 
 
@@ -284,3 +284,36 @@ def test_points_in_intervals(spark):
     for days in (1, 7):
         out = within(a, b, "k", "t", "low", "high", days)
         assert out.columns == ["k", "i", "t", "j", "low", "high"] and sorted((r.i, r.j) for r in out.collect()) == want
+
+
+def test_other_names_of_countries(spark):
+    want = {
+        "Russian Federation": "RU", "Viet Nam": "VN", "Socialist Republic of Viet Nam": "VN", "Czech Republic": "CZ", "Republic of Korea": "KR", "Korea, Republic of": "KR", "Korea, Democratic People's Republic of": "KP", "Hong Kong": "HK",
+        "Türkiye": "TR", "Turkiye": "TR", "Republic of Türkiye": "TR", "Congo, The Democratic Republic of the": "CD", "Democratic Republic of the Congo": "CD", "Republic of the Congo": "CG", "Cote d'Ivoire": "CI", "Côte d'Ivoire": "CI", "Ivory Coast": "CI",
+        "Iran, Islamic Republic of": "IR", "Islamic Republic of Iran": "IR", "Kingdom of the Netherlands": "NL", "Republic of the Philippines": "PH", "Grand Duchy of Luxembourg": "LU", "Federal Republic of Germany": "DE", "People's Republic of China": "CN",
+        "Republic of China": None, "Commonwealth of the Bahamas": "BS", "Tanzania, United Republic of": "TZ", "United Republic of Tanzania": "TZ", "Swaziland": "SZ", "Macao": "MO", "Holy See (Vatican City State)": "VA", "Kingdom of France": None, "Republic of": None,
+        "Niger": "NE", "Nigeria": "NG", "Guinea": "GN", "Guinea-Bissau": "GW", "Dominica": "DM", "Dominican Republic": "DO", "Åland Islands": "AX", "Aland Islands": "AX", "the United States of America": "US", "State of Palestine": "PS",
+    }
+    df = spark.createDataFrame([(n,) for n in want], "c string")
+    got = {r.c: r.x_iso2 for r in S.with_country_codes(df, S.countries(spark), "c", "x").collect()}
+    assert got == want
+
+
+def test_every_country_by_all_its_names(spark):
+    """Each code of the standard by its codes, short name and each of its other names; keys are unique and lead to one country."""
+    from tidewatch.functions.countries import FORMS, OTHER_NAMES, cleaned
+
+    known = S.countries(spark).collect()
+    keys = {r.key: r.iso2 for r in known}
+    assert len(keys) == len(known) and len(set(keys.values())) >= 249
+    locale = spark._jvm.java.util.Locale
+    codes = list(locale.getISOCountries())
+    for code in codes:
+        for name in (code, locale("", code).getISO3Country(), locale("", code).getDisplayCountry(locale.ENGLISH)):
+            assert keys[cleaned(name)] == code
+    for line in OTHER_NAMES.strip().splitlines():
+        code, names = line.split(" ", 1)
+        for name in names.split(";"):
+            assert keys[cleaned(name)] == code, name
+    listed = [c for x in FORMS.values() for c in x.split()]
+    assert set(listed) <= set(codes) and len(listed) > 150

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from .countries import cleaned, other_keys
+
 #: Short names and the long ones that risk tables use (fixed values).
 COUNTRY_ALIASES = {"UK": "United Kingdom", "UAE": "United Arab Emirates", "USA": "United States"}
 CASH = ("Cash Withdrawal", "Cash Deposit")
@@ -82,17 +82,21 @@ COUNTRY_KEYS = {"UK": "GB", "UAE": "AE", "USA": "US", "U S A": "US", "U S": "US"
 
 
 def countries(spark: SparkSession, more: dict[str, str] | None = None) -> DataFrame:
-    """(key, iso2, iso3) of all countries: both codes, the English name and the known aliases as keys, cleaned as ``country_key`` does.
+    """(key, iso2, iso3) of all countries: both codes, the English name, other and official names (``countries.other_keys``) and the known
+    aliases as keys, cleaned as ``country_key`` does.
 
-    Codes and names are those of the Java library; ``more`` adds keys. Some 750 rows, whatever the data.
+    Codes and short names are those of the Java library; ``more`` adds keys. About a thousand rows, whatever the data.
     """
     locale = spark._jvm.java.util.Locale
-    rows, code3 = {}, {}
+    rows, code3, names = {}, {}, {}
     for code in locale.getISOCountries():
         country = locale("", code)
         code3[code] = country.getISO3Country()
-        for name in (country.getDisplayCountry(locale.ENGLISH), country.getISO3Country(), code):
-            rows[" ".join(re.sub("[^A-Z0-9]+", " ", name.upper()).split())] = code
+        names[code] = {country.getDisplayCountry(locale.ENGLISH)}
+        for name in (*names[code], country.getISO3Country(), code):
+            rows[cleaned(name)] = code
+    for key, code in other_keys(names).items():
+        rows.setdefault(key, code)
     rows.update(COUNTRY_KEYS)
     rows.update(more or {})
     return spark.createDataFrame([(k, c, code3[c]) for k, c in sorted(rows.items())], "key string, iso2 string, iso3 string")
