@@ -316,4 +316,4 @@ def test_every_country_by_all_its_names(spark):
         for name in names.split(";"):
             assert keys[cleaned(name)] == code, name
     listed = [c for x in FORMS.values() for c in x.split()]
-    assert set(listed) <= set(codes) and len(listed) > 150
+    assert set(listed) <= set(codes) and len(listed) == len(set(listed))

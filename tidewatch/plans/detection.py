@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import alerts as A, features as W, network as N, profiles as P, scenarios as D
+from ..sources.layers import layer, transaction_layer
 from ..sources.tables import transactions
 from .registry import _CASE, _EDGE, _F, _FLAGS, _H, _MART, _SESS, _features, _mart, _query, _transfers, _v1
 
@@ -160,7 +161,12 @@ _RULES = _F + _H + _FLAGS + ", hit AS (SELECT unnest([" + ",".join(f"{{'s':'{n}'
 
 
 def _rule_evidence(spark, sf_dir):
-    hit = _v1(spark, sf_dir).select(F.col("Sender_account").alias("account"), "ts", "tx_id", "Amount", F.explode(F.array(*(F.when(F.col(n) == 1, F.lit(n)) for n in _NAMES))).alias("scenario_id"))
+    """The rules' hits with their alerts: a layer that the queue, the marts and their views share."""
+    return layer(spark, f"{sf_dir}/events.parquet", "rule-evidence", lambda: _made_rule_evidence(spark, sf_dir))
+
+
+def _made_rule_evidence(spark, sf_dir):
+    hit = _v1(spark, sf_dir, transaction_layer(spark, sf_dir)).select(F.col("Sender_account").alias("account"), "ts", "tx_id", "Amount", F.explode(F.array(*(F.when(F.col(n) == 1, F.lit(n)) for n in _NAMES))).alias("scenario_id"))
     return A.rule_alert_links(hit.where("scenario_id IS NOT NULL"), {"SCN_FAN_OUT": 3}, 2)
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F, types as T
 from ..functions import scalars as S
 from ..operators import alerts as A, audit, evaluation as E, features as W, profiles as P, scenarios as D
 from ..sources import tables as X
+from ..sources.layers import transaction_layer
 from ..sources.tables import transactions
 from .detection import _AXES, _FANGRID, _G3, _LEAST, _MOST, _RISK, _RULES, _SMURF, _queue, _rule_evidence, _rule_links, _smurfing_grid, _DAYS
 from .registry import _CASE, _CUM, _F, _FAN, _FLAGS, _H, _SCORED, _SESS, _SPLIT, _features, _layers, _learning_rows, _ml, _query, _v1
@@ -176,7 +177,7 @@ def f5_warm_up(spark, sf_dir):
   round(sum(greatest(sm,z.f))/count(*),6) AS Alert_rate, round(coalesce(sum(greatest(sm,z.f)*y)/nullif(sum(greatest(sm,z.f)),0),0),6) AS Precision, round(coalesce(sum(greatest(sm,z.f)*y)/nullif(sum(y),0),0),6) AS Overall_AML_recall FROM k GROUP BY 1""")
 def d22_combined_v3(spark, sf_dir):
     """Smurfing of 90 days with each of three fan-out variants of 21 days, on development rows, with 120 days of train as context."""
-    tx = _features(spark, sf_dir)
+    tx = S.row_features(transaction_layer(spark, sf_dir))
     rows = P.with_split(tx, P.boundaries(P.daily(tx)))
     audit.require_none(audit.leaks(rows))
     history, _ = W.warmed_up(rows, days=120)
@@ -279,7 +280,7 @@ def _rule_layers(spark, sf_dir):
 
 def _case_mart(spark, sf_dir):
     cases, _, held = _rule_layers(spark, sf_dir)
-    known, tx = S.countries(spark), S.semantics(_features(spark, sf_dir))
+    known, tx = S.countries(spark), S.semantics(S.row_features(transaction_layer(spark, sf_dir)))
     for side in ("Sender", "Receiver"):
         tx = S.with_country_codes(tx, known, f"{side}_bank_location", side)
     return A.case_mart(cases, tx, held)
@@ -306,7 +307,7 @@ def c8_case_evidence(spark, sf_dir):
 def j12_queue_scores(spark, sf_dir):
     """The rule queue with each case's model score (the highest of its evidence), rank by it, and how many places that moves it."""
     _, _, held = _rule_layers(spark, sf_dir)
-    scores = held.join(transactions(spark, sf_dir).select("tx_id", "ml_probability"), "tx_id").groupBy("case_id").agg(F.max("ml_probability").alias("ml_probability"))
+    scores = held.join(transaction_layer(spark, sf_dir).select("tx_id", "ml_probability"), "tx_id").groupBy("case_id").agg(F.max("ml_probability").alias("ml_probability"))
     scores = A.ranked(scores, [F.desc("ml_probability"), F.asc("case_id")], -F.floor(F.col("ml_probability") * 100_000), "ml_rank")
     out = X.checked_join(_queue(spark, sf_dir), scores, ["case_id"], "left", "one_to_one")
     return out.select("case_id", "queue_rank", "ml_rank", F.round("ml_probability", 6).alias("ml_probability"), F.floor(F.col("ml_probability") * 100).alias("ml_score"), (F.col("queue_rank") - F.col("ml_rank")).alias("rank_delta"))

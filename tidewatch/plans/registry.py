@@ -75,8 +75,8 @@ def _ml(spark, sf_dir):
     return _features(spark, sf_dir).withColumn("ML_ALERT", (F.col("ml_probability") >= A.THRESHOLD).cast("int"))
 
 
-def _v1(spark, sf_dir):
-    risk = S.with_country_risk(_features(spark, sf_dir), S.country_dimension(spark))
+def _v1(spark, sf_dir, tx=None):
+    risk = S.with_country_risk(S.row_features(tx) if tx is not None else _features(spark, sf_dir), S.country_dimension(spark))
     return D.apply_v1(W.rolling(W.history(risk)))
 
 
