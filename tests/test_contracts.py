@@ -104,3 +104,10 @@ def test_history_goes_on_over_micro_batches(spark, tmp_path):
     stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     got = sorted((r.Sender_prior_count, r.Sender_prior_amount) for r in drained(running_history(stream), "h").collect())
     assert got == [(i, 2.0 * i) for i in range(6)]
+
+
+def test_buckets_leave_out_rows_without_an_account(spark):
+    rows = [(None, 2, 1.0, 0, 0, dt.datetime(2023, 1, 1)), (1, None, 2.0, 0, 0, dt.datetime(2023, 1, 1)), (1, 2, 4.0, 0, 0, dt.datetime(2023, 1, 2))]
+    df = spark.createDataFrame(rows, "Sender_account long, Receiver_account long, Amount double, Cross_border int, Currency_mismatch int, ts timestamp")
+    got = W.bucket_features(df, "Sender_account", "Receiver_account", W.epoch_bucket(F.col("ts"), 60)).collect()
+    assert [(r.Sender_account, r.n, r.total, r.unique_others) for r in got] == [(1, 2, 6.0, 1)]

@@ -139,8 +139,8 @@ def epoch_bucket(ts: Column, days: int) -> Column:
 
 
 def bucket_features(tx: DataFrame, account: str, other: str, bucket: Column) -> DataFrame:
-    """One row per account and bucket, over all of the bucket."""
-    return tx.groupBy(bucket.alias("bucket"), account).agg(
+    """One row per account and bucket, over all of the bucket; rows without an account have none."""
+    return tx.where(F.col(account).isNotNull()).groupBy(bucket.alias("bucket"), account).agg(
         F.count(F.lit(1)).alias("n"), F.sum("Amount").alias("total"), F.percentile("Amount", 0.5).alias("median_amount"), F.percentile("Amount", 0.95).alias("p95_amount"), F.countDistinct(other).alias("unique_others"),
         F.avg("Cross_border").alias("cross_rate"), F.avg("Currency_mismatch").alias("fx_rate"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"),
     )
