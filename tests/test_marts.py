@@ -24,9 +24,10 @@ def payments(n, accounts, days, seed):
 COLUMNS = "tx_id long, Sender_account long, Receiver_account long, Amount double, Cross_border int, Currency_mismatch int, Receiver_bank_location string, ts timestamp"
 
 
-def test_rolling_sums_equal_those_of_frames(spark):
+@pytest.mark.parametrize("hot", [W.HOT, 20])
+def test_rolling_sums_equal_those_of_frames(spark, hot):
     rows = payments(300, 4, 12, 3)
-    got = {r.tx_id: r for r in W.rolling(spark.createDataFrame(rows, COLUMNS)).collect()}
+    got = {r.tx_id: r for r in W.rolling(spark.createDataFrame(rows, COLUMNS), hot=hot).collect()}
     for i, s, r, *_, t in rows:
         near = [x for x in rows if x[1] == s and dt.timedelta(0) < t - x[7] <= dt.timedelta(days=1)]
         assert (got[i].Sender_window_count, got[i].Sender_window_amount, got[i].Sender_window_unique) == (len(near), sum(x[3] for x in near), len({x[2] for x in near} - {None}))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .order import NEVER, sliding_percentile
-from .scans import HOT, running, with_bands
+from .scans import HOT, hot_among, running, with_bands
 
 SIDES = {"Sender": "Receiver", "Receiver": "Sender"}
 
@@ -49,13 +49,14 @@ def summed(rows: DataFrame, name: str) -> DataFrame:
     return rows.withColumn(name, out).drop(*(f"{name}_{k}" for k in ("whole", "rest", "far", "odd")))
 
 
-def active_sums(rows: DataFrame, key: str, spans: list[tuple[Column, Column, dict[str, Column]]], reach: int) -> DataFrame:
+def active_sums(rows: DataFrame, key: str, spans: list[tuple[Column, Column, dict[str, Column]]], reach: int, hot: int = HOT, split: bool | None = None) -> DataFrame:
     """Adds to each row, at second ``_at``, the sums of the values that rows of the same ``key`` lend to that second.
 
     A span (begin, end, {name: value}) lends its values at begin <= t < end; no span of a row ends ``reach`` seconds after the
     row's first begin, or later. Values enter and leave as events of one running sum, so the cost is linear however long the
     spans are. An account's time is cut into pieces of four reaches, each a group of its own that also gets the events of rows
-    that reach into it from the piece before. Rows without a time lend nothing, and nothing is lent to them.
+    that reach into it from the piece before. Rows without a time lend nothing, and nothing is lent to them. Where an account has more than ``hot``
+    rows (``split`` says so if it is known), the events of a piece are cut into bands with what they carry (``scans``).
     """
     piece, names = 4 * reach, [n for _, _, values in spans for n in values]
     kinds = {n: v for _, _, values in spans for n, v in values.items()}
@@ -81,7 +82,13 @@ def active_sums(rows: DataFrame, key: str, spans: list[tuple[Column, Column, dic
     zero = [(F.col(f"_v_{n}") * 0).alias(n) for n in names]
     probes = x.select(F.col(key).alias("_k"), F.floor(F.col("_at") / piece).cast("long").alias("_p"), F.lit(1).alias("_probe"), F.col("_at").alias("_t"), *zero, F.struct(*rows.columns).alias("_row"))
     run = Window.partitionBy("_k", "_p").orderBy("_t", "_probe").rowsBetween(Window.unboundedPreceding, 0)
-    out = events.unionByName(probes).withColumns({n: F.sum(n).over(run) for n in names})
+    both = events.unionByName(probes)
+    if hot_among(rows, [key], hot) if split is None else split:
+        both, bands = with_bands(both.withColumn("_kp", F.struct("_k", "_p")), {"_kp": "_band"}, "_t", hot)
+        out = running(both, "_kp", bands["_kp"], [F.col("_t"), F.col("_probe")], {f"_t_{n}": F.col(n) for n in names}, {})
+        out = out.withColumns({n: F.coalesce(f"_t_{n}", F.col(n) * 0) for n in names})  # a probe adds nothing itself
+    else:
+        out = both.withColumns({n: F.sum(n).over(run) for n in names})
     return out.where("_probe = 1").select("_row.*", *names)
 
 
@@ -90,10 +97,11 @@ def seen_again(key: str, other: str) -> Column:
     return F.lead("_at").over(Window.partitionBy(key, other).orderBy("_at"))
 
 
-def rolling(tx: DataFrame, seconds: int = 86_400) -> DataFrame:
+def rolling(tx: DataFrame, seconds: int = 86_400, hot: int = HOT) -> DataFrame:
     """Number, sum and distinct counterparties of each account in [t - seconds, t), as sender and as receiver."""
     tx = tx.withColumn("_at", F.unix_seconds("ts"))
     one = F.lit(1).cast("long")
+    large = hot_among(tx, [f"{s}_account" for s in SIDES], hot)
     for side, other in SIDES.items():
         key, n, total, unique = f"{side}_account", f"{side}_window_count", f"{side}_window_amount", f"{side}_window_unique"
         # a counterparty counts by its latest row
@@ -101,7 +109,7 @@ def rolling(tx: DataFrame, seconds: int = 86_400) -> DataFrame:
         begin, end = F.col("_at") + 1, F.col("_at") + seconds + 1
         known = F.when(F.col(f"{other}_account").isNotNull(), one).otherwise(F.lit(0).cast("long"))
         spans = [(begin, end, {n: one, **money(total, F.col("Amount"))}), (begin, F.least(end, F.col("_next") + 1), {unique: known})]
-        tx = summed(active_sums(tx, key, spans, seconds + 1), total).withColumn(unique, F.col(unique).cast("int")).drop("_next")
+        tx = summed(active_sums(tx, key, spans, seconds + 1, hot, key in large), total).withColumn(unique, F.col(unique).cast("int")).drop("_next")
     return tx.drop("_at")
 
 

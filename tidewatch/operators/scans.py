@@ -24,6 +24,12 @@ def _hot_keys(rows: DataFrame, key: str, hot: int) -> DataFrame:
     return rows.groupBy(F.col(key).alias("_scan_key")).agg(F.count(F.lit(1)).alias("_scan_rows")).where(F.col("_scan_rows") > hot)
 
 
+def hot_among(rows: DataFrame, keys: list[str], hot: int = HOT) -> set[str]:
+    """Those of ``keys`` of which some value has more than ``hot`` rows: one count."""
+    found = [_hot_keys(rows, key, hot).limit(1).select(F.lit(key).alias("key")) for key in keys]  # a row a key at most
+    return {r.key for r in reduce(DataFrame.unionAll, found).collect()}
+
+
 def with_bands(rows: DataFrame, bands: dict[str, str], at: str, hot: int = HOT) -> tuple[DataFrame, dict[str, str | None]]:
     """``rows`` with a long column of bands for each key, by ``bands`` {key: its name}, and those names; None for a key of which no value
     has more than ``hot`` rows, which a count finds first: it needs no bands.
@@ -32,8 +38,7 @@ def with_bands(rows: DataFrame, bands: dict[str, str], at: str, hot: int = HOT)
     most, and so are broadcast.
     """
     out, names, source = rows, dict.fromkeys(bands), rows
-    found = [_hot_keys(source, key, hot).limit(1).select(F.lit(key).alias("key")) for key in bands]  # a row a key at most
-    for (key,) in reduce(DataFrame.unionAll, found).collect():
+    for key in sorted(hot_among(source, list(bands), hot)):
         large, band = _hot_keys(source, key, hot), bands[key]
         names[key] = band
         k, many, parts = "_scan_key", "_scan_rows", "_scan_parts"
