@@ -33,13 +33,11 @@ def _grid(spark, sf_dir, days: int, settings: list, conditions: list, keys: str,
     return out.orderBy("window", F.desc("target_recall"), F.desc("precision"))
 
 
-_low = (F.col("cross_rate") <= 0.10) & (F.col("fx_rate") <= 0.10) & (F.col("unique_others") <= 3)
-
-
 @_query(_sql(60, "(SELECT unnest([5,8,10,12]) AS min_count), (SELECT CAST(unnest([3000,4000,5000]) AS DOUBLE) AS median_ceiling), (SELECT CAST(unnest([15000,25000,40000]) AS DOUBLE) AS aggregate_floor)", "min_count, median_ceiling, aggregate_floor", "o.n>=min_count AND o.md<median_ceiling AND o.t>=aggregate_floor AND o.u<=3 AND o.c<=0.10 AND o.x<=0.10", "Smurfing"))
 def g1_smurfing_account_windows(spark, sf_dir):
     """36 settings on days and on windows of 60 days."""
-    conditions = [(F.col("n") >= n) & (F.col("median_amount") < m) & (F.col("total") >= t) & _low for n, m, t in _SMURFING]
+    few = (F.col("cross_rate") <= 0.10) & (F.col("fx_rate") <= 0.10) & (F.col("unique_others") <= 3)
+    conditions = [(F.col("n") >= n) & (F.col("median_amount") < m) & (F.col("total") >= t) & few for n, m, t in _SMURFING]
     return _grid(spark, sf_dir, 60, _SMURFING, conditions, "min_count int, median_ceiling double, aggregate_floor double", "Smurfing")
 
 
