@@ -186,10 +186,11 @@ class Places:
         """(bucket, begin, end) of the buckets that sorted places fall in."""
         if not len(places):
             return
-        home = (places // U64(self.span)).astype(np.int64)
-        at = np.flatnonzero(_starts(home))
-        for a, b in zip(at.tolist(), np.append(at[1:], len(home)).tolist(), strict=True):
-            yield int(home[a]), a, b
+        low, high = int(places[0]) // self.span, int(places[-1]) // self.span
+        # only the buckets' edges are looked up: no array as long as the places
+        edges = np.searchsorted(places, np.arange(low, high + 2, dtype=U64) * U64(self.span))
+        for k in np.flatnonzero(edges[1:] > edges[:-1]).tolist():
+            yield low + k, int(edges[k]), int(edges[k + 1])
 
 
 class Layout(Places):
