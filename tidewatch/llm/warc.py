@@ -239,7 +239,9 @@ def read_captures(spark: SparkSession, path: str, payloads: bool = True) -> Data
     stored = whole.where("response.type = 'response'").select(
         F.col("id").alias("target"), F.struct(F.col("page.page_id").alias("page_id"), F.col("response.payload").alias("payload"), F.col("response.payload_bytes").alias("payload_bytes"), F.col("response.payload_sha1").alias("payload_sha1")).alias("original"),
     )
-    return whole.join(stored, whole["response.refers_to"] == stored["target"], "left").select("page", "request", "response", "metadata", "original")
+    # a record that refers to none gets a key of its own, which is nobody's: they would all meet in one task as null
+    whole = whole.withColumn("wanted", F.coalesce("response.refers_to", F.concat(F.lit("none of "), "id")))
+    return whole.join(stored, F.col("wanted") == F.col("target"), "left").select("page", "request", "response", "metadata", "original")
 
 
 def round_trip(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
