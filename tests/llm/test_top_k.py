@@ -48,3 +48,18 @@ def test_bounds_leave_blocks_out_where_vectors_cluster(spark):
     share = topk.skipped_share(df, df.where("vec_id % 50 = 0"), block=16).first().skipped
     assert share > 0.8
     assert found(spark, rows, 50, block=16) == brute([r[:2] for r in rows], 50)
+
+
+def test_shards_are_even_however_rows_are_partitioned(spark):
+    """One row a partition: numbers by partition would all be multiples of 2 ** 33."""
+    rng = np.random.default_rng(5)
+    rows = [(i, rng.normal(size=4).tolist(), "x") for i in range(400)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, query_id string").repartition(400, "vec_id")
+    met = topk._met(df, df.where("vec_id % 50 = 0"), 400, 256, 8, 100, 4)
+    each = sorted(r["count"] for r in met.groupBy("query_id").count().collect())
+    assert each == [399] * 8
+    from pyspark.sql import functions as F
+
+    shards = [r["count"] for r in topk.finite(df).groupBy(F.pmod(F.xxhash64("vec_id", "x"), F.lit(4))).count().collect()]
+    assert len(shards) == 4 and max(shards) < 1.5 * min(shards)
+    assert sorted(tuple(r) for r in topk.top_k(df, df.where("vec_id % 50 = 0"), block=8, shard=100, group=4).collect()) == brute([r[:2] for r in rows], 50)

@@ -9,7 +9,8 @@ out depends on the vectors: on clustered ones most, on directions spread evenly
 every block is scored (``skipped_share`` tells).
 
 The stated queries meet all vectors in tiles: query groups times vector shards, each a task of bounded size, as rows are dealt
-to shards and groups in turn whatever their ids; each tile keeps k rows a query, and a window merges them.
+to shards and groups by a hash of id and vector (exact copies of a row stay together); each tile keeps k rows a query, and a window
+merges them.
 
 Defined cases: vectors that are null or hold a null or non-finite component, and rows with a null id, take no part, as candidate
 or query. Vectors may differ in length: a component that one lacks counts as zero. Products are summed exactly, however large
@@ -134,8 +135,8 @@ def _met(vectors: DataFrame, queries: DataFrame, k: int, scale: int, block: int,
     n, width = v.agg(F.count(F.lit(1)), F.max(F.size("x"))).first()
     asked, wide = q.agg(F.count(F.lit(1)), F.max(F.size("x"))).first()
     shards, groups = max(1, -(-n // shard)), max(1, -(-asked // group))
-    # rows are dealt in turn, so that neither far ids nor repeated ones make a shard large; every dealing gives the same result
-    turn = lambda m: F.pmod(F.monotonically_increasing_id(), F.lit(m))
+    # dealt by a hash of id and vector: neither far ids nor those of several vectors make a shard large, and a row that is made again goes to the same one
+    turn = lambda m: F.pmod(F.xxhash64("vec_id", "x"), F.lit(m))
     every = lambda m, name: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(m - 1).cast("long"))).alias(name)
     left = q.withColumn("g", turn(groups)).select("g", every(shards, "s"), "vec_id", "x")
     right = v.withColumn("s", turn(shards)).select(every(groups, "g"), "s", "vec_id", "x")
