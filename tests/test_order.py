@@ -57,3 +57,18 @@ def test_no_rows(spark):
     df = spark.createDataFrame([], "id long, g string, at long, x double")
     one = F.col("at")
     assert order.sliding_percentile(df, ["g"], "p", 0.5, F.col("x"), (one, one), (one + 5, one), (one, one)).count() == 0
+
+
+def test_times_of_any_zone_go_through(spark):
+    before = spark.conf.get("spark.sql.session.timeZone")
+    df = spark.createDataFrame([(1, "a", 5, 2.0), (2, "a", 6, 4.0)], "id long, g string, at long, x double")
+    df = df.withColumn("ts", F.timestamp_seconds("at")).withColumn("s", F.struct("ts", "g")).withColumn("l", F.array("ts")).withColumn("n", F.col("ts").cast("timestamp_ntz"))
+    try:
+        for zone in ("Etc/UTC", "America/New_York", "+02:00"):
+            spark.conf.set("spark.sql.session.timeZone", zone)
+            zero = F.lit(0).cast("long")
+            out = order.sliding_percentile(df, ["g"], "p", 0.5, F.col("x"), (F.col("at"), zero), (F.col("at") + 9, zero), (F.col("at"), zero))
+            got = {r.id: (r.p, r.t, r.u, r.v) for r in out.select("id", "p", F.unix_seconds("ts").alias("t"), F.unix_seconds("s.ts").alias("u"), F.unix_seconds(F.col("l")[0]).alias("v")).collect()}
+            assert got == {1: (2.0, 5, 5, 5), 2: (3.0, 6, 6, 6)}
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)

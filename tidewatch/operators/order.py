@@ -84,11 +84,23 @@ def _interpolated(low: np.ndarray, high: np.ndarray, share: np.ndarray) -> np.nd
         return np.where(low == high, low, low + (high - low) * share)
 
 
+def _utc(kind: pa.DataType) -> pa.DataType:
+    """The type with UTC as its zone: Arrow tables come in the session's, and must go back in UTC. The moments stay."""
+    if pa.types.is_timestamp(kind) and kind.tz is not None:
+        return pa.timestamp(kind.unit, "UTC")
+    if pa.types.is_struct(kind):
+        return pa.struct([f.with_type(_utc(f.type)) for f in kind])
+    if pa.types.is_list(kind):
+        return pa.list_(kind.value_field.with_type(_utc(kind.value_type)))
+    return kind
+
+
 def _solved(q: float, groups: list[str], names: list[str], name: str):
     """Adds the percentile to the rows of several groups."""
 
     def run(queries: pa.Table, members: pa.Table) -> pa.Table:
         out = queries.select(names)
+        out = out.cast(pa.schema([f.with_type(_utc(f.type)) for f in out.schema]))
         t, u = (queries.column(c).to_numpy() for c in ("_q_t", "_q_u"))
         values, rank = np.unique(members.column("v").to_numpy(), return_inverse=True)
         answer = np.full(len(t), np.nan)
