@@ -33,7 +33,7 @@ import zlib
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from .common import new_path
+from .common import new_path, written
 
 #: Bytes of payloads in an archive file, which is read as a whole.
 FILE_BYTES = 64 << 20
@@ -229,6 +229,8 @@ def read_records(spark: SparkSession, path: str, payloads: bool = True) -> DataF
 def read_captures(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
     """One nested row per capture: the page, and its request, response and metadata records."""
     found = read_records(spark, path, payloads)
+    if not payloads:  # small then, and used four times: the archives are inflated once
+        found = written(found, "records")
     main = found.where("type IN ('response', 'revisit')").select(
         F.col("record_id").alias("id"), F.struct("type", "record_id", "uri", "digest", "refers_to", "payload", "payload_bytes", "payload_sha1").alias("response")
     )
