@@ -10,11 +10,14 @@ from .scans import HOT, hot_among, running, with_bands
 SIDES = {"Sender": "Receiver", "Receiver": "Sender"}
 
 
-def history(tx: DataFrame, hot: int = HOT) -> DataFrame:
+ACCOUNTS = [f"{s}_account" for s in SIDES]
+
+
+def history(tx: DataFrame, hot: int = HOT, among: set[str] | None = None) -> DataFrame:
     """Earlier transactions of each account, as sender and as receiver: number, sum, mean, seconds since the last (-1: none).
 
-    Accounts of more than ``hot`` rows are many tasks (``scans``)."""
-    tx, bands = with_bands(tx.withColumn("_at", F.unix_seconds("ts")), {f"{s}_account": f"_{s}_band" for s in SIDES}, "_at", hot)
+    Accounts of more than ``hot`` rows are many tasks (``scans``); ``among``: the sides that have such, if that is known."""
+    tx, bands = with_bands(tx.withColumn("_at", F.unix_seconds("ts")), {f"{s}_account": f"_{s}_band" for s in SIDES}, "_at", hot, among)
     for side in SIDES:
         key, n, total, gap = f"{side}_account", f"{side}_prior_count", f"{side}_prior_amount", f"{side}_gap"
         tx = running(tx, key, bands[key], [F.asc_nulls_last("ts"), F.col("tx_id")], {n: F.lit(1).cast("long"), total: F.col("Amount")}, {gap: F.col("_at")})
@@ -97,11 +100,11 @@ def seen_again(key: str, other: str) -> Column:
     return F.lead("_at").over(Window.partitionBy(key, other).orderBy("_at"))
 
 
-def rolling(tx: DataFrame, seconds: int = 86_400, hot: int = HOT) -> DataFrame:
+def rolling(tx: DataFrame, seconds: int = 86_400, hot: int = HOT, among: set[str] | None = None) -> DataFrame:
     """Number, sum and distinct counterparties of each account in [t - seconds, t), as sender and as receiver."""
     tx = tx.withColumn("_at", F.unix_seconds("ts"))
     one = F.lit(1).cast("long")
-    large = hot_among(tx, [f"{s}_account" for s in SIDES], hot)
+    large = hot_among(tx, ACCOUNTS, hot) if among is None else among
     for side, other in SIDES.items():
         key, n, total, unique = f"{side}_account", f"{side}_window_count", f"{side}_window_amount", f"{side}_window_unique"
         # a counterparty counts by its latest row

@@ -30,15 +30,15 @@ def hot_among(rows: DataFrame, keys: list[str], hot: int = HOT) -> set[str]:
     return {r.key for r in reduce(DataFrame.unionAll, found).collect()}
 
 
-def with_bands(rows: DataFrame, bands: dict[str, str], at: str, hot: int = HOT) -> tuple[DataFrame, dict[str, str | None]]:
+def with_bands(rows: DataFrame, bands: dict[str, str], at: str, hot: int = HOT, among: set[str] | None = None) -> tuple[DataFrame, dict[str, str | None]]:
     """``rows`` with a long column of bands for each key, by ``bands`` {key: its name}, and those names; None for a key of which no value
-    has more than ``hot`` rows, which a count finds first: it needs no bands.
+    has more than ``hot`` rows, which a count finds first unless ``among`` tells: it needs no bands.
 
     A band is the second at which a slice of a hot key's hours begins; rows without a time are in the last one. Hot keys are rows / ``hot`` at
     most, and so are broadcast.
     """
     out, names, source = rows, dict.fromkeys(bands), rows
-    for key in sorted(hot_among(source, list(bands), hot)):
+    for key in sorted((hot_among(source, list(bands), hot) if among is None else among) & set(bands)):
         large, band = _hot_keys(source, key, hot), bands[key]
         names[key] = band
         k, many, parts = "_scan_key", "_scan_rows", "_scan_parts"

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import alerts as A, evaluation as E, features as W, network as N, profiles as P, scenarios as D
+from ..operators.scans import hot_among
 from ..sources.tables import transactions, written
 
 _TX = """tx AS (SELECT event_id AS tx_id, strftime(ts,'%Y-%m-%d') AS Date, strftime(ts,'%H:%M:%S') AS Time, date_trunc('second',ts) AS ts, s AS Sender_account, r AS Receiver_account,
@@ -76,8 +77,10 @@ def _ml(spark, sf_dir):
 
 
 def _v1(spark, sf_dir, tx=None):
-    risk = S.with_country_risk(S.row_features(tx) if tx is not None else _features(spark, sf_dir), S.country_dimension(spark))
-    return D.apply_v1(W.rolling(W.history(risk)))
+    tx = transactions(spark, sf_dir) if tx is None else tx
+    among = hot_among(tx, W.ACCOUNTS)  # counted once, on the plain rows
+    risk = S.with_country_risk(S.row_features(tx), S.country_dimension(spark))
+    return D.apply_v1(W.rolling(W.history(risk, among=among), among=among))
 
 
 @_query(" SELECT * EXCLUDE (Date, Time) FROM tx")
