@@ -4,6 +4,7 @@ import datetime as dt
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import Window, functions as F
 
@@ -210,6 +211,39 @@ def test_lookback_leaves_out_what_is_behind_the_watermark(spark, tmp_path):
     assert got == {0: (0, 0.0), 1: (1, 1.0), 3: (2, 3.0), 2: (1, 8.0), 4: (0, 0.0), 6: (1, 16.0)}
 
 
+def test_lookback_calls_for_state_grow_with_shares_not_accounts(spark, tmp_path):
+    from tidewatch.streaming.jobs import Lookback
+
+    calls = [0]
+
+    class Counted(dict):
+        def __getattribute__(self, name):
+            calls[0] += name in ("getValue", "updateValue", "containsKey", "removeKey")
+            return dict.__getattribute__(self, name)
+
+        getValue, updateValue, containsKey, removeKey = dict.__getitem__, dict.__setitem__, dict.__contains__, dict.__delitem__
+
+    class Handle:
+        getMapState, registerTimer = staticmethod(lambda *_: Counted()), staticmethod(lambda end: ends.add(end))
+
+    class Now:
+        getCurrentWatermarkInMs = staticmethod(lambda: 0)
+
+    for accounts in (3, 3000):
+        ends: set = set()
+        calls[0] = 0
+        lookback = Lookback(3600, 1)
+        lookback.init(Handle)
+        # an account's own sums: what the largest one has doesn't change the others'
+        rows = [(a * 10 + i, a, 600 * i, 1e18 if a == 0 else a + 0.5) for a in range(accounts) for i in range(10)]
+        frame = pd.DataFrame(rows, columns=["tx_id", "account", "at", "Amount"]).sample(frac=1, random_state=1)
+        list(lookback.handleInputRows((0,), iter([frame]), Now))
+        out = pd.concat([f for end in sorted(ends) for f in lookback.handleExpiredTimer((0,), Now, type("T", (), {"getExpiryTimeInMs": lambda self, end=end: end})())])
+        got = {r.tx_id: (r.Sender_window_count, r.Sender_window_amount) for r in out.itertuples()}
+        assert got == {k: (min(k % 10, 6), min(k % 10, 6) * v) for k, _, _, v in rows}
+        assert calls[0] < 40 and not lookback.sums and not lookback.waiting and not lookback.parts
+
+
 def test_prompt_lookback_keeps_what_late_rows_look_back_to(spark, tmp_path):
     from tidewatch.streaming.jobs import running_lookback
 

@@ -96,12 +96,13 @@ def running_lookback(stream: DataFrame, seconds: int = 86_400, late: str = "1 da
 
 
 class Lookback(StatefulProcessor):
-    """Windows [t - seconds, t) of one account, answered when nothing that belongs to them can arrive any more.
+    """Windows [t - seconds, t) of the accounts of one share, answered when nothing that belongs to them can arrive any more.
 
-    Time is cut into slots, ``slots`` to a window. State by slot: counts and sums of each second that has rows, at most as many as
-    the slot has seconds, and the ids that wait for their answer, a part for each batch that brought some, so no list is
-    written again as it grows. The timer at the end of a slot fires when the watermark has passed it: its waiting rows
-    are answered from the slots that their windows reach, and the slot that no later window reaches goes.
+    Every access to state is a call to the JVM, so accounts share theirs: the number of calls is that of shares, slots and batches, not
+    of accounts. Time is cut into slots, ``slots`` to a window. State by slot, as packed arrays: the rows that wait for their answer, a part for
+    each piece of a batch that brought some, so nothing is written again as it grows; and, once the slot is answered, counts and sums of each account's seconds that
+    have rows. The timer at the end of a slot fires when the watermark has passed it: its waiting rows are answered from the
+    slots that their windows reach, and the slot that no later window reaches goes.
     """
 
     def __init__(self, seconds: int, slots: int):
@@ -110,40 +111,43 @@ class Lookback(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.sums = handle.getMapState("sums", "slot long", "at array<long>, n array<long>, amount array<double>")
-        self.waiting = handle.getMapState("waiting", "slot long, part int", "tx_id array<long>, at array<long>")
+        self.sums = handle.getMapState("sums", "slot long", "account binary, at binary, n binary, amount binary")
+        self.waiting = handle.getMapState("waiting", "slot long, part int", "tx_id binary, account binary, at binary, amount binary")
         self.parts = handle.getMapState("parts", "slot long", "n int")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        mark = timerValues.getCurrentWatermarkInMs()
+        mark, seen = timerValues.getCurrentWatermarkInMs(), {}
         for frame in rows:
-            at, amount = frame["at"].to_numpy(np.int64), frame["Amount"].fillna(0.0).to_numpy(float)
-            ids, slot = frame["tx_id"].to_numpy(np.int64), at // self.width
+            ids, account, at = (frame[c].to_numpy(np.int64) for c in ("tx_id", "account", "at"))
+            amount, slot = frame["Amount"].fillna(0.0).to_numpy(np.float64), at // self.width
             for k in np.unique(slot).tolist():
                 if mark > 0 and (k + 1) * self.width * 1000 <= mark:
                     continue  # the slot is closed: too late
-                own = np.flatnonzero(slot == k)
-                known = self.sums.getValue((k,)) if self.sums.containsKey((k,)) else None
-                self.sums.updateValue((k,), _summed(at[own], np.ones(len(own), np.int64), amount[own], known))
-                part = self.parts.getValue((k,))[0] if self.parts.containsKey((k,)) else 0
-                self.waiting.updateValue((k, part), (ids[own].tolist(), at[own].tolist()))
-                self.parts.updateValue((k,), (part + 1,))
-                if known is None:
-                    for end in (k + 1, k + 1 + self.slots):
-                        self.handle.registerTimer(end * self.width * 1000)
+                if k not in seen:
+                    seen[k] = self.parts.getValue((k,))[0] if self.parts.containsKey((k,)) else 0
+                    if not seen[k]:
+                        for end in (k + 1, k + 1 + self.slots):
+                            self.handle.registerTimer(end * self.width * 1000)
+                own = slot == k
+                self.waiting.updateValue((k, seen[k]), tuple(x[own].tobytes() for x in (ids, account, at, amount)))
+                seen[k] += 1
+        for k, n in seen.items():
+            self.parts.updateValue((k,), (n,))
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         k = expiredTimerInfo.getExpiryTimeInMs() // (self.width * 1000) - 1
         if self.parts.containsKey((k,)):
-            near = [self.sums.getValue((j,)) for j in range(k - self.slots, k + 1) if self.sums.containsKey((j,))]
-            at, n, amount = (np.concatenate([np.asarray(x[c]) for x in near]) for c in range(3))
-            counts, totals = (np.concatenate([[0], np.cumsum(x)]) for x in (n, amount))
-            for part in range(self.parts.getValue((k,))[0]):
-                ids, mine = map(np.asarray, self.waiting.getValue((k, part)))
-                first, end = np.searchsorted(at, mine - self.seconds, "left"), np.searchsorted(at, mine, "left")
-                yield pd.DataFrame({"tx_id": ids, "Sender_window_count": counts[end] - counts[first], "Sender_window_amount": (totals[end] - totals[first]).astype(float)})
-                self.waiting.removeKey((k, part))
+            n = self.parts.getValue((k,))[0]
+            ids, account, at, amount = _unpacked([self.waiting.getValue((k, i)) for i in range(n)], "iiif")
+            own = _summed(account, at, np.ones(len(at), np.int64), amount)
+            near = [self.sums.getValue((j,)) for j in range(k - self.slots, k) if self.sums.containsKey((j,))]
+            known = [np.concatenate(x) for x in zip(_unpacked(near, "iiif"), own, strict=True)] if near else own
+            counts, totals = _looked_back(known, account, at, self.seconds)
+            yield pd.DataFrame({"tx_id": ids, "Sender_window_count": counts, "Sender_window_amount": totals})
+            self.sums.updateValue((k,), tuple(x.tobytes() for x in own))
+            for i in range(n):
+                self.waiting.removeKey((k, i))
             self.parts.removeKey((k,))
         if self.sums.containsKey((k - self.slots,)):
             self.sums.removeKey((k - self.slots,))
@@ -152,22 +156,46 @@ class Lookback(StatefulProcessor):
         pass
 
 
-def _summed(at: np.ndarray, n: np.ndarray, amount: np.ndarray, known: tuple | None) -> tuple[list, list, list]:
-    """Counts and sums by second, with those that are known already."""
-    if known is not None:
-        at, n, amount = (np.concatenate([np.asarray(a), b]) for a, b in zip(known, (at, n, amount), strict=True))
-    seconds, where = np.unique(at, return_inverse=True)
-    return seconds.tolist(), np.bincount(where, weights=n).astype(np.int64).tolist(), np.bincount(where, weights=amount).tolist()
+def _unpacked(parts: list, kinds: str) -> list[np.ndarray]:
+    """The columns of packed parts, one after the other; a kind is i (long) or f (double)."""
+    return [np.concatenate([np.frombuffer(p[c], f"{kind}8") for p in parts]) for c, kind in enumerate(kinds)]
 
 
-def settled_lookback(stream: DataFrame, seconds: int = 86_400, late: str = "1 day", slots: int = 1) -> DataFrame:
+def _summed(account: np.ndarray, at: np.ndarray, n: np.ndarray, amount: np.ndarray) -> list[np.ndarray]:
+    """Counts and sums by account and second, in that order."""
+    order = np.lexsort((at, account))
+    account, at, n, amount = (x[order] for x in (account, at, n, amount))
+    first = np.flatnonzero(np.r_[True, (account[1:] != account[:-1]) | (at[1:] != at[:-1])])
+    return [account[first], at[first], np.add.reduceat(n, first), np.add.reduceat(amount, first)]
+
+
+def _looked_back(known: list[np.ndarray], account: np.ndarray, at: np.ndarray, seconds: int) -> tuple[np.ndarray, np.ndarray]:
+    """Counts and sums of [t - seconds, t) for rows of ``account`` at ``at``, from ``known`` counts and sums by account and second.
+
+    Running sums begin anew with each account: what another one has, however large, doesn't change them."""
+    order = np.lexsort((known[1], known[0]))
+    who, when, n, amount = (x[order] for x in known)
+    codes, start = np.unique(who, return_index=True)
+    mine, of = np.searchsorted(codes, account), np.repeat(np.arange(len(codes)), np.diff(np.r_[start, len(who)]))
+    low, span = when.min() - seconds, when.max() - when.min() + seconds + 1
+    place = of * span + (when - low)  # accounts one after the other, each with its own stretch of seconds
+    first, end = (np.searchsorted(place, mine * span + (t - low), "left") for t in (at - seconds, at))
+    counts = np.r_[0, np.cumsum(n)]
+    sums = pd.Series(amount).groupby(of).cumsum().to_numpy()
+    until = lambda i: np.where(i > start[mine], sums[i - 1], 0.0)
+    return counts[end] - counts[first], until(end) - until(first)
+
+
+def settled_lookback(stream: DataFrame, seconds: int = 86_400, late: str = "1 day", slots: int = 1, shares: int = 256) -> DataFrame:
     """Number and sum of each sender's transactions in [t - seconds, t): what a batch finds, in whatever order rows within the watermark arrive.
 
     A row is answered when the watermark has passed its slot of seconds / slots. Rows behind the watermark are left out, rows without
-    a time are answered at once: they have no window. Runs on the RocksDB state store (``rocksdb``).
+    a time are answered at once: they have no window. Accounts are dealt to ``shares`` by hash, those without one are a share of their own; a
+    task holds a slot of one share at a time. Runs on the RocksDB state store (``rocksdb``).
     """
-    rows = stream.withWatermark("ts", late).select("tx_id", "Sender_account", "ts", F.unix_seconds("ts").alias("at"), "Amount")
-    timed = rows.where("ts IS NOT NULL").groupBy("Sender_account").transformWithStateInPandas(Lookback(seconds, slots), LOOKBACK, "append", "eventTime")
+    share = F.when(F.col("Sender_account").isNull(), -1).otherwise(F.pmod(F.xxhash64("Sender_account"), F.lit(shares))).cast("int")
+    rows = stream.withWatermark("ts", late).select("tx_id", share.alias("share"), F.coalesce("Sender_account", F.lit(0)).cast("long").alias("account"), "ts", F.unix_seconds("ts").alias("at"), "Amount")
+    timed = rows.where("ts IS NOT NULL").groupBy("share").transformWithStateInPandas(Lookback(seconds, slots), LOOKBACK, "append", "eventTime")
     none = rows.where("ts IS NULL").select("tx_id", F.lit(0).cast("long").alias("Sender_window_count"), F.lit(0.0).alias("Sender_window_amount"))
     return timed.unionByName(none)
 
