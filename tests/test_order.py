@@ -72,3 +72,9 @@ def test_times_of_any_zone_go_through(spark):
             assert got == {1: (2.0, 5, 5, 5), 2: (3.0, 6, 6, 6)}
     finally:
         spark.conf.set("spark.sql.session.timeZone", before)
+
+
+def test_buckets_of_small_groups_stay_a_small_fraction_of_hot(spark):
+    n, hot = 400_000, 100_000
+    sizes = spark.range(n).groupBy(order._bucket(["id"], n, hot).alias("b")).count()
+    assert sizes.agg(F.max("count")).first()[0] <= hot // 32

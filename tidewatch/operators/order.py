@@ -269,8 +269,9 @@ def _last(groups: list[str]):
 
 
 def _bucket(groups: list[str], rows: int, hot: int) -> Column:
-    """Groups are dealt to buckets of a fraction of ``hot`` rows on average: one call each, however small groups are."""
-    return F.pmod(F.xxhash64(*groups), F.lit(max(64, -(-8 * rows // hot))))
+    """Groups are dealt to buckets of a small fraction of ``hot`` rows on average: one call each, however small groups are. A bucket is held by a
+    Python worker as a whole, with its rows' columns and working arrays, so it stays as small as calls cost little."""
+    return F.pmod(F.xxhash64(*groups), F.lit(max(64, -(-64 * rows // hot))))
 
 
 def sliding_percentile(rows: DataFrame, keys: list[str], name: str, q: float, value: Column, enter: tuple[Column, Column], leave: tuple[Column, Column], moment: tuple[Column, Column], piece: int | None = None, hot: int = HOT) -> DataFrame:
