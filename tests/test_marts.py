@@ -352,3 +352,17 @@ def test_every_country_by_all_its_names(spark):
             assert keys[cleaned(name)] == code, name
     listed = [c for x in FORMS.values() for c in x.split()]
     assert set(listed) <= set(codes) and len(listed) == len(set(listed))
+
+
+def test_hot_accounts_are_counted_on_rows_without_percentiles(spark, monkeypatch):
+    counted = []
+    monkeypatch.setattr(W, "hot_among", lambda rows, keys, hot=None: counted.append(set(rows.columns)) or set())
+    monkeypatch.setattr(N, "hot_among", W.hot_among, raising=False)
+    rows = [(0, 1, 7, 1.0, 0, 0, "A", T0), (1, 1, 8, 3.0, 0, 0, "B", T0 + dt.timedelta(hours=1))]
+    df = spark.createDataFrame(rows, COLUMNS)
+    got = {r.tx_id: (r.n, r.median_amount) for r in W.sliding(df, 21).collect()}
+    assert got == {0: (1, 1.0), 1: (2, 2.0)}
+    N.behaviour_change(df)
+    assert counted == [set(df.columns)] * 2
+    W.sliding(df, 21, among=set())
+    assert len(counted) == 2

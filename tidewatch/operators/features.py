@@ -116,8 +116,12 @@ def rolling(tx: DataFrame, seconds: int = 86_400, hot: int = HOT, among: set[str
     return tx.drop("_at")
 
 
-def sliding(tx: DataFrame, days: int, median: bool = True) -> DataFrame:
-    """Sender features of the last ``days`` days up to and with the current second: number, sum, receivers, rates and median (``order``)."""
+def sliding(tx: DataFrame, days: int, median: bool = True, hot: int = HOT, among: set[str] | None = None) -> DataFrame:
+    """Sender features of the last ``days`` days up to and with the current second: number, sum, receivers, rates and median (``order``).
+
+    Hot accounts are counted first (``among`` says so if it is known), on the rows as they come: later each count would make the percentiles anew.
+    """
+    large = hot_among(tx, ["Sender_account"], hot) if among is None else among
     tx, reach = tx.withColumn("_at", F.unix_seconds("ts")), days * 86_400 + 1
     if median:
         zero = F.lit(0).cast("long")
@@ -128,7 +132,7 @@ def sliding(tx: DataFrame, days: int, median: bool = True) -> DataFrame:
     sums = {"n": one, **money("total", F.col("Amount")), "_cross": flag("Cross_border"), "_fx": flag("Currency_mismatch")}
     known = F.when(F.col("Receiver_account").isNotNull(), one).otherwise(F.lit(0).cast("long"))
     begin = F.col("_at")
-    out = summed(active_sums(tx, "Sender_account", [(begin, end, sums), (begin, F.least(end, F.col("_next")), {"unique_receivers": known})], days * 86_400 + 1), "total")
+    out = summed(active_sums(tx, "Sender_account", [(begin, end, sums), (begin, F.least(end, F.col("_next")), {"unique_receivers": known})], days * 86_400 + 1, hot, "Sender_account" in large), "total")
     rate = lambda c: F.try_divide(F.col(c), F.col("n"))
     return out.withColumns({"unique_receivers": F.col("unique_receivers").cast("int"), "cross_rate": rate("_cross"), "fx_rate": rate("_fx")}).drop("_at", "_next", "_cross", "_fx")
 

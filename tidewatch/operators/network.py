@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.scalars import holds
 from .features import active_sums, money, summed
+from .scans import hot_among
 
 
 def transfers(tx: DataFrame) -> DataFrame:
@@ -107,7 +108,7 @@ def behaviour_change(tx: DataFrame, recent: int = 7, base: int = 30, times: floa
     Flagged if amount or count a day is at least ``times`` the baseline's, or the receiver's place is new in both spans.
     Without a baseline there is no change of amount or count.
     """
-    day = 86_400
+    day, large = 86_400, hot_among(tx, ["Sender_account"])  # counted on the plain rows
     tx = tx.withColumn("_at", F.unix_seconds("ts"))
     before = Window.partitionBy("Sender_account", "Receiver_bank_location").orderBy("_at").rangeBetween(Window.unboundedPreceding, -1)
     tx = tx.withColumn("_last", F.max("_at").over(before))
@@ -116,7 +117,7 @@ def behaviour_change(tx: DataFrame, recent: int = 7, base: int = 30, times: floa
         (at, at + recent * day, {"near_n": one, **money("near_amount", F.col("Amount"))}), (at + recent * day, at + (recent + base) * day, {"far_n": one, **money("far_amount", F.col("Amount"))}),
         (at + 1, at + (recent + base) * day, {"_ever": F.when(F.col("Receiver_bank_location").isNotNull(), one).otherwise(F.lit(0).cast("long"))}),
     ]
-    x = summed(summed(active_sums(tx, "Sender_account", spans, (recent + base) * day), "near_amount"), "far_amount")
+    x = summed(summed(active_sums(tx, "Sender_account", spans, (recent + base) * day, split="Sender_account" in large), "near_amount"), "far_amount")
     more = lambda a, b: holds((F.col(b) > 0) & (F.col(a) * F.lit(float(base)) >= F.lit(times * recent) * F.col(b)))
     known = F.col("_last") >= F.col("_at") - ((recent + base) * day - 1)
     fresh = holds((F.col("_ever") > 0) & F.col("Receiver_bank_location").isNotNull() & ~F.coalesce(known, F.lit(False)))

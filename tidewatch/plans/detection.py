@@ -8,7 +8,7 @@ from ..functions import scalars as S
 from ..operators import alerts as A, features as W, network as N, profiles as P, scenarios as D
 from ..sources.layers import layer, transaction_layer
 from ..sources.tables import transactions
-from .registry import _CASE, _EDGE, _F, _FLAGS, _H, _MART, _SESS, _features, _mart, _query, _transfers, _v1
+from .registry import _CASE, _EDGE, _F, _FLAGS, _H, _MART, _SESS, _features, _lean, _mart, _query, _transfers, _v1
 
 _B = """, {0} AS (SELECT time_bucket(INTERVAL '10 days', ts, TIMESTAMP '1970-01-01') AS bk, {1} AS acc, count(*) AS n, sum(Amount) AS total, quantile_cont(Amount,0.5) AS md, count(DISTINCT {2}) AS u, avg(Cross_border) AS c, avg(Currency_mismatch) AS x FROM f GROUP BY 1,2)"""
 _V2 = _F + _B.format("sb", "Sender_account", "Receiver_account") + _B.format("rb", "Receiver_account", "Sender_account") + """, j AS (SELECT f.*,
@@ -46,7 +46,7 @@ _W90 = "WINDOW w AS (PARTITION BY Sender_account ORDER BY ts RANGE BETWEEN INTER
 
 @_query(_F + ", g AS (SELECT tx_id, count(*) OVER w AS n, quantile_cont(Amount,0.5) OVER w AS md, sum(Amount) OVER w AS t, count(DISTINCT Receiver_account) OVER w AS u, avg(Cross_border) OVER w AS c, avg(Currency_mismatch) OVER w AS x FROM f " + _W90 + ") SELECT tx_id, CAST(n>=3 AND md<3000 AND t>=20000 AND u<=3 AND c<=0.15 AND x<=0.15 AS INT) AS smurfing FROM g")
 def d20_smurfing_90_days(spark, sf_dir):
-    return W.sliding(_features(spark, sf_dir), 90).select("tx_id", D.smurfing_v3().alias("smurfing"))
+    return W.sliding(_lean(_features(spark, sf_dir), "tx_id"), 90).select("tx_id", D.smurfing_v3().alias("smurfing"))
 
 
 _KIND = """, o AS (SELECT min(ts) AS t0 FROM f WHERE Payment_type='{0}'), k AS (SELECT f.*, CAST(floor((epoch_us(ts)-epoch_us(t0))/(30*86400000000.0)) AS BIGINT) AS bk FROM f, o WHERE Payment_type='{0}'),
@@ -103,7 +103,8 @@ def d35_layered_fan_in(spark, sf_dir):
  WINDOW nr AS (PARTITION BY Sender_account ORDER BY ts RANGE BETWEEN INTERVAL 604799 SECONDS PRECEDING AND CURRENT ROW), fr AS (PARTITION BY Sender_account ORDER BY ts RANGE BETWEEN INTERVAL 3196799 SECONDS PRECEDING AND INTERVAL 604800 SECONDS PRECEDING), ev AS (PARTITION BY Sender_account ORDER BY ts RANGE BETWEEN INTERVAL 3196799 SECONDS PRECEDING AND INTERVAL 1 SECOND PRECEDING))
  SELECT tx_id, near_n, far_n, near_amount, far_amount, CAST(far_amount>0 AND near_amount*30>=21*far_amount AS INT) AS amount_change, CAST(far_n>0 AND near_n*30>=21*far_n AS INT) AS count_change, CAST(coalesce(len(known)>0 AND NOT list_contains(known, loc), false) AS INT) AS new_place FROM g""")
 def d36_behaviour_change(spark, sf_dir):
-    return N.behaviour_change(transactions(spark, sf_dir)).select("tx_id", "near_n", "far_n", "near_amount", "far_amount", "amount_change", "count_change", "new_place")
+    tx = transactions(spark, sf_dir).select("tx_id", "ts", "Sender_account", "Receiver_bank_location", "Amount")
+    return N.behaviour_change(tx).select("tx_id", "near_n", "far_n", "near_amount", "far_amount", "amount_change", "count_change", "new_place")
 
 
 _DAYS, _LEAST, _MOST, _RISK = (7, 10, 14, 21), (3, 4, 5, 6), (12, 16, 20, 30), (0.10, 0.15, 0.20, 0.25, 0.30)

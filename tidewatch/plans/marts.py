@@ -6,11 +6,12 @@ from pyspark.sql import functions as F, types as T
 
 from ..functions import scalars as S
 from ..operators import alerts as A, audit, evaluation as E, features as W, profiles as P, scenarios as D
+from ..operators.scans import hot_among
 from ..sources import tables as X
 from ..sources.layers import transaction_layer
 from ..sources.tables import transactions
 from .detection import _AXES, _FANGRID, _G3, _LEAST, _MOST, _RISK, _RULES, _SMURF, _queue, _rule_evidence, _rule_links, _smurfing_grid, _DAYS
-from .registry import _CASE, _CUM, _F, _FAN, _FLAGS, _H, _SCORED, _SESS, _SPLIT, _features, _layers, _learning_rows, _ml, _query, _v1
+from .registry import _CASE, _CUM, _F, _FAN, _FLAGS, _H, _SCORED, _SESS, _SPLIT, _features, _layers, _lean, _learning_rows, _ml, _query, _v1
 
 _START = "TIMESTAMP '2024-01-15'"
 
@@ -180,10 +181,11 @@ def d22_combined_v3(spark, sf_dir):
     tx = S.row_features(transaction_layer(spark, sf_dir))
     rows = P.with_split(tx, P.boundaries(P.daily(tx)))
     audit.require_none(audit.leaks(rows))
-    history, _ = W.warmed_up(rows, days=120)
-    columns = history.columns
-    flagged = W.sliding(history, 90).withColumn("smurfing", D.smurfing_v3()).select(*columns, "smurfing")
-    fan = W.sliding(flagged, 21, median=False).where("split = 'development'")
+    history, _ = W.warmed_up(_lean(rows, "split", "Is_laundering"), days=120)
+    columns = [c for c in history.columns if c != "dev_start"]
+    among = hot_among(history, ["Sender_account"])  # once, on the plain rows
+    flagged = W.sliding(history, 90, among=among).withColumn("smurfing", D.smurfing_v3()).select(*columns, "smurfing")
+    fan = W.sliding(flagged, 21, median=False, among=among).where("split = 'development'")
     return E.combined_variants(fan, "smurfing", {"recall": D.fan_out_v3(12, 0.20), "intermediate": D.fan_out_v3(12, 0.30), "selective": D.fan_out_v3(8, 0.30)})
 
 

@@ -72,6 +72,11 @@ def _features(spark, sf_dir):
     return S.row_features(transactions(spark, sf_dir))
 
 
+def _lean(f, *names):
+    """The columns that sums over moving spans need, and ``names``: such sums carry all of a row through their sorts and workers."""
+    return f.select(*names, "ts", "Sender_account", "Receiver_account", "Amount", "Cross_border", "Currency_mismatch")
+
+
 def _ml(spark, sf_dir):
     return _features(spark, sf_dir).withColumn("ML_ALERT", (F.col("ml_probability") >= A.THRESHOLD).cast("int"))
 
@@ -122,7 +127,8 @@ def w1_history(spark, sf_dir):
 
 @_query(_F + _H + " SELECT tx_id, swc AS Sender_window_count, swa AS Sender_window_amount, CAST(swu AS INT) AS Sender_window_unique, rwc AS Receiver_window_count, rwa AS Receiver_window_amount, CAST(rwu AS INT) AS Receiver_window_unique FROM h")
 def w5_rolling(spark, sf_dir):
-    return W.rolling(transactions(spark, sf_dir)).select("tx_id", *(f"{s}_window_{c}" for s in ("Sender", "Receiver") for c in ("count", "amount", "unique")))
+    tx = transactions(spark, sf_dir).select("tx_id", "ts", "Sender_account", "Receiver_account", "Amount")
+    return W.rolling(tx).select("tx_id", *(f"{s}_window_{c}" for s in ("Sender", "Receiver") for c in ("count", "amount", "unique")))
 
 
 _SLIDE = """ SELECT tx_id, count(*) OVER w AS n, sum(Amount) OVER w AS total, quantile_cont(Amount, 0.5) OVER w AS median_amount, CAST(count(DISTINCT Receiver_account) OVER w AS INT) AS unique_receivers, round(avg(Cross_border) OVER w,6) AS cross_rate FROM f
@@ -131,7 +137,7 @@ _SLIDE = """ SELECT tx_id, count(*) OVER w AS n, sum(Amount) OVER w AS total, qu
 
 @_query(_F + _SLIDE.format(21))
 def w8_sliding(spark, sf_dir):
-    return W.sliding(_features(spark, sf_dir), 21).select("tx_id", "n", "total", "median_amount", "unique_receivers", F.round("cross_rate", 6).alias("cross_rate"))
+    return W.sliding(_lean(_features(spark, sf_dir), "tx_id"), 21).select("tx_id", "n", "total", "median_amount", "unique_receivers", F.round("cross_rate", 6).alias("cross_rate"))
 
 
 @_query(_F + """ , b AS (SELECT *, CAST(floor((epoch_us(ts)-epoch_us(TIMESTAMP '2024-01-15'))/(10*86400000000.0)) AS BIGINT) AS bucket FROM f),
@@ -194,7 +200,7 @@ def a18_coverage(spark, sf_dir):
 @_query(_F + """ , g AS (SELECT *, count(*) OVER w AS n, quantile_cont(Amount,0.5) OVER w AS md, sum(Amount) OVER w AS t, count(DISTINCT Receiver_account) OVER w AS u, avg(Cross_border) OVER w AS c, avg(Currency_mismatch) OVER w AS x FROM f WINDOW w AS (PARTITION BY Sender_account ORDER BY ts RANGE BETWEEN INTERVAL 21 DAYS PRECEDING AND CURRENT ROW))
  SELECT tx_id, CAST(u>=3 AND n BETWEEN 3 AND 12 AND (c>=0.2 OR x>=0.2) AS INT) AS fan_out_12_20, CAST(u>=3 AND n BETWEEN 3 AND 12 AND (c>=0.3 OR x>=0.3) AS INT) AS fan_out_12_30, CAST(u>=3 AND n BETWEEN 3 AND 8 AND (c>=0.3 OR x>=0.3) AS INT) AS fan_out_8_30 FROM g""")
 def d21_fan_out_variants(spark, sf_dir):
-    f = W.sliding(_features(spark, sf_dir), 21, median=False)
+    f = W.sliding(_lean(_features(spark, sf_dir), "tx_id"), 21, median=False)
     return f.select("tx_id", D.fan_out_v3(12, 0.20).alias("fan_out_12_20"), D.fan_out_v3(12, 0.30).alias("fan_out_12_30"), D.fan_out_v3(8, 0.30).alias("fan_out_8_30"))
 
 
