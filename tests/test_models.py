@@ -81,3 +81,16 @@ def test_folds_have_their_exact_share(spark):
             assert len(test) == int(share * len(mine) + 0.5)
             place = lambda r: hashlib.md5(f"3|{'' if label is None else label}|{r.tx_id}".encode()).hexdigest()  # noqa: E731, B023
             assert not test or len(test) == len(mine) or max(map(place, test)) <= min(place(r) for r in mine if r.fold != "test")
+
+
+def test_walking_neither_shuffles_nor_multiplies_rows(spark, learning):
+    rows, _ = learning
+    table = spark.createDataFrame(
+        [(k, 1.0, n, f, t, None, l, r, None, None, says) for k in range(9) for n, f, t, l, r, says in ((0, "Log_amount", 50.0, 1, 2, 0.5), (1, None, None, None, None, 0.25), (2, None, None, None, None, 0.75))],
+        "tree int, weight double, node int, feature string, threshold double, values array<double>, left int, right int, gain double, rows double, says double",
+    )
+    out = trees.walked(rows, table, {}, "tx_id", False)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+    got = {r.tx_id: r.probability for r in out.collect()}
+    assert got == {r.tx_id: 0.25 if r.Log_amount <= 50 else 0.75 for r in rows.collect()}

@@ -2,15 +2,17 @@
 
 ``nodes`` is a row for each node of each tree: the feature it asks for, by name and values of the input columns, where it sends what is below
 its threshold or of its values, its gain and weight, and what its leaf says. A single tree becomes one SQL CASE expression, which
-any engine can run; an ensemble is walked by joins with that table, which is as large as the model and no larger. Feature
+any engine can run; an ensemble is walked by that table, which is as large as the model and no larger. Feature
 importances follow from the gains.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import GBTClassificationModel
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..sources.tables import shared_path
 
@@ -85,38 +87,68 @@ def tree_sql(table: DataFrame, known: dict[str, list[str]], tree: int = 0, quote
 
 
 def walked(rows: DataFrame, table: DataFrame, known: dict[str, list[str]], key: str, boosted: bool) -> DataFrame:
-    """(key, probability): each row sent down every tree of ``table`` by joins, a level at a time; ``key`` names a row.
-
-    The table is as large as the model and so is broadcast. Leaves are averaged, or, boosted, summed by weight and put through the
-    logistic function of twice the margin."""
-    used = sorted(r.feature for r in table.select("feature").distinct().collect() if r.feature)
-    place = F.create_map(*(x for i, n in enumerate(used) for x in (F.lit(n), F.lit(i)))) if used else None
-    slots = F.array(*(F.expr(slot_sql(n, known, "`")) for n in used)) if used else F.array(F.lit(0.0))
-    t = table.withColumn("slot", place[F.col("feature")] if used else F.lit(0))
-    t = F.broadcast(t.select("tree", "weight", "node", "slot", "threshold", "values", "left", "right", "says"))
-    roots = t.where("node = 0").select("tree", "weight")
-    at = rows.select(key, slots.alias("x")).crossJoin(F.broadcast(roots)).withColumn("node", F.lit(0))  # rows x trees
-    depth = _depth(table)
-    for _ in range(depth):
-        step = at.join(t.drop("weight"), ["tree", "node"])
-        x = F.get("x", F.col("slot"))
-        left = F.when(F.col("values").isNull(), (x <= F.col("threshold")) & ~F.isnan(x)).otherwise(F.array_contains("values", x))
-        at = step.select(key, "x", "tree", "weight", F.when(F.col("left").isNull(), F.col("node")).when(F.coalesce(left, F.lit(False)), F.col("left")).otherwise(F.col("right")).alias("node"))
-    leaves = at.join(t.select("tree", "node", "says"), ["tree", "node"]).groupBy(key)
-    if boosted:
-        margin = F.sum(F.col("weight") * F.col("says"))
-        return leaves.agg((1 / (1 + F.exp(-2 * margin))).alias("probability"))
-    return leaves.agg((F.sum(F.col("weight") * F.col("says")) / F.sum("weight")).alias("probability"))
-
-
-def _depth(table: DataFrame) -> int:
-    """Levels below the roots; the model's table is small enough for the driver."""
-    children = {(r.tree, r.node): (r.left, r.right) for r in table.where("left IS NOT NULL").select("tree", "node", "left", "right").collect()}
-    level, depth = [k for k in children if k[1] == 0], 0
-    while level:
-        depth += 1
-        level = [(t, c) for t, k in level for c in children[t, k] if (t, c) in children]
-    return depth
+    """(key, probability): each row sent down every tree of ``table``, a level at a time; ``key`` names a row.
+
+    The table is as large as the model; it is sent to the tasks, where all rows of an Arrow batch go down a tree together, so no row is multiplied by
+    the trees or shuffled. Leaves are averaged, or, boosted, summed by weight and put through the logistic function of twice the margin."""
+    nodes = [r.asDict() for r in table.orderBy("tree", "node").collect()]  # those of the model
+    used = sorted({r["feature"] for r in nodes if r["feature"]})
+    slots = [F.expr(slot_sql(n, known, "`")).cast("double").alias(f"_x{i}") for i, n in enumerate(used)]
+    x = rows.select(key, *slots)
+    return x.mapInArrow(_walk(_packed(nodes, used), len(used), boosted), T.StructType([x.schema[key], T.StructField("probability", T.DoubleType())]))
+
+
+def _packed(nodes: list[dict], used: list[str]) -> list[tuple]:
+    """Trees as (weight, levels, slot, threshold, values by node, left, right, says); a leaf leads to itself. ``values`` are the
+    bits of a long where a node asks for whole numbers from 0 to 62, as those of encoded slots are, else an array by node."""
+    trees: dict[int, list[dict]] = {}
+    for r in nodes:
+        trees.setdefault(r["tree"], []).append(r)
+    place, out = {n: i for i, n in enumerate(used)}, []
+    for mine in trees.values():
+        at = {r["node"]: i for i, r in enumerate(mine)}
+        inner = [r["left"] is not None for r in mine]
+        to = lambda side, mine=mine, at=at: np.array([i if r[side] is None else at[r[side]] for i, r in enumerate(mine)])
+        left, right = to("left"), to("right")
+        levels, level = 0, [at[0]]
+        while level := [int(c) for i in level if inner[i] for c in (left[i], right[i])]:
+            levels += 1
+        slot = np.array([place[r["feature"]] if r["feature"] else 0 for r in mine])
+        threshold = np.array([np.nan if r["threshold"] is None else r["threshold"] for r in mine])
+        asks = {i: r["values"] for i, r in enumerate(mine) if r["values"] is not None}
+        small = {i for i, v in asks.items() if all(x in range(63) for x in v)}
+        bits = np.array([sum(1 << int(x) for x in set(asks[i])) if i in small else 0 for i in range(len(mine))], np.int64)
+        values = (bits if small else None, {i: np.array(v) for i, v in asks.items() if i not in small})
+        out.append((mine[0]["weight"], levels, at[0], slot, threshold, values, left, right, np.array([r["says"] for r in mine])))
+    return out
+
+
+def _walk(trees: list[tuple], width: int, boosted: bool):
+    def run(batches):
+        for batch in batches:
+            n = batch.num_rows
+            x = np.empty((n, max(width, 1)))
+            for i in range(width):  # a null goes right, as a NaN does
+                x[:, i] = batch.column(i + 1).to_numpy(zero_copy_only=False)
+            total, row = np.zeros(n), np.arange(n)
+            for weight, levels, root, slot, threshold, values, left, right, says in trees:
+                node = np.full(n, root)
+                for _ in range(levels):
+                    v = x[row, slot[node]]
+                    goes = v <= threshold[node]
+                    bits, others = values
+                    if bits is not None:
+                        whole = (v >= 0) & (v <= 62) & (v == np.floor(v))
+                        goes |= whole & ((bits[node] >> np.where(whole, v, 0).astype(np.int64)) & 1 == 1)
+                    for i, some in others.items():
+                        here = node == i
+                        goes[here] = np.isin(v[here], some)
+                    node = np.where(goes, left[node], right[node])
+                total += weight * says[node]
+            answer = 1 / (1 + np.exp(-2 * total)) if boosted else total / sum(t[0] for t in trees)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(answer, pa.float64())], [batch.schema.names[0], "probability"])
+
+    return run
 
 
 def gains(table: DataFrame, boosted: bool = False) -> DataFrame:

@@ -90,7 +90,7 @@ def _walked(spark, sf_dir, model):
 
 @_query(_AGREES)
 def m4_walked_forest(spark, sf_dir):
-    """The forest as a table of nodes, walked by joins, against the model's own scores."""
+    """The forest as a table of nodes, walked by batches of rows, against the model's own scores."""
     return _walked(spark, sf_dir, "random_forest")
 
 
