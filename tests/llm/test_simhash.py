@@ -79,3 +79,30 @@ def test_balls_find_all_links_in_chunks_of_any_size(spark, radius):
 def test_odd_radius_is_refused(spark):
     with pytest.raises(ValueError):
         simhash.links(spark.createDataFrame([(1,)], "fp long"), 3)
+
+
+@pytest.mark.parametrize("radius", [2, 4])
+def test_only_fingerprints_with_company_make_balls(spark, radius, monkeypatch):
+    rng = np.random.default_rng(9)
+    alone = rng.integers(0, 2**64, 3_000, dtype=np.uint64)
+    pairs = []
+    for x in rng.integers(0, 2**64, 300, dtype=np.uint64).tolist():  # a partner up to the radius away, its bits in one block or spread
+        bits = rng.choice(64, int(rng.integers(1, radius + 1)), replace=False)
+        pairs += [x, x ^ sum(1 << int(b) for b in bits)]
+    pairs = np.array(pairs, np.uint64)
+    df = spark.createDataFrame([(int(x),) for x in np.concatenate([alone, pairs]).view(np.int64)], "fp long")
+    for most in (20_000, 8_000_000):
+        got = [r.fp for r in simhash.accompanied(df, radius, most).collect()]
+        assert len(got) == len(set(got)) and set(pairs.view(np.int64).tolist()) <= set(got) and len(got) < len(pairs) + 200
+    made = []
+    monkeypatch.setattr(simhash, "Layout", lambda distinct, *a, f=simhash.Layout: made.append(distinct) or f(distinct, *a))
+    assert {frozenset(r) for r in simhash.links(df, radius).collect()} == {frozenset(x) for x in pairs.view(np.int64).reshape(-1, 2).tolist()}
+    assert len(made) == 1 and made[0] < len(pairs) + 200
+
+
+def test_keys_of_blocks_follow_the_number_of_fingerprints():
+    for n in (1, 10**5, 10**7, 10**9):
+        taken, salts = simhash._block_keys(4, n)
+        assert len(set(salts.tolist())) == len(taken) < len(simhash.ball(2))
+        assert n * sum(2.0 ** -int(m).bit_count() for m in taken) <= 1 / simhash.CHANCE
+    assert len(simhash._block_keys(4, 10**5)[0]) == 70 and simhash._block_keys(4, 10**15) is None

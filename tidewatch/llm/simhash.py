@@ -9,7 +9,12 @@ most two of 64 bits. Two fingerprints within the radius share a variant, the one
 within the radius, as each is within half of it. So a shared variant is a link, verified by its full 64 bits, and of all that
 share one it is enough to link each with one of them: groups of any size give no pairs of all members.
 
-Variants are many and nearly all stand alone, so they are not shuffled as rows. Fingerprints are dealt into chunks. A
+Most fingerprints have no link, and their balls need not be made. The 64 bits are cut into blocks, more than the radius: two
+fingerprints within it agree in all blocks but as many, so each hashes its bits outside of every such choice of blocks, 70 keys for 8 blocks
+against 2,081 variants. A fingerprint none of whose keys another one has is left out; the more fingerprints there are, the more blocks,
+so that few keys meet by chance. The others emit their balls.
+
+Variants are many and nearly all stand alone, so they (and the keys of blocks before them) are not shuffled as rows. Fingerprints are dealt into chunks. A
 chunk hashes its variants to places, sorts them, and sends each bucket of places the differences as packed bytes, two or
 three a variant. A bucket finds the places that several chunks have and sends each chunk those of its own. The chunk, dealt
 the same way again, makes its variants a second time and keeps those at such places: it links its own members that share
@@ -25,7 +30,8 @@ component. Rows with the same id share the component of the least id among their
 from __future__ import annotations
 
 from functools import lru_cache
-from itertools import combinations
+from itertools import combinations, pairwise
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +45,8 @@ from .tokens import U64, Words, column_bytes, joined, mix, slices, words
 SHINGLE, RADIUS = 4, 4
 #: Variants of a chunk, and places of a bucket that are taken, at most about; places for each variant.
 VARIANTS, ROOM = 8_000_000, 32
+#: Places for each key of blocks; what is met there by chance isn't looked at again, so there is more room. Of the fingerprints, at most about one in CHANCE has a key by chance.
+KEY_ROOM, CHANCE = 1 << 14, 64
 MOST_TASKS = 10_000
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -172,10 +180,10 @@ def _labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 class Places:
-    """How keys map to places and places to buckets, for ``keys`` of them in all and about ``most`` in a chunk or bucket."""
+    """How keys map to places, ``room`` of them for each, and places to buckets, for ``keys`` of them in all and about ``most`` in a chunk or bucket."""
 
-    def __init__(self, keys: int, most: int):
-        self.bits = min(63, max(8, int(keys * ROOM).bit_length()))
+    def __init__(self, keys: int, most: int, room: int = ROOM):
+        self.bits = min(63, max(8, int(keys * room).bit_length()))
         self.chunks = max(1, -(-keys // most))
         self.span = -(-(1 << self.bits) // self.chunks)
 
@@ -197,8 +205,6 @@ class Layout(Places):
     """The places of the variants of ``distinct`` fingerprints."""
 
     def __init__(self, distinct: int, radius: int, variants: int):
-        if radius < 0 or radius % 2:
-            raise ValueError("the radius must be even: each fingerprint has half of it")
         self.half = radius // 2
         super().__init__(distinct * len(ball(self.half)), variants)
 
@@ -247,20 +253,76 @@ def held_elsewhere(met: pa.Table, layout: Places) -> tuple[np.ndarray, np.ndarra
 SENT, ANSWER = "g long, bucket long, places binary, again binary", "g long, bucket long, again binary, shared binary"
 
 
-def _emit(layout: Layout):
-    """All variants of a chunk."""
+#: Keys of a fingerprint: for each, the bits that are taken and those that are flipped then.
+Keys = tuple[np.ndarray, np.ndarray]
+
+
+def _emit(layout: Places, keys: Keys):
+    """All keys of a chunk."""
 
     def emit(key, t):
         fp = t.column("fp").to_numpy().view(U64)
-        masks, n = ball(layout.half), len(fp)
-        places = np.empty(n * len(masks), U64)
-        for k, m in enumerate(masks):
-            places[k * n : (k + 1) * n] = layout.places(fp ^ m)
+        n = len(fp)
+        places = np.empty(n * len(keys[0]), U64)
+        for k, (taken, flipped) in enumerate(zip(*keys, strict=True)):
+            places[k * n : (k + 1) * n] = layout.places((fp & taken) ^ flipped)
         return sent(key[0].as_py(), places, layout)
 
     return emit
 
 
+def _variants(half: int) -> Keys:
+    return np.full(len(ball(half)), ~U64(0)), ball(half)
+
+
+def _block_keys(radius: int, distinct: int) -> Keys | None:
+    """The bits outside of each choice of ``radius`` blocks, told apart by a salt. None if balls are no larger."""
+    for blocks in range(radius + 4, 33):
+        kinds = comb(blocks, radius)
+        if kinds >= len(ball(radius // 2)) and radius:
+            return None
+        edges = [64 * k // blocks for k in range(blocks + 1)]
+        parts = [((1 << b) - 1) ^ ((1 << a) - 1) for a, b in pairwise(edges)]
+        masks = [~sum(parts[k] for k in left) & (2**64 - 1) for left in combinations(range(blocks), radius)]
+        if CHANCE * distinct * sum(2.0 ** -m.bit_count() for m in masks) <= 1:
+            return np.array(masks, U64), mix(np.arange(1, kinds + 1, dtype=U64))
+    return None
+
+
+def _accompanied(layout: Places, keys: Keys):
+    """The fingerprints of a chunk of whose keys one or more are met at their places."""
+
+    def run(key, t, met):
+        fp = t.column("fp").to_numpy().view(U64)
+        sieve, some = Sieve(np.union1d(*held_elsewhere(met, layout))), np.zeros(len(fp), bool)
+        for taken, flipped in zip(*keys, strict=True):
+            some[sieve.find(layout.places((fp & taken) ^ flipped))] = True
+        return pa.table({"fp": fp[some].view(np.int64)})
+
+    return run
+
+
+def _dealt(distinct: DataFrame, layout: Places) -> DataFrame:
+    dealt = distinct.select("fp", F.pmod(F.xxhash64("fp"), F.lit(layout.chunks)).alias("g"))
+    # eight bytes a fingerprint look like nothing, but each stands for its whole ball: a task takes few chunks
+    return dealt.repartition(min(layout.chunks, MOST_TASKS), "g")
+
+
+def _met(dealt: DataFrame, layout: Places, keys: Keys) -> DataFrame:
+    return dealt.groupBy("g").applyInArrow(_emit(layout, keys), SENT).groupBy("bucket").applyInArrow(meet(layout), ANSWER)
+
+
+def accompanied(distinct: DataFrame, radius: int = RADIUS, most: int = VARIANTS) -> DataFrame:
+    """The distinct fingerprints ``fp`` that have another one within ``radius`` bits, and few others."""
+    n = distinct.count()
+    keys = _block_keys(radius, n)
+    if keys is None:
+        return distinct.select("fp")
+    layout = Places(n * len(keys[0]), most, KEY_ROOM)
+    dealt = _dealt(distinct, layout)
+    return dealt.groupBy("g").cogroup(_met(dealt, layout, keys).groupBy("g")).applyInArrow(_accompanied(layout, keys), "fp long")
+
+
 MET = "bucket long, a long, b long, variants binary, members binary, which binary"
 
 
@@ -319,12 +381,12 @@ def _across(key, t):
 
 def links(distinct: DataFrame, radius: int = RADIUS, variants: int = VARIANTS) -> DataFrame:
     """Edges (a, b) between the distinct fingerprints ``fp`` whose components are those of all pairs within ``radius`` bits (even)."""
-    layout = Layout(distinct.count(), radius, variants)
-    dealt = distinct.select("fp", F.pmod(F.xxhash64("fp"), F.lit(layout.chunks)).alias("g"))
-    # eight bytes a fingerprint look like nothing, but each stands for its whole ball: a task takes few chunks
-    dealt = dealt.repartition(min(layout.chunks, MOST_TASKS), "g")
-    sent = dealt.groupBy("g").applyInArrow(_emit(layout), SENT)
-    met = sent.groupBy("bucket").applyInArrow(meet(layout), ANSWER)
+    if radius < 0 or radius % 2:
+        raise ValueError("the radius must be even: each fingerprint has half of it")
+    some = written(accompanied(distinct, radius, variants), "accompanied")
+    layout = Layout(some.count(), radius, variants)
+    dealt = _dealt(some, layout)
+    met = _met(dealt, layout, _variants(layout.half))
     held = dealt.groupBy("g").cogroup(met.groupBy("g")).applyInArrow(_link(layout), MET)
     held = written(held, "shared-variants")
     across = held.where("bucket IS NOT NULL").groupBy("bucket").applyInArrow(_across, "a long, b long")
