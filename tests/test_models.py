@@ -94,3 +94,13 @@ def test_walking_neither_shuffles_nor_multiplies_rows(spark, learning):
     assert "Exchange" not in plan and "Join" not in plan
     got = {r.tx_id: r.probability for r in out.collect()}
     assert got == {r.tx_id: 0.25 if r.Log_amount <= 50 else 0.75 for r in rows.collect()}
+
+
+def test_forest_keeps_the_nodes_of_rows_and_grows_the_same_trees(learning, monkeypatch):
+    assert ml.MODELS["random_forest"]().getCacheNodeIds()
+    train = learning[0].where("split = 'train'")
+    grown = []
+    for kept in (True, False):
+        monkeypatch.setitem(ml.MODELS, "small", lambda kept=kept: SMALL["random_forest"]().setCacheNodeIds(kept))
+        grown.append(ml.fit(train, "small").stages[-1].toDebugString.split("\n", 1)[1])
+    assert grown[0] == grown[1]
